@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.llm import exact_dedup, quality_rules
+from ledgertide.llm import exact_dedup, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Query]:
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
