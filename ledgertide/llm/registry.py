@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.llm import exact_dedup, quality_rules, secret_scan
+from ledgertide.llm import exact_dedup, packing, quality_rules, secret_scan, token_store
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_cost_packing": packing.op2_cost_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op8_token_store": token_store.op8_token_store,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
