@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.llm import exact_dedup, packing, quality_rules, secret_scan, token_store
+from ledgertide.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, token_store
 
 
 def queries() -> dict[str, Query]:
@@ -11,6 +11,7 @@ def queries() -> dict[str, Query]:
         "op2_cost_packing": packing.op2_cost_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_simhash": simhash.op7_simhash,
         "op8_token_store": token_store.op8_token_store,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
