@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, token_store
+from ledgertide.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
 
 
 def queries() -> dict[str, Query]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Query]:
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_simhash": simhash.op7_simhash,
         "op8_token_store": token_store.op8_token_store,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
