@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
+from ledgertide.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_cost_packing": packing.op2_cost_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_secret_scan": secret_scan.op6_secret_scan,
