@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.llm import exact_dedup, language_id, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
+from ledgertide.llm import exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
 
 
 def queries() -> dict[str, Query]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Query]:
         "op2_cost_packing": packing.op2_cost_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_language_id": language_id.op4_language_id,
+        "op5_mixing": mixing.op5_mixing,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_simhash": simhash.op7_simhash,
         "op8_token_store": token_store.op8_token_store,
