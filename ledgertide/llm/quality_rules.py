@@ -150,5 +150,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict().alias("kept"))
 
 
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that quality() keeps, with the columns of docs.
+
+    The limits, a row for each language and source, go to the rows, which are measured again and not shuffled unless
+    there are more than MOST_BROADCAST_GROUPS limits.
+    """
+    measured = stored(measure(docs.withColumn("__id", F.lit(0)), "__id", text_col, lang_col, source_col), "quality")
+    limits = stored(thresholds(measured), "quality-limits")
+    if limits.count() <= MOST_BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *[c.alias(n) for n, c in base_measures(F.col(text_col)).items()])
+    return _with_limits(rows, limits).where(verdict()).select("row.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))

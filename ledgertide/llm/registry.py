@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ledgertide.catalog import Query
 from ledgertide.llm import exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op8_token_store": token_store.op8_token_store,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -29,13 +30,15 @@ def shingles(text: str, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint(text: str, size: int = 4) -> int:
-    """The 64-bit SimHash, as a signed number; 0 for a text without words."""
-    grams = shingles(text, size)
-    if not grams:
-        return 0
+def shingle_hashes(text: str, size: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return np.array([digest(g, SEED) for g in shingles(text, size)], dtype="<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles' hashes, as a signed number; 0 for a text without words."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -90,37 +93,49 @@ class BKTree:
             self.remove(k)
         return found
 
-    def clusters(self, radius: int) -> Iterator[list[int]]:
-        """Groups linked within the radius. Each fingerprint is searched for once, among those not reached before, so
-        a dense group costs little more than its size."""
+    def edges(self, radius: int) -> Iterator[tuple[int, int]]:
+        """(found, finder): a forest of links within the radius that connects what any links connect. Each fingerprint is
+        searched for once, among those not reached before, so a dense group costs little more than its size."""
         for k in range(len(self.prints)):
             if self.alive[k]:
                 self.remove(k)
                 group = [k]
-                for member in group:
-                    group += self.take(self.prints[member], radius)
-                yield group
+                for finder in group:
+                    found = self.take(self.prints[finder], radius)
+                    yield from ((f, finder) for f in found)
+                    group += found
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """Keys of the shards of a fingerprint: one for each two of radius + 2 blocks of bits.
+def agreement(n: int, radius: int) -> int:
+    """How many blocks of bits a shard's fingerprints share: enough for shards of about 64 random ones among n."""
+    return next((k for k in (2, 3, 4) if BITS * k / (radius + k) >= math.log2(max(2, n)) - 6), 5)
 
-    Fingerprints within the radius agree on at least two blocks, so they share a shard.
+
+def block_keys(fp: Column, radius: int, agree: int = 2) -> Column:
+    """Keys of the shards of a fingerprint: one for each `agree` of radius + agree blocks of bits.
+
+    Fingerprints within the radius agree on at least that many blocks, so they share a shard.
     """
-    n = radius + 2
+    n = radius + agree
     cuts = [BITS * i // n for i in range(n + 1)]
     block = lambda i: F.call_function("shiftrightunsigned", fp, F.lit(cuts[i])).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    keys = [F.shiftleft(block(i), 32) + F.shiftleft(block(j), 8) + F.lit(k) for k, (i, j) in enumerate(combinations(range(n), 2))]
-    return F.array(*keys)
+
+    def key(k: int, chosen: tuple[int, ...]) -> Column:
+        out = F.lit(k).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, cuts[i + 1] - cuts[i]).bitwiseOR(block(i))
+        return out
+
+    return F.array(*[key(k, c) for k, c in enumerate(combinations(range(n), agree))])
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """(a, b): edges that connect exactly what distances of at most `radius` connect; prints has distinct `fp`.
 
-    Each shard is searched by a BK-tree of its own and gives one edge for each fingerprint that it links, to the first of
-    its group, not a pair for each link.
+    Each shard is searched by a BK-tree of its own and gives one edge for each fingerprint that it links, not a pair for
+    each link.
     """
-    dealt = prints.select(F.explode(block_keys(F.col("fp"), radius)).alias("key"), "fp")
+    dealt = prints.select(F.explode(block_keys(F.col("fp"), radius, agreement(prints.count(), radius))).alias("key"), "fp")
 
     def search(keys: np.ndarray, fps: np.ndarray) -> tuple[list[int], list[int]]:
         a, b = [], []
@@ -129,12 +144,12 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         for s, e in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
             own = fps[s:e].tolist()
             if e - s == 2:
-                groups = [[0, 1]] if ((own[0] ^ own[1]) & _MASK).bit_count() <= radius else []
+                found = [(1, 0)] if ((own[0] ^ own[1]) & _MASK).bit_count() <= radius else []
             else:
-                groups = BKTree([x & _MASK for x in own]).clusters(radius)
-            for g in groups:
-                a += [own[k] for k in g[1:]]
-                b += [own[g[0]]] * (len(g) - 1)
+                found = BKTree([x & _MASK for x in own]).edges(radius)
+            for x, y in found:
+                a.append(own[x])
+                b.append(own[y])
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +183,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), size) for t in batch.column(1)]
+            found = [fingerprint(shingle_hashes(t.as_py(), size)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.int64())], names=["doc_id", "fp"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -190,5 +205,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For similar(): words in a shingle, similarity, fingerprints by differently mixed hashes, bits that they may differ in,
+#: and hashes in a sketch.
+SIMILAR_SIZE, SIMILARITY, PRINTS, SIMILAR_RADIUS, SKETCH = 5, 0.8, 3, 6, 128
+_MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & _MASK) for k in range(16)]
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets by the SKETCH least hashes of each; exact for smaller sets."""
+    both = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(both, a).__and__(np.isin(both, b)).mean()) if len(both) else 1.0
+
+
+def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, sketch, fp_0...): node is the text's hash."""
+    text = text_or_empty(F.col(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                h = shingle_hashes(t.as_py(), SIMILAR_SIZE)
+                prints = [fingerprint(h)]
+                for k in range(1, PRINTS):
+                    x = h * _MIX[k]
+                    prints.append(fingerprint((x ^ x >> np.uint64(31)) * _MIX[k + 1]))
+                rows.append((np.unique(h)[:SKETCH].tobytes(), *prints))
+            sketch, *prints = zip(*rows, strict=True) if rows else [()] * (PRINTS + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sketch), type=pa.binary()), *[pa.array(list(p), type=pa.int64()) for p in prints]], names=["node", "sketch", *[f"fp_{k}" for k in range(PRINTS)]])
+
+    return docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, sketch binary, " + ", ".join(f"fp_{k} long" for k in range(PRINTS)))
+
+
+def _verified(edges: DataFrame, sketches: DataFrame) -> DataFrame:
+    of = lambda side: sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    both = edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_py(), dtype="<u8") for v in batch.column(k)] for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array([_similarity(p, q) >= SIMILARITY for p, q in zip(x, y, strict=True)], type=pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, component) of the texts, by their hashes, that have a near-duplicate: five-word shingles, similarity of 0.8 or more.
+
+    Links are proposed by fingerprints that differ in at most SIMILAR_RADIUS bits, from PRINTS mixings of the shingles'
+    hashes, and stand if the sketches of both texts are similar.
+    """
+    nodes = stored(_sketched(docs, text_col), "sketches").dropDuplicates(["node"])
+    nodes = stored(nodes, "sketches")
+    proposed = None
+    for k in range(PRINTS):
+        rows = nodes.select(F.col(f"fp_{k}").alias("fp"), "node")
+        classes = rows.groupBy("fp").agg(F.min("node").alias("rep"))
+        found = links(classes.select("fp"), SIMILAR_RADIUS)
+        to = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))  # noqa: E731, B023
+        across = found.join(to("a"), "a").join(to("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        within = rows.join(classes, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        both = across.unionByName(within)
+        proposed = both if proposed is None else proposed.unionByName(both)
+    return components(_verified(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar() texts: that of the smallest id, null ids last; columns as in docs.
+
+    Rows of equal texts count as one text and stay or go together. Null texts count as empty.
+    """
+    groups = stored(similar(docs, text_col), "near-groups")
+    keyed = docs.select(F.xxhash64(text_or_empty(F.col(text_col))).alias("node"), F.col(id_col).alias("id"))
+    first = groups.join(keyed, "node").groupBy("component").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+    gone = stored(groups.join(first, "component").where("node <> first").select(F.col("node").alias("gone")).distinct(), "near-gone")
+    return docs.join(gone, F.xxhash64(text_or_empty(docs[text_col])) == F.col("gone"), "left_anti")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
