@@ -234,7 +234,7 @@ def read_shards(shards: DataFrame, directory: str) -> DataFrame:
                 if found:
                     yield _rows(found)
 
-    return placed.select("path", "base", "shard").repartition("shard").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("path", "base", "shard").repartition(max(1, shards.count()), "shard").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
