@@ -14,9 +14,9 @@ WINDOW_WORDS = 5
 LEAST_DOCS = 100
 #: The adaptive rules, each on an integer measure: name, numerator, factor, denominator, slack above the fence.
 MEASURES = (
-    ("symbols", "n_symbols", 1000, "n_words", 100),
-    ("repeats", "n_repeat_words", 1000, "n_words", 50),
-    ("dup_lines", "n_dup_lines", 1000, "n_words", 20),
+    ("symbols", "n_symbols", 1000, "n_words", 400),
+    ("repeats", "n_repeat_words", 1000, "n_words", 200),
+    ("dup_lines", "n_dup_lines", 1000, "n_words", 60),
     ("length", "word_chars", 100, "n_words", 300),
 )
 #: A measure fails above q3 + FENCE * (q3 - q1) + slack.
