@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
+from ledgertide.plans import corpus
 
-MODULES: list = []
+MODULES = [corpus]
 
 
 def queries() -> dict[str, Query]:
