@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.plans import corpus
+from ledgertide.plans import corpus, markets
 
-MODULES = [corpus]
+MODULES = [corpus, markets]
 
 
 def queries() -> dict[str, Query]:
