@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.plans import corpus, markets
+from ledgertide.plans import analysis, corpus, markets
 
-MODULES = [corpus, markets]
+MODULES = [corpus, markets, analysis]
 
 
 def queries() -> dict[str, Query]:
