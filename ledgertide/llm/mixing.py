@@ -112,11 +112,13 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, fl
     sums = placed.groupBy("leaf", "stretch", "rest").agg(F.sum("mix_tokens").alias("n")).withColumn("upto", F.sum("n").over(by_leaf))
     last = sums.where("upto > rest").groupBy("leaf").agg(F.min_by(F.struct("stretch", (F.col("upto") - F.col("n")).alias("before")), "stretch").alias("s")).select("leaf", "s.stretch", "s.before")
     inside = placed.join(F.broadcast(last), ["leaf", "stretch"]).withColumn("upto", F.col("before") + F.sum("mix_tokens").over(Window.partitionBy("leaf").orderBy("place")))
-    cuts = inside.groupBy("leaf").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))).alias("cut"), (F.shiftleft(F.min("stretch").cast("long"), 64 - STRETCH_BITS) - 1).alias("none"))
-    limits = stored(table.join(cuts, "leaf", "left").select(*[f"mix_{c}" for c in LEVELS], "whole", F.coalesce("cut", "none", F.lit((1 << 63) - 1)).alias("cut")), "mixing-limits")
-    chosen = sized.alias("d").join(F.broadcast(limits).alias("t"), _same_leaf("d", "t")).select("d.*", "t.whole", "t.cut")
+    cuts = inside.groupBy("leaf").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))).alias("cut"), F.shiftleft(F.min("stretch").cast("long"), 64 - STRETCH_BITS).alias("begin"))
+    limits = stored(table.join(cuts, "leaf", "left").select(*[f"mix_{c}" for c in LEVELS], "whole", "cut", "begin"), "mixing-limits")
+    chosen = sized.alias("d").join(F.broadcast(limits).alias("t"), _same_leaf("d", "t")).select("d.*", "t.whole", "t.cut", "t.begin")
     chosen = chosen.select("*", F.explode(F.sequence(F.lit(0), "whole")).alias("epoch"))
-    return chosen.where((F.col("epoch") < F.col("whole")) | (_order(F.col("epoch"), seed) <= F.col("cut"))).drop("whole", "cut", "mix_id", "mix_hash")
+    place = _order(F.col("epoch"), seed)
+    inside = F.coalesce(place <= F.col("cut"), place < F.col("begin"), F.lit(True))  # up to the cut; else before its stretch; else all
+    return chosen.where((F.col("epoch") < F.col("whole")) | inside).drop("whole", "cut", "begin", "mix_id", "mix_hash")
 
 
 def domain(source: Column) -> Column:
