@@ -6,6 +6,7 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from ledgertide.llm.toxicity import held_out
 FIT_PER_LANGUAGE = 3_000
 MOST_LANGUAGES = 200
 #: n-grams of letters that the model keeps, at most; words stand between spaces.
-MOST_GRAMS, GRAM_LENGTHS = 150_000, (1, 2, 3, 4)
+MOST_GRAMS, GRAM_LENGTHS = 150_000, (2, 3)
 SMOOTHING = 0.5
 #: What a switch of language costs, in nats, and what one word can say at most for one language against another.
 SWITCH, MOST_PER_WORD = 8.0, 6.0
@@ -85,13 +86,20 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.langs)), dtype=np.float32)
 
-    def _word(self, word: str) -> np.ndarray:
+    def _score(self, new: list[str]) -> np.ndarray:
+        """Log-odds of words by language: sums over their n-grams, within what one word may say."""
         get, none = self.m.grams.get, len(self.m.grams)
-        s = self.m.odds[[get(g, none) for g in grams(word)]].sum(axis=0) / len(GRAM_LENGTHS)
-        allowed = self.m.allowed.get(script(word))
-        if allowed is not None and allowed.any():
-            s = np.where(allowed, s, s[allowed].min() - MOST_PER_WORD)
-        return np.maximum(s - s.max(), -MOST_PER_WORD)
+        parts = [[get(g, none) for g in grams(w)] for w in new]
+        flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+        s = np.add.reduceat(self.m.odds[flat], begin, axis=0) / len(GRAM_LENGTHS)
+        kinds = [script(w) for w in new]
+        for name in set(kinds):
+            allowed = self.m.allowed.get(name)
+            if allowed is not None and allowed.any() and not allowed.all():
+                own = np.array([k == name for k in kinds])
+                s[np.ix_(own, ~allowed)] = s[np.ix_(own, allowed)].min(axis=1)[:, None] - MOST_PER_WORD
+        return np.maximum(s - s.max(axis=1)[:, None], -MOST_PER_WORD)
 
     def _numbers(self, texts: list[list[str]]) -> np.ndarray:
         new = set().union(*texts).difference(self.known)
@@ -100,11 +108,11 @@ class Labeller:
             new = set().union(*texts)
         if len(self.known) + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros((len(self.known) + 2 * len(new), self.scores.shape[1]), np.float32)])
-        for w in new:
-            k = len(self.known)
-            self.scores[k] = self._word(w)
-            self.known[w] = k
-        return np.array([self.known[w] for t in texts for w in t], dtype=np.int64)
+        if new:
+            at, new = len(self.known), sorted(new)
+            self.scores[at : at + len(new)] = self._score(new)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), dtype=np.int64)
 
     def label(self, texts: list[list[str]]) -> list[tuple[str, float, str]]:
         """(language, score, spans) of each text, given by its words. All texts advance together, longest first."""
