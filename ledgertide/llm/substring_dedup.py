@@ -17,7 +17,7 @@ from ledgertide.llm.common import documents, stored, text_or_empty
 #: Words in a window, and words in the runs among which its minimiser is chosen.
 WINDOW, RUN = 20, 6
 #: Buckets with more super-k-mers than this are counted by grouping, in no one task.
-LARGE_BUCKET = 1000
+LARGE_BUCKET = 5000
 _MOST_WORDS = 1 << 24
 _FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) | 1) & (1 << 64) - 1) for j in range(WINDOW)]
 
