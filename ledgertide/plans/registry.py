@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.plans import analysis, corpus, markets
+from ledgertide.plans import analysis, corpus, markets, models
 
-MODULES = [corpus, markets, analysis]
+MODULES = [corpus, markets, analysis, models]
 
 
 def queries() -> dict[str, Query]:
