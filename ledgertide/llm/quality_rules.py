@@ -166,3 +166,36 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
+
+
+def _sql_measure(numerator: str, factor: int, denominator: str) -> str:
+    return f"CASE WHEN {denominator} > 0 THEN {numerator} * {factor} // {denominator} ELSE 0 END"
+
+
+def _sql_fence(keys: str, tag: str) -> str:
+    """Limits from the sketches of `keys` (a list of columns, each followed by a comma)."""
+    window = f"PARTITION BY {keys}rule"
+    return f"""s_{tag} AS (SELECT {keys}rule, slack, bucket, count(*) AS n FROM m GROUP BY {keys}rule, slack, bucket),
+  u_{tag} AS (SELECT *, sum(n) OVER ({window} ORDER BY bucket) AS upto, sum(n) OVER ({window}) AS total, greatest(bucket // 16 - 1, 0) AS shift FROM s_{tag}),
+  q_{tag} AS (SELECT {keys}rule, slack, max(total) AS n, min(((bucket - shift * 16 + 1) << shift) - 1) FILTER (WHERE 4 * upto >= total) AS q1, min(((bucket - shift * 16 + 1) << shift) - 1) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM u_{tag} GROUP BY {keys}rule, slack),
+  f_{tag} AS (SELECT {keys}rule, n, q3 + {FENCE} * (q3 - q1) + slack AS cap FROM q_{tag})"""
+
+
+_RULES = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{n}' AS rule, {s} AS slack, CAST({_sql_measure(a, f, d)} AS BIGINT) AS v FROM f" for n, a, f, d, s in MEASURES)
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+  x AS (SELECT doc_id, k, x FROM (SELECT doc_id, unnest(string_split_regex(t, '[\x20\x09-\x0D]+')) AS x, generate_subscripts(string_split_regex(t, '[\x20\x09-\x0D]+'), 1) AS k FROM d) WHERE x <> ''),
+  w AS (SELECT doc_id, list(x ORDER BY k) AS w, sum(length(x)) AS chars FROM x GROUP BY doc_id),
+  g AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w)),
+  r AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
+  c AS (SELECT doc_id, sum(least(5, coalesce(nxt - p, 5))) AS n FROM r GROUP BY doc_id),
+  l AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+  f AS (SELECT d.doc_id, lang, source, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+    FROM d LEFT JOIN w USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+  v AS ({_RULES}), m AS (SELECT *, greatest(length(bin(v)) - 5, 0) * 16 + (v >> greatest(length(bin(v)) - 5, 0)) AS bucket FROM v),
+  {_sql_fence("lang, source, ", "leaf")}, {_sql_fence("lang, ", "lang")}, {_sql_fence("", "top")},
+  b AS (SELECT m.doc_id, bool_or(v > CASE WHEN a.n >= {LEAST_DOCS} THEN a.cap WHEN o.n >= {LEAST_DOCS} THEN o.cap ELSE e.cap END) AS out FROM m
+    JOIN f_leaf a ON a.rule = m.rule AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source JOIN f_lang o ON o.rule = m.rule AND o.lang IS NOT DISTINCT FROM m.lang JOIN f_top e ON e.rule = m.rule GROUP BY m.doc_id),
+  z AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT z.*, NOT (base_failed OR out) AS kept FROM z JOIN b USING (doc_id)
+"""

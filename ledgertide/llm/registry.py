@@ -24,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
