@@ -19,7 +19,7 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_L
 #: Texts with any other character go to the library whole.
 _OTHER = re.compile(rf"[^\t-\r -~{_LETTER}]")
 #: A worker remembers the ids of twice so many pieces, and of none longer than this.
-_MOST_PIECES, _LONGEST_PIECE = 250_000, 64
+_MOST_PIECES, _LONGEST_PIECE = 500_000, 64
 
 
 def _byte_letters() -> dict[int, int]:
