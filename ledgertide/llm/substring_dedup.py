@@ -18,6 +18,8 @@ from ledgertide.llm.common import documents, stored, text_or_empty
 WINDOW, RUN = 20, 6
 #: Buckets with more super-k-mers than this are counted by grouping, in no one task.
 LARGE_BUCKET = 5000
+#: Parts of one kind of super-k-mer or window in the large buckets.
+SALTS = 16
 _MOST_WORDS = 1 << 24
 _FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) | 1) & (1 << 64) - 1) for j in range(WINDOW)]
 
@@ -149,16 +151,21 @@ def _late_in_buckets(packed: DataFrame) -> DataFrame:
     return packed.repartition("minimiser").sortWithinPartitions("minimiser", "doc", "place").mapInArrow(run, _RANGES)
 
 
+def _with_earliest(rows: DataFrame) -> DataFrame:
+    """rows (kind, doc, place, ...) with the earliest doc and place of their kind, joined in SALTS parts of each kind."""
+    first = rows.groupBy("kind").agg(F.min(F.struct("doc", "place")).alias("earliest"))
+    dealt = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "place"), F.lit(SALTS)).cast("int")).join(dealt, ["kind", "salt"]).drop("salt")
+
+
 def _late_in_large_buckets(packed: DataFrame) -> DataFrame:
     """As _late_in_buckets, by grouping: equal super-k-mers first, then the windows of the first of each kind.
 
-    Both groupings combine before the shuffle, and both joins split a skewed side, so a passage that a third of all
-    documents share is in no one task.
+    Both groupings combine before the shuffle, and both joins deal out each kind by a salt, so a passage that a third of
+    all documents share is in no one task.
     """
     whole = packed.withColumn("kind", F.md5("words"))
-    at = F.struct("doc", "place").alias("at")
-    first = whole.groupBy("kind").agg(F.min(at).alias("earliest"))
-    told = whole.join(first, "kind").withColumn("is_first", F.struct("doc", "place") == F.col("earliest"))
+    told = _with_earliest(whole).withColumn("is_first", F.struct("doc", "place") == F.col("earliest"))
     start, size, tie = F.expr("(place >> 8) & 4294967295"), F.expr("place & 255"), F.expr("place >> 40")
     repeats = told.where("NOT is_first").select("doc", tie.alias("tie"), start.alias("first"), (start + size + (WINDOW - 1)).alias("beyond"))
 
@@ -172,8 +179,7 @@ def _late_in_large_buckets(packed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, [pa.binary(), pa.int64(), pa.int64()], strict=True)], names=["kind", "doc", "place"])
 
     windows = told.where("is_first").select("doc", "place", "words").mapInArrow(explode, "kind binary, doc long, place long").withColumn("place", F.expr("place & ~255L"))
-    earliest = windows.groupBy("kind").agg(F.min(at).alias("earliest"))
-    late = windows.join(earliest, "kind").where(F.struct("doc", "place") != F.col("earliest"))
+    late = _with_earliest(windows).where(F.struct("doc", "place") != F.col("earliest"))
     return repeats.unionByName(late.select("doc", tie.alias("tie"), start.alias("first"), (start + WINDOW).alias("beyond")))
 
 
