@@ -16,10 +16,10 @@ from ledgertide.llm.common import documents, stored, text_or_empty
 
 #: Words in a window, and words in the runs among which its minimiser is chosen.
 WINDOW, RUN = 20, 6
-#: Buckets with more super-k-mers than this are counted by grouping, in no one task.
+#: Buckets with more super-k-mers than this are dealt out in parts of about so many.
 LARGE_BUCKET = 5000
-#: Parts of one kind of super-k-mer or window in the large buckets.
-SALTS = 16
+#: What a task remembers of a part of a large bucket, at most.
+MOST_SEEN = 500_000
 _MOST_WORDS = 1 << 24
 _FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) | 1) & (1 << 64) - 1) for j in range(WINDOW)]
 
@@ -85,23 +85,23 @@ def super_kmers(keyed: DataFrame) -> DataFrame:
 
 
 def _packed(joined: DataFrame, large: bool) -> DataFrame:
-    """(minimiser, doc, place, words): the super-k-mers of large or other buckets as packed strings."""
+    """(minimiser, part, doc, place, words): the super-k-mers of large or other buckets as packed strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text, kmers in zip(*[batch.column(k) for k in ("doc", "text", "kmers")], strict=True):
-                own = [x for x in kmers.as_py() or () if x["large"] == large]
+                own = [x for x in kmers.as_py() or () if (x["parts"] > 1) == large]
                 if own:
                     words = text.as_py().encode().split()
                     for x in own:
                         start, size = x["place"] >> 8 & 0xFFFFFFFF, x["place"] & 0xFF
-                        out.append((x["minimiser"], doc.as_py(), x["place"], b" ".join(words[start : start + size + WINDOW - 1])))
+                        out.append((x["minimiser"], hash((doc.as_py(), x["place"])) % x["parts"], doc.as_py(), x["place"], b" ".join(words[start : start + size + WINDOW - 1])))
             for at in range(0, len(out), 20_000):
                 columns = zip(*out[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["minimiser", "doc", "place", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.binary()], strict=True)], names=["minimiser", "part", "doc", "place", "words"])
 
-    return joined.select("doc", "text", "kmers").mapInArrow(run, "minimiser long, doc long, place long, words binary")
+    return joined.select("doc", "text", "kmers").mapInArrow(run, "minimiser long, part long, doc long, place long, words binary")
 
 
 def _windows(words: bytes) -> list[bytes]:
@@ -127,7 +127,7 @@ def _late_in_buckets(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, whole, seen, out = None, {}, {}, []
         for batch in batches:
-            for m, doc, place, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for m, _, doc, place, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if m != bucket:
                     bucket, whole, seen = m, {}, {}
                 tie, start, size = place >> 40, place >> 8 & 0xFFFFFFFF, place & 0xFF
@@ -151,36 +151,49 @@ def _late_in_buckets(packed: DataFrame) -> DataFrame:
     return packed.repartition("minimiser").sortWithinPartitions("minimiser", "doc", "place").mapInArrow(run, _RANGES)
 
 
-def _with_earliest(rows: DataFrame) -> DataFrame:
-    """rows (kind, doc, place, ...) with the earliest doc and place of their kind, joined in SALTS parts of each kind."""
-    first = rows.groupBy("kind").agg(F.min(F.struct("doc", "place")).alias("earliest"))
-    dealt = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "place"), F.lit(SALTS)).cast("int")).join(dealt, ["kind", "salt"]).drop("salt")
-
-
 def _late_in_large_buckets(packed: DataFrame) -> DataFrame:
-    """As _late_in_buckets, by grouping: equal super-k-mers first, then the windows of the first of each kind.
+    """As _late_in_buckets, for buckets dealt out in parts.
 
-    Both groupings combine before the shuffle, and both joins deal out each kind by a salt, so a passage that a third of
-    all documents share is in no one task.
+    A task remembers what its part of a bucket has shown: what comes again is late, and only the first window of each kind
+    goes on to be compared with those of the other parts. So a passage that a third of all documents share costs one row
+    a part, and a task that forgets, once it has seen much, only passes more rows on.
     """
-    whole = packed.withColumn("kind", F.md5("words"))
-    told = _with_earliest(whole).withColumn("is_first", F.struct("doc", "place") == F.col("earliest"))
-    start, size, tie = F.expr("(place >> 8) & 4294967295"), F.expr("place & 255"), F.expr("place >> 40")
-    repeats = told.where("NOT is_first").select("doc", tie.alias("tie"), start.alias("first"), (start + size + (WINDOW - 1)).alias("beyond"))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, whole, seen = None, {}, {}
         for batch in batches:
             out = []
-            for doc, place, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out += [(xxhash.xxh3_128_digest(w), doc, place + (k << 8)) for k, w in enumerate(_windows(words))]
-            if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, [pa.binary(), pa.int64(), pa.int64()], strict=True)], names=["kind", "doc", "place"])
+            for m, _, doc, place, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if m != bucket or len(seen) + len(whole) > MOST_SEEN:
+                    bucket, whole, seen = m, {}, {}
+                base, size = place & ~0xFF, place & 0xFF
+                start = place >> 8 & 0xFFFFFFFF
+                if whole.setdefault(xxhash.xxh3_128_digest(words), (doc, place)) != (doc, place):
+                    out.append((None, doc, base, start + size + WINDOW - 1))
+                    continue
+                begun = -1
+                for k, window in enumerate(_windows(words)):
+                    kind, at = xxhash.xxh3_128_digest(window), (doc, base + (k << 8))
+                    if seen.setdefault(kind, at) != at:
+                        begun = k if begun < 0 else begun
+                        continue
+                    out.append((kind, *at, start + k + WINDOW))
+                    if begun >= 0:
+                        out.append((None, doc, base + (begun << 8), start + k + WINDOW - 1))
+                        begun = -1
+                if begun >= 0:
+                    out.append((None, doc, base + (begun << 8), start + size + WINDOW - 1))
+            for at in range(0, len(out), 50_000):
+                columns = zip(*out[at : at + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, [pa.binary(), *[pa.int64()] * 3], strict=True)], names=["kind", "doc", "place", "beyond"])
 
-    windows = told.where("is_first").select("doc", "place", "words").mapInArrow(explode, "kind binary, doc long, place long").withColumn("place", F.expr("place & ~255L"))
-    late = _with_earliest(windows).where(F.struct("doc", "place") != F.col("earliest"))
-    return repeats.unionByName(late.select("doc", tie.alias("tie"), start.alias("first"), (start + WINDOW).alias("beyond")))
+    dealt = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "doc", "place")
+    found = stored(dealt.mapInArrow(run, "kind binary, doc long, place long, beyond long"), "large-buckets")
+    ranges = [F.expr("place >> 40").alias("tie"), F.expr("(place >> 8) & 4294967295").alias("first"), "beyond"]
+    windows = found.where("kind IS NOT NULL")
+    earliest = windows.groupBy("kind").agg(F.min(F.struct("doc", "place")).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    late = windows.join(earliest, "kind").where(F.struct("doc", "place") != F.col("earliest"))
+    return found.where("kind IS NULL").select("doc", *ranges).unionByName(late.select("doc", *ranges))
 
 
 def repeated_ranges(keyed: DataFrame) -> DataFrame:
@@ -191,7 +204,7 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     """
     kmers = super_kmers(keyed)
     counted = stored(kmers.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minimisers")
-    shared = kmers.join(counted, "minimiser").select("doc", F.expr("place >> 40").alias("tie"), F.struct("minimiser", "place", (F.col("n") > LARGE_BUCKET).alias("large")).alias("kmer"))
+    shared = kmers.join(counted, "minimiser").select("doc", F.expr("place >> 40").alias("tie"), F.struct("minimiser", "place", F.ceil(F.col("n") / LARGE_BUCKET).alias("parts")).alias("kmer"))
     by_doc = shared.groupBy("doc", "tie").agg(F.collect_list("kmer").alias("kmers"))
     joined = keyed.join(by_doc, ["doc", "tie"], "left")
     ranges = _late_in_buckets(_packed(joined, False))
