@@ -129,6 +129,22 @@ def block_keys(fp: Column, radius: int, agree: int = 2) -> Column:
     return F.array(*[key(k, c) for k, c in enumerate(combinations(range(n), agree))])
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of all rows of some keys each; batches are sorted by their first column, the key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """(a, b): edges that connect exactly what distances of at most `radius` connect; prints has distinct `fp`.
 
@@ -153,24 +169,9 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
+        for t in _whole_keys(batches):
             a, b = search(t["key"].to_numpy(), t["fp"].to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            if not len(keys):
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if cut:
-                yield out([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield out(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
@@ -237,23 +238,52 @@ def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, sketch binary, " + ", ".join(f"fp_{k} long" for k in range(PRINTS)))
 
 
-def _verified(edges: DataFrame, sketches: DataFrame) -> DataFrame:
-    of = lambda side: sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    both = edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+def verified_groups(prints: np.ndarray, sketches: list[np.ndarray], radius: int) -> Iterator[list[int]]:
+    """Groups of rows that connect what verified pairs connect: within the radius by any fingerprint (a column of prints
+    each) and similar by their sketches. A row that fails one finder stays to be found by the others."""
+    alive = np.ones(len(prints), dtype=bool)
+    for k in range(len(prints)):
+        if alive[k]:
+            alive[k] = False
+            group = [k]
+            for finder in group:
+                rest = np.flatnonzero(alive)
+                near = rest[(np.bitwise_count(prints[rest] ^ prints[finder]) <= radius).any(axis=1)]
+                found = [x for x in near.tolist() if _similarity(sketches[finder], sketches[x]) >= SIMILARITY]
+                alive[found] = False
+                group += found
+            yield group
+
+
+def _verified(proposed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of nodes in verified groups of two or more; proposed has a component of links for each node."""
+    names = [f"fp_{k}" for k in range(PRINTS)]
+    members = proposed.join(nodes, "node").select("component", "node", "sketch", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v.as_py(), dtype="<u8") for v in batch.column(k)] for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array([_similarity(p, q) >= SIMILARITY for p, q in zip(x, y, strict=True)], type=pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+        for t in _whole_keys(batches):
+            keys, node, sketch = t["component"].to_numpy(), t["node"].to_numpy(), t["sketch"]
+            prints = np.column_stack([t[n].to_numpy() for n in names]).view("<u8")
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            found, label = [], []
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                own = [np.frombuffer(v.as_py(), dtype="<u8") for v in sketch[s:e]]
+                for group in verified_groups(prints[s:e], own, SIMILAR_RADIUS):
+                    if len(group) > 1:
+                        ids = node[s:e][group]
+                        found += ids.tolist()
+                        label += [int(ids.min())] * len(group)
+            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(label, type=pa.int64())], names=["node", "component"])
+
+    return members.repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
 
 
 def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, component) of the texts, by their hashes, that have a near-duplicate: five-word shingles, similarity of 0.8 or more.
 
     Links are proposed by fingerprints that differ in at most SIMILAR_RADIUS bits, from PRINTS mixings of the shingles'
-    hashes, and stand if the sketches of both texts are similar.
+    hashes. What links connect is then searched as a whole, and every pair within the radius whose sketches are similar
+    joins its two texts, whichever edges the forests of links held.
     """
     nodes = stored(_sketched(docs, text_col), "sketches").dropDuplicates(["node"])
     nodes = stored(nodes, "sketches")
@@ -267,7 +297,7 @@ def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
         within = rows.join(classes, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
         both = across.unionByName(within)
         proposed = both if proposed is None else proposed.unionByName(both)
-    return components(_verified(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes))
+    return _verified(components(proposed), nodes)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

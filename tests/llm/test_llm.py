@@ -227,6 +227,18 @@ def test_similar_texts_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8]
 
 
+@pytest.mark.parametrize("apart", [0, 1])
+def test_a_rejected_finder_hides_no_true_pair(spark, monkeypatch, apart):
+    rng = np.random.default_rng(4)
+    sketch = lambda: np.unique(rng.integers(1, 1 << 62, 90, dtype=np.uint64))
+    a, b = sketch(), sketch()
+    c = np.unique(np.concatenate([b[:-2], sketch()[:2]]))
+    rows = [(n, s.tobytes(), *[apart * n] * simhash.PRINTS) for n, s in ((1, a), (2, b), (4, c))]  # all within two bits
+    schema = "node long, sketch binary, " + ", ".join(f"fp_{k} long" for k in range(simhash.PRINTS))
+    monkeypatch.setattr(simhash, "_sketched", lambda docs, text_col: spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, simhash.similar(None).collect())) == [(2, 2), (4, 2)]
+
+
 def plain_repeats(rows):
     seen, out = {}, {}
     for k, text in sorted(rows):
