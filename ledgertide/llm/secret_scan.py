@@ -14,9 +14,12 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),  # runs are maximal, so the least length can stand in the pattern
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+#: A key's header and what follows of it: header fields, lines of the body (line ends may be written as \\n) and the last, short line.
+_GAP = r"(?:[\x20\x09-\x0D\"',+#>|]|\\[nr])"
+KEY_BLOCK = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_GAP}{{1,16}}(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+){{0,4}}(?:{_GAP}{{0,16}}[A-Za-z0-9+/=]{{16,}}){{0,400}}(?:{_GAP}{{0,16}}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_GAP}{{0,16}}-----END))?"
 #: Kinds that the ownership method adds where the corpus speaks for a live credential.
 EXTRA = (
-    ("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    ("key_block", KEY_BLOCK, 0, 20),
     ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
     ("service", r"(?:gh[opsu]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,})", 0, 13),
     ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", 0, 20),
@@ -50,7 +53,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repository_col: str,
     """(doc_id, repository, owner, base, extra) with the spans of every whole text."""
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text_or_empty(F.col(text_col)).alias("body"))
     text = F.col("body")
-    hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["stop"], F.md5(x["value"]).alias("hash")))
+    value = lambda x: F.when(x["kind"] == "key_block", F.regexp_replace(x["value"], _GAP, "")).otherwise(x["value"])
+    hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["stop"], F.md5(value(x)).alias("hash")))
     every = lambda kinds: F.sort_array(F.concat(*[_matches(text, *k) for k in kinds]))
     return body.select("doc_id", "repository", "owner", hashed(every(BASE)).alias("base"), hashed(every(EXTRA)).alias("extra"))
 

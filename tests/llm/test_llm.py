@@ -108,6 +108,17 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert got[9][0] >= 1 and got[9][1] == 0 and got[0][0] == 0 and got[0][1] >= 1
 
 
+def test_keys_under_one_header_are_told_apart(spark):
+    lines = lambda k: [hashlib.sha512(f"{k}.{i}".encode()).hexdigest()[:64] for i in range(3)] + [f"Q{k}=="]
+    block = lambda k, gap: gap.join(["-----BEGIN RSA PRIVATE KEY-----", *lines(k), "-----END RSA PRIVATE KEY-----"])
+    rows = [(k, f"host {k} has {block(k, chr(10))} in its store", "en", f"o{k}") for k in range(6)]
+    rows += [(10 + k, f"sample {k}: {block('shared', (chr(10), ' ', chr(92) + 'n')[k % 3])} as in the manual", "en", f"o{k}") for k in range(6)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for k, text, *_ in rows:
+        start, end = text.index("-----BEGIN"), text.index("-----END")
+        assert (f"key_block:{start}:{end - 1}" in got[k]) == (k < 10), got[k]
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 
