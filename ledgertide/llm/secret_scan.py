@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.common import documents, let, stored, text_or_empty
+from ledgertide.llm.common import SPACE, documents, let, stored, text_or_empty
 
 #: Base kinds in the order in which spans of equal start are listed: name, pattern, pattern that gives the value, fewest characters of it.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,9 +25,8 @@ EXTRA = (
     ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", 0, 20),
 )
 KINDS = [k[0] for k in BASE + EXTRA]
-#: A value held by more repositories or owners than these is taken for a copied example.
-MOST_REPOSITORIES = 3
-MOST_OWNERS = 1
+#: Equal texts of so many words are copies of one text; shorter ones are taken for uses of their own, by repository.
+COPY_WORDS = 8
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -50,32 +49,36 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> C
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
-    """(doc_id, repository, owner, base, extra) with the spans of every whole text."""
+    """(doc_id, repository, owner, content, base, extra) with the spans of every whole text; copies of a text share content."""
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text_or_empty(F.col(text_col)).alias("body"))
     text = F.col("body")
     value = lambda x: F.when(x["kind"] == "key_block", F.regexp_replace(x["value"], _GAP, "")).otherwise(x["value"])
     hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["stop"], F.md5(value(x)).alias("hash")))
     every = lambda kinds: F.sort_array(F.concat(*[_matches(text, *k) for k in kinds]))
-    return body.select("doc_id", "repository", "owner", hashed(every(BASE)).alias("base"), hashed(every(EXTRA)).alias("extra"))
+    copied = text.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+{SPACE}){{{COPY_WORDS - 1}}}[^\x20\x09-\x0D]")
+    content = F.when(copied, F.xxhash64(F.lit("text"), F.regexp_replace(text, SPACE, " "))).otherwise(F.xxhash64(F.lit("repository"), "repository"))
+    return body.select("doc_id", "repository", "owner", content.alias("content"), hashed(every(BASE)).alias("base"), hashed(every(EXTRA)).alias("extra"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, repositories, owners, uses) of every candidate value.
+    """(hash, contents, owners, most, uses) of every candidate value; most is the contents that its widest owner holds.
 
     Pairs are made distinct before they are counted, so a value that a third of the corpus holds costs one row a task in
     either count. Null repositories and owners count as one of their own.
     """
-    each = found.select("repository", "owner", F.explode(F.concat("base", "extra")).alias("c")).select(F.col("c.hash").alias("hash"), "repository", "owner")
-    by_repo = each.groupBy("hash", "repository").agg(F.count(F.lit(1)).alias("uses")).groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    return by_repo.join(by_owner, "hash")
+    each = found.select("content", "owner", F.explode(F.concat("base", "extra")).alias("c")).select(F.col("c.hash").alias("hash"), "content", "owner")
+    pairs = each.groupBy("hash", "content", "owner").agg(F.count(F.lit(1)).alias("uses"))
+    by_owner = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("held"), F.sum("uses").alias("uses")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.max("held").alias("most"), F.sum("uses").alias("uses"))
+    by_content = pairs.groupBy("hash", "content").agg(F.count(F.lit(1)).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("contents"))
+    return by_content.join(by_owner, "hash")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans) for each row.
 
-    Base spans are always listed. A further kind of candidate is listed as well where its value looks live: at most
-    MOST_REPOSITORIES repositories and MOST_OWNERS owners hold it. n_live and n_example count the listed spans and the
+    Base spans are always listed. A further kind of candidate is listed as well where its value looks live: one owner
+    holds every text in which it stands, however many they are, and copies of a text count once, so a copy elsewhere
+    makes no example of what it holds. n_live and n_example count the listed spans and the
     copied ones by that measure, base kinds included. Null texts count as empty, and texts without candidates get
     zeros and the digest of the empty list. Repeated rows get repeated results. Candidates, without texts, are stored
     once; hot values meet only in counts and in a join whose skewed side Spark splits.
@@ -83,7 +86,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     found = stored(candidates(docs, id_col, text_col, repository_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "secrets")
     seen = ownership(found)
     each = found.select("row", F.explode(F.concat("base", "extra")).alias("c")).select("row", F.col("c.hash").alias("hash"), "c")
-    live = (F.col("repositories") <= MOST_REPOSITORIES) & (F.col("owners") <= MOST_OWNERS)
+    live = F.col("most") == F.col("contents")
     judged = (
         each.join(seen, "hash").withColumn("live", live)
         .groupBy("row")

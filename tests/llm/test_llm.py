@@ -119,6 +119,17 @@ def test_keys_under_one_header_are_told_apart(spark):
         assert (f"key_block:{start}:{end - 1}" in got[k]) == (k < 10), got[k]
 
 
+def test_one_owner_and_copies_leave_a_value_live(spark):
+    key = lambda name: f"ghp_{name}{'0aB' * 8}"
+    page = lambda k, name: f"notes number {k} of a longer text which says that {key(name)} opens it"
+    rows = [(k, page(k, "OneOwner"), "en", "o1") for k in range(6)]  # six texts of one owner
+    rows += [(10 + k, page(10, "Copied"), "en", f"o{k}") for k in range(6)]  # six copies of a text
+    rows += [(20 + k, page(20 + k // 2, "Both"), "en", f"o{k % 2}") for k in range(4)]  # two texts, copied elsewhere
+    rows += [(30 + k, page(30 + k, "Shared"), "en", f"o{k}") for k in range(6)]  # six texts of six owners
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(("service" in got[k]) == (k < 30) for k, *_ in rows), got
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 
