@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: For similar(): words in a shingle, similarity, fingerprints by differently mixed hashes, bits that they may differ in,
 #: and hashes in a sketch.
-SIMILAR_SIZE, SIMILARITY, PRINTS, SIMILAR_RADIUS, SKETCH = 5, 0.8, 3, 6, 128
+SIMILAR_SIZE, SIMILARITY, PRINTS, SIMILAR_RADIUS, SKETCH = 5, 0.8, 6, 8, 128
 _MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & _MASK) for k in range(16)]
 
 
@@ -218,6 +218,15 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, a).__and__(np.isin(both, b)).mean()) if len(both) else 1.0
 
 
+def mixed_prints(hashes: np.ndarray) -> list[int]:
+    """PRINTS fingerprints of a text, each by differently mixed hashes."""
+    prints = [fingerprint(hashes)]
+    for k in range(1, PRINTS):
+        x = hashes * _MIX[k]
+        prints.append(fingerprint((x ^ x >> np.uint64(31)) * _MIX[k + 1]))
+    return prints
+
+
 def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
     """(node, sketch, fp_0...): node is the text's hash."""
     text = text_or_empty(F.col(text_col))
@@ -227,11 +236,7 @@ def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
             rows = []
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py(), SIMILAR_SIZE)
-                prints = [fingerprint(h)]
-                for k in range(1, PRINTS):
-                    x = h * _MIX[k]
-                    prints.append(fingerprint((x ^ x >> np.uint64(31)) * _MIX[k + 1]))
-                rows.append((np.unique(h)[:SKETCH].tobytes(), *prints))
+                rows.append((np.unique(h)[:SKETCH].tobytes(), *mixed_prints(h)))
             sketch, *prints = zip(*rows, strict=True) if rows else [()] * (PRINTS + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sketch), type=pa.binary()), *[pa.array(list(p), type=pa.int64()) for p in prints]], names=["node", "sketch", *[f"fp_{k}" for k in range(PRINTS)]])
 

@@ -261,6 +261,23 @@ def test_a_rejected_finder_hides_no_true_pair(spark, monkeypatch, apart):
     assert sorted(map(tuple, simhash.similar(None).collect())) == [(2, 2), (4, 2)]
 
 
+def test_fingerprints_recall_pairs_near_the_similarity():
+    rng = np.random.default_rng(1)
+    for least, want in ((0.8, 0.85), (0.85, 0.95), (0.9, 0.99)):
+        hit = 0
+        for _ in range(60):
+            new = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+            a = simhash.shingle_hashes(" ".join(new), simhash.SIMILAR_SIZE)
+            b, share = a, 1.0
+            while share >= least + 0.012:  # a changed word takes about 0.02 away
+                new[int(rng.integers(0, 400))] = f"n{rng.integers(0, 10**6)}"
+                last, b = b, simhash.shingle_hashes(" ".join(new), simhash.SIMILAR_SIZE)
+                share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            b = b if share >= least else last
+            hit += any(((x ^ y) & simhash._MASK).bit_count() <= simhash.SIMILAR_RADIUS for x, y in zip(simhash.mixed_prints(a), simhash.mixed_prints(b), strict=True))
+        assert hit >= want * 60, (least, hit)
+
+
 def plain_repeats(rows):
     seen, out = {}, {}
     for k, text in sorted(rows):
