@@ -12,11 +12,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
 #: Fewest documents from which a language and source sets its own thresholds; smaller ones take their language's, then everyone's.
 LEAST_DOCS = 100
-#: The adaptive rules, each on an integer measure: name, numerator, factor, denominator, slack above the fence.
+#: The adaptive rules, each on an integer measure: name, numerator, factor, denominator, slack above the fence. Numerators
+#: leave out what a short clean text may hold (a few marks, one repeated window, one repeated line), so the slack can be small.
 MEASURES = (
-    ("symbols", "n_symbols", 1000, "n_words", 400),
-    ("repeats", "n_repeat_words", 1000, "n_words", 200),
-    ("dup_lines", "n_dup_lines", 1000, "n_words", 60),
+    ("symbols", "greatest(n_symbols - 4, 0)", 1000, "n_words", 100),
+    ("repeats", f"greatest(n_repeat_words - {2 * WINDOW_WORDS}, 0)", 1000, "n_words", 50),
+    ("dup_lines", "greatest(n_dup_lines - 1, 0)", 1000, "n_words", 20),
     ("length", "word_chars", 100, "n_words", 300),
 )
 #: A measure fails above q3 + FENCE * (q3 - q1) + slack.

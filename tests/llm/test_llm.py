@@ -84,6 +84,21 @@ def test_quality(docs, empty):
     assert quality_rules.quality(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
 
 
+def test_each_adaptive_rule_rejects_what_the_base_rule_keeps(spark):
+    plain = lambda k, n: " ".join(f"a{k}x{i}" for i in range(n))
+    bad = {
+        900: " ".join(f"{w}#" if i % 3 == 0 else w for i, w in enumerate(plain(900, 200).split())),  # symbols
+        901: plain(901, 180) + " " + " ".join(plain(901, 180).split()[:15]),  # repeats: 30 of 195 words
+        902: plain(902, 200) + "".join(f"\nsame\n{plain(f'902y{j}', 5)}" for j in range(8)),  # dup_lines
+        903: " ".join(x * 3 for x in plain(903, 100).split()),  # length
+    }
+    good = {910: "short clean text of a dozen words # with & two | marks in it", 911: plain(911, 100) + " " + " ".join(plain(911, 100).split()[:5]), 912: plain(912, 20) + "\nsame\nmore words here\nsame"}
+    rows = [(k, plain(k, 150 + k % 9), "en", "s") for k in range(200)] + [(k, t, "en", "s") for k, t in (bad | good).items()]
+    got = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[k].base_failed for k in bad) and [k for k in bad if got[k].kept] == []
+    assert all(got[k].kept for k in [*range(200), *good])
+
+
 def test_quality_sketch_bounds_its_error(spark):
     frame = spark.range(0, 5000).selectExpr("id * id AS v")
     got = frame.select("v", quality_rules.bucket_top(quality_rules.bucket(frame["v"])).alias("top")).collect()
