@@ -116,6 +116,12 @@ def is_valid_date(raw: Column) -> Column:
     return F.coalesce(raw.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$") & F.try_to_date(raw, "yyyy-M-d").isNotNull(), F.lit(False))
 
 
+def iso_date(raw: Column) -> Column:
+    """yyyy-MM-dd as a date; anything else is an error of the query, which names the value."""
+    day = F.when(raw.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
+    return F.when(raw.isNotNull() & day.isNull(), F.raise_error(F.concat(F.lit("not a date as yyyy-MM-dd: "), raw)).cast("date")).otherwise(day)
+
+
 def meeting_type(title: Column, body: Column) -> Column:
     both = F.lower(F.concat_ws(" ", title, body))
     return F.when(both.contains("unscheduled"), "Unscheduled").when(both.contains("scheduled"), "Scheduled").otherwise("Regular")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgertide.functions.text import timestamp_day
+from ledgertide.functions.text import error_tone, timestamp_day
 
 SMALLEST = 1e-6
 
@@ -52,6 +52,13 @@ def spot_delta(rows: DataFrame) -> DataFrame:
     return rows.where("predicted IS NOT NULL AND current IS NOT NULL").withColumns({"delta": delta, "pct": percent_change(F.col("predicted"), F.col("current")), "tone": tone})
 
 
+def error_badges(errors: DataFrame, baseline: str) -> DataFrame:
+    """errors (mape, rmse, and a baseline column, ...) with tones of both, and rmse as a share of the baseline in per cent."""
+    relative = F.when(F.col(baseline) > 0, F.try_divide(F.col("rmse"), F.col(baseline)) * 100)
+    tone = lambda kind, c: error_tone(F.lit(kind), F.col(c), F.col(baseline)).alias(f"{c}_tone")
+    return errors.select("*", tone("mape", "mape"), tone("rmse", "rmse"), relative.alias("rmse_pct"))
+
+
 def band_check(rows: DataFrame, value: str, caution: float) -> DataFrame:
     """rows with within, distance, distance_pct and tone of a value against its band (lower, upper)."""
     v = F.col(value)

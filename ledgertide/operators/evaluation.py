@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgertide.working import small, stored
+
 CLASSES = ("hawkish", "dovish", "neutral")
 _ORDINAL = {"dovish": -1, "neutral": 0, "hawkish": 1}
 NEAR_ZERO = 1e-12
@@ -44,13 +46,28 @@ def ordinal_error(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("rmse"), (F.avg(F.abs(off) / F.greatest(F.abs(ordinal(F.col("label"))), F.lit(1))) * 100).alias("mape"))
 
 
+#: Accuracy of the quantile sketch that brackets a percentile: ranks are off by one in so many at most.
+BRACKET = 10_000
+
+
 def lower_percentile(rows: DataFrame, column: str, share: float, keys: list[str]) -> DataFrame:
-    """The element at floor((n - 1) * share) of each key's values in order, from counts of distinct values."""
-    group = Window.partitionBy(*keys)
-    counted = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
-    upto, total = F.sum("n").over(group.orderBy(column)), F.sum("n").over(group)
-    at = F.floor((F.col("total") - 1) * F.lit(share))
-    return counted.withColumns({"upto": upto, "total": total}).where(F.col("upto") > at).groupBy(*keys).agg(F.min(column).alias("value"))
+    """The element at floor((n - 1) * share) of each key's values in order; nulls don't count.
+
+    A mergeable sketch brackets the rank between two values, so what is put in order are the few distinct values in
+    between, however many rows a key has; those below are counted.
+    """
+    own = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value"))
+    ends = [max(0.0, share - 2 / BRACKET), min(1.0, share + 2 / BRACKET)]
+    bracket = own.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("total"), F.percentile_approx("value", ends, BRACKET).alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
+    at, n = F.floor((F.col("total") - 1) * F.lit(share)), F.col("total")
+    low = F.when((n < 4 * BRACKET) | (at < n * (2 / BRACKET)), F.col("least")).otherwise(F.col("q")[0])
+    high = F.when((n < 4 * BRACKET) | (at > n * (1 - 2 / BRACKET)), F.col("most")).otherwise(F.col("q")[1])
+    bounds = bracket.select(*[f"of_{k}" for k in keys], at.alias("at"), low.alias("low"), high.alias("high"))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    near = own.join(small(bounds), same).select(*keys, "at", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"), F.col("high")).where("value IS NULL OR value <= high")
+    counted = near.groupBy(*keys, "at", "value").agg(F.count(F.lit(1)).alias("n"))  # those below the bracket together, as null
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("value")))
+    return counted.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & F.col("value").isNotNull()).groupBy(*keys).agg(F.min("value").alias("value"))
 
 
 def combined_rmse(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,18 +107,19 @@ def sample_rows(rows: DataFrame, order: list[str], seed: int, cap: int) -> DataF
     """`cap` rows without replacement, by the standard library's generator over positions in the order; all for fewer rows.
 
     The driver draws the positions, `cap` of them, which are joined to positions counted from a sort by the order.
+    The sorted rows are stored, so their numbers stay as they are.
     """
     n = rows.count()
     if cap <= 0 or n <= cap:
         return rows
     picked = sorted(random.Random(seed).sample(range(n), cap))
     spark: SparkSession = rows.sparkSession
-    ordered = rows.orderBy(*order)
-    parts = ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    place = F.monotonically_increasing_id()  # the part in the high bits, the place in it in the others
+    parts = stored(rows.orderBy(*order).select(F.struct(*rows.columns).alias("row"), place.alias("place")), "sample").selectExpr("row", "shiftright(place, 33) AS part", f"place & {(1 << 33) - 1} AS at")
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = parts.join(F.broadcast(before), "part").withColumn("position", F.col("at") + F.col("before"))
-    return placed.join(F.broadcast(spark.createDataFrame([(k,) for k in picked], "position long")), "position").select(*rows.columns)
+    placed = parts.join(small(before), "part").withColumn("position", F.col("at") + F.col("before"))
+    return placed.join(small(spark.createDataFrame([(k,) for k in picked], "position long")), "position").select("row.*")
 
 
 def sweep_grid(spark: SparkSession, **values: list) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE_DAYS, VOL_WINDOW = 7, 5
+MOST_SYMBOLS = 10_000
 
 
 def daily_closes(events: DataFrame) -> DataFrame:
@@ -17,6 +18,14 @@ def order_closes(orders: DataFrame) -> DataFrame:
     return orders.groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("close"))
 
 
+def price_window(series: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
+    """Rows of a symbol with a close from start to the day before end, which the scan filters; none is an error."""
+    rows = series.where((F.col("symbol") == symbol) & (F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date")) & F.col("close").isNotNull())
+    if rows.isEmpty():
+        raise ValueError(f"no prices of {symbol} from {start} to {end}")
+    return rows
+
+
 def _by_day() -> Window:
     return Window.partitionBy("symbol").orderBy("date")
 
@@ -68,7 +77,9 @@ def forward(requests: DataFrame, series: DataFrame, steps: int) -> DataFrame:
 
 
 def pair_with_symbols(docs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each document with each symbol; symbols is a short list."""
+    """Each document with each symbol; symbols is a list of MOST_SYMBOLS at most."""
+    if symbols.limit(MOST_SYMBOLS + 1).count() > MOST_SYMBOLS:
+        raise ValueError(f"more than {MOST_SYMBOLS} symbols")
     return docs.crossJoin(F.broadcast(symbols))
 
 

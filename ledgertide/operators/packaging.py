@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgertide.working import small
+
+#: Distinct dates that the driver puts in order for folds; more are refused.
+MOST_DATES = 1_000_000
+#: Fewest supervised rows of a package.
+LEAST_ROWS = 10
+
 FOLD_SCHEMA = "fold_id string, train_start string, train_end string, val_start string, val_end string, test_start string, test_end string"
 
 
@@ -13,6 +20,13 @@ def supervised(labelled: DataFrame, include_unlabeled: bool = False) -> DataFram
     return labelled if include_unlabeled else labelled.where("mapped_label IS NOT NULL")
 
 
+def check_rows(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """rows, of which there must be `least`."""
+    if (n := rows.limit(least).count()) < least:
+        raise ValueError(f"a package needs {least} labelled rows, there are {n}")
+    return rows
+
+
 def time_split(rows: DataFrame, train: float = 0.7, val: float = 0.85) -> DataFrame:
     """rows with split_tag by position in the order of event_date and record_id.
 
@@ -24,7 +38,7 @@ def time_split(rows: DataFrame, train: float = 0.7, val: float = 0.85) -> DataFr
     cut_train = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(train)))
     cut_val = F.least(F.greatest(F.col("cut_train") + 1, F.floor(F.col("total") * F.lit(val))), F.col("total"))
     placed = dates.select("event_date", "n", before.alias("before"), total.alias("total")).withColumn("cut_train", cut_train).withColumn("cut_val", cut_val)
-    joined = rows.join(F.broadcast(placed), "event_date")
+    joined = rows.join(small(placed), "event_date")
     tag = lambda at: F.when(at < F.col("cut_train"), "train").when(at < F.col("cut_val"), "val").otherwise("test")
     whole = tag(F.col("before")) == tag(F.col("before") + F.col("n") - 1)
     inner = F.row_number().over(Window.partitionBy("event_date").orderBy("record_id"))
@@ -35,7 +49,10 @@ def time_split(rows: DataFrame, train: float = 0.7, val: float = 0.85) -> DataFr
 
 def _dates(rows: DataFrame) -> list[str]:
     """Distinct dates in order: as many as there are days, not rows."""
-    return [r["event_date"] for r in rows.where("event_date <> ''").select("event_date").distinct().orderBy("event_date").collect()]
+    dates = rows.where("event_date <> ''").select("event_date").distinct().limit(MOST_DATES + 1).collect()
+    if len(dates) > MOST_DATES:
+        raise ValueError(f"more than {MOST_DATES} distinct dates: event_date holds something else")
+    return sorted(r["event_date"] for r in dates)
 
 
 def walk_forward(spark: SparkSession, rows: DataFrame, min_train: float = 0.6, folds: int = 4) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgertide.functions import text as T
+from ledgertide.working import stored
 
 REGISTRY = ["record_id", "source", "source_record_id", "document_type", "event_date", "title", "text", "label", "label_origin", "license_scope", "citation_ref", "ingested_at_utc", "text_hash"]
 LABEL_MAP_VERSION, LABEL_TAXONOMY = "label_map_v1.0", "hawkish|dovish|neutral"
-#: Rows that a report lists; its counts stay whole.
-REPORT_ROWS = 5000
 NEAR_THRESHOLD = 0.97
 
 
@@ -54,57 +55,127 @@ def label_exceptions(labelled: DataFrame) -> DataFrame:
     return labelled.where("mapped_label IS NULL AND label <> ''").select("record_id", "source", "label")
 
 
-def _first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumns({"nth": F.row_number().over(w), "first_record_id": F.first("record_id").over(w)})
+def _rank(order: list[str]) -> Column:
+    return F.struct(*order, "record_id")
+
+
+def _repeats(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows after the first of their key in the order, with first_record_id.
+
+    The first is found by an aggregate that merges before the shuffle, and joined back, so one hot key is a skewed join
+    side, which Spark splits. Rows that are equal in the order and in record_id are told apart by counting.
+    """
+    firsts = rows.groupBy(*keys).agg(F.min_by("record_id", _rank(order)).alias("first_record_id"), F.min(_rank(order)).alias("first_rank"), F.count(F.lit(1)).alias("in_group")).where("in_group > 1")
+    known = rows.join(firsts, keys).withColumn("is_first", _rank(order) == F.col("first_rank")).drop("first_rank", "in_group")
+    again = known.where("is_first").groupBy(*rows.columns, "first_record_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = again.select("*", F.explode(F.sequence(F.lit(2), F.col("times").cast("int"))).alias("nth")).drop("times", "nth")
+    return known.where("NOT is_first").drop("is_first").unionByName(again)
 
 
 def exact_dedup(registry: DataFrame, order: list[str]) -> DataFrame:
-    """The first row in the order of each event date and text hash."""
-    return _first_seen(registry, ["event_date", "text_hash"], order).where("nth = 1").drop("nth", "first_record_id")
+    """The first row in the order of each event date and text hash; merged before the shuffle."""
+    row = F.min_by(F.struct(*registry.columns), _rank(order))
+    return registry.groupBy(F.col("event_date").alias("k1"), F.col("text_hash").alias("k2")).agg(row.alias("row")).select("row.*")
 
 
 def exact_dropped(registry: DataFrame, order: list[str]) -> DataFrame:
-    return _first_seen(registry, ["event_date", "text_hash"], order).where("nth > 1").select("record_id", F.col("first_record_id").alias("kept_record_id"), "event_date")
+    rows = registry.select(*dict.fromkeys(["record_id", "event_date", "text_hash", *order]))
+    return _repeats(rows, ["event_date", "text_hash"], order).select("record_id", F.col("first_record_id").alias("kept_record_id"), "event_date")
 
 
 def source_record_dupes(registry: DataFrame, order: list[str]) -> DataFrame:
-    seen = _first_seen(registry, ["source", "source_record_id"], order).where("nth > 1")
-    return seen.select("record_id", "first_record_id", F.concat_ws("::", "source", "source_record_id").alias("key"))
+    rows = registry.select(*dict.fromkeys(["record_id", "source", "source_record_id", *order]))
+    return _repeats(rows, ["source", "source_record_id"], order).select("record_id", "first_record_id", F.concat_ws("::", "source", "source_record_id").alias("key"))
 
 
-def near_dedup(registry: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
-    """(record_id, event_date, blocked_by, similarity) for each row; blocked_by is null for survivors.
+#: Texts of a block; two blocks are compared in one task.
+BLOCK_TEXTS = 256
 
-    Within an event date, in the order of source and record id, a row is blocked by the first survivor whose matching
-    ratio with it reaches the threshold. The order decides, so a date is one group; bounds on the ratio that need only
-    lengths or letter counts skip most comparisons, and equal texts are compared once.
-    """
 
-    def block(group: pd.DataFrame) -> pd.DataFrame:
-        survivors: list[tuple[str, str]] = []
+def _runs(text: str) -> np.ndarray:
+    """Counts of the runs of three letters, by a hash of them."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    h = (c[:-2] * np.uint64(0x9E3779B1) + c[1:-1] * np.uint64(0x85EBCA77) + c[2:] * np.uint64(0xC2B2AE3D)) >> np.uint64(7)
+    return np.bincount((h % np.uint64(2048)).astype(np.int64), minlength=2048).astype(np.int32)
+
+
+def _similar_texts(classes: DataFrame, threshold: float) -> DataFrame:
+    """(event_date, later, earlier, similarity) of the texts of one date whose matching ratio reaches the threshold.
+
+    The ratio is at most 2 * shorter / (shorter + longer), so texts are laid in bands of lengths of which only equal and
+    neighbouring ones can match. Bands are dealt out in blocks, and pairs of blocks are compared in tasks of their own,
+    so a date, however large, is spread, and only pairs that match are written. Two texts of T letters with U unmatched
+    ones match in U + 1 blocks at most, each of which costs two runs of three letters, so they share T/2 - U/2 - 2(U + 1)
+    runs at least: few pairs pass that, and only for these the ratio is taken.
+    """
+    width = F.lit(math.log((2 - threshold) / threshold) * 1.000001)  # as far apart as the logarithms of two matching lengths may be
+    banded = classes.withColumn("band", F.floor(F.log(F.length("text").cast("double")) / width))
+    sizes = banded.groupBy("event_date", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks"))
+    above = sizes.select("event_date", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = sizes.select("event_date", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    placed = banded.join(sizes.join(above, ["event_date", "band"], "left").join(below, ["event_date", "band"], "left"), ["event_date", "band"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    pair = lambda band, i, side, j: F.struct(band.alias("low"), i.alias("i"), side.alias("side"), j.alias("j"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    band, block, none = F.col("band"), F.col("block"), F.lit(0)
+    own = F.transform(upto(F.col("blocks")), lambda j: pair(band, F.least(block, j), none, F.greatest(block, j)))
+    up = F.transform(upto(F.coalesce("above", none)), lambda j: pair(band, block, F.lit(1), j))
+    down = F.transform(upto(F.coalesce("below", none)), lambda i: pair(band - 1, i, F.lit(1), block))
+    dealt = placed.select("event_date", "cls", "rank", "text", "band", "block", F.explode(F.concat(own, up, down)).alias("pair"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for row in group.sort_values(["source", "record_id"]).itertuples():
-            by, best, matcher = None, 0.0, SequenceMatcher(None, row.text, "")
-            for rid, text in survivors:
-                total = len(row.text) + len(text)
-                if total and 2 * min(len(row.text), len(text)) / total < threshold:
-                    continue
-                matcher.set_seq2(text)
-                if matcher.quick_ratio() < threshold:
+        crossed = bool(group["side"].iloc[0]) or group["i"].iloc[0] != group["j"].iloc[0]
+        rows = sorted(zip(group["source"], group["record_id"], group["cls"], group["text"], group["band"], group["block"], strict=True))
+        sizes, runs = np.array([len(r[3]) for r in rows]), np.stack([_runs(r[3]) for r in rows])
+        for k, (_, _, earlier, text, *place) in enumerate(rows):
+            matcher, total = None, sizes[k + 1 :] + sizes[k]
+            near = 2 * np.minimum(sizes[k + 1 :], sizes[k]) >= threshold * total - 1e-6
+            near &= np.minimum(runs[k + 1 :], runs[k]).sum(axis=1) >= total / 2 - 2.5 * (1 - threshold) * total - 2 - 1e-6
+            for later in (rows[k + 1 + m] for m in np.flatnonzero(near)):
+                if crossed and place == [*later[4:]]:
                     continue
-                ratio = matcher.ratio()
-                best = max(best, ratio)
-                if ratio >= threshold:
-                    by = rid
-                    break
-            out.append((row.record_id, row.event_date, by, round(best, 5) if by else None))
-            if by is None:
-                survivors.append((row.record_id, row.text))
-        return pd.DataFrame(out, columns=["record_id", "event_date", "blocked_by", "similarity"])
+                matcher = matcher or SequenceMatcher(None, "", text)
+                matcher.set_seq1(later[3])
+                if (ratio := matcher.ratio()) >= threshold:
+                    out.append((group["event_date"].iloc[0], later[2], earlier, ratio))
+        return pd.DataFrame(out, columns=["event_date", "later", "earlier", "similarity"])
+
+    flat = dealt.select("event_date", "cls", "rank.*", "text", "band", "block", "pair.*")
+    return flat.groupBy("event_date", "low", "i", "side", "j").applyInPandas(compare, "event_date string, later string, earlier string, similarity double")
 
-    rows = registry.select("record_id", "event_date", "source", "text")
-    return rows.groupBy("event_date").applyInPandas(block, "record_id string, event_date string, blocked_by string, similarity double")
+
+def near_dedup(registry: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
+    """(record_id, event_date, blocked_by, similarity) for each row; blocked_by is null for survivors.
+
+    Within an event date, in the order of source and record id, a row is blocked by the first survivor whose matching
+    ratio with it reaches the threshold. Equal texts of a date go together, as one of them decides for all. Of the pairs
+    that match, rounds of joins settle who survives: a text without an earlier match does, its later matches don't, and
+    what they might have blocked is looked at again. There are as many rounds as the longest chain of matches.
+    """
+    rank = F.struct("source", "record_id")
+    rows = registry.select("record_id", "event_date", "source", F.md5(F.concat_ws("\n", "event_date", "text")).alias("cls"), "text")
+    classes = stored(rows.groupBy("event_date", "cls", "text").agg(F.min(rank).alias("rank")), "near-classes")
+    matches = stored(_similar_texts(classes, threshold), "near-matches")
+    open_, survivors, gone = matches.select("later", "earlier"), classes.select("cls").join(matches.select(F.col("later").alias("cls")), "cls", "left_anti"), None
+    alive = stored(survivors, "near-alive")
+    new = alive
+    while not open_.isEmpty():
+        blocked = stored(open_.join(new.select(F.col("cls").alias("earlier")), "earlier").select(F.col("later").alias("cls")).distinct(), "near-blocked")
+        rest = open_.join(blocked.select(F.col("cls").alias("later")), "later", "left_anti")
+        waiting = rest.select(F.col("later").alias("cls")).distinct()
+        rest = stored(rest.join(blocked.select(F.col("cls").alias("earlier")), "earlier", "left_anti"), "near-open")
+        new = stored(waiting.join(rest.select(F.col("later").alias("cls")), "cls", "left_anti"), "near-new")
+        alive, open_ = alive.unionByName(new), rest
+    heads = classes.select("cls", "rank")
+    by = matches.join(alive.select(F.col("cls").alias("earlier")), "earlier").join(heads.select(F.col("cls").alias("earlier"), "rank"), "earlier")
+    first = by.groupBy(F.col("later").alias("cls")).agg(F.min_by(F.struct(F.col("rank.record_id").alias("by"), "similarity"), "rank").alias("first"))
+    judged = heads.join(first, "cls", "left")
+    all_ = rows.drop("text").join(judged, "cls")
+    is_head = (F.col("record_id") == F.col("rank.record_id")) & (F.col("source") == F.col("rank.source"))
+    blocked_by = F.coalesce("first.by", F.when(~is_head, F.col("rank.record_id")))
+    similarity = F.coalesce(F.round("first.similarity", 5), F.when(~is_head, F.lit(1.0)))
+    return all_.select("record_id", "event_date", blocked_by.alias("blocked_by"), similarity.alias("similarity"))
 
 
 def invalid_dates(registry: DataFrame) -> DataFrame:
@@ -122,7 +193,3 @@ def distribution(labelled: DataFrame) -> DataFrame:
     """Counts by source, by label and by both, in one pass."""
     rows = labelled.select("source", F.coalesce("mapped_label", F.lit("unlabeled")).alias("label"))
     return rows.groupingSets([[F.col("source"), F.col("label")], [F.col("source")], [F.col("label")]], "source", "label").agg(F.count(F.lit(1)).alias("records"))
-
-
-def report_rows(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.orderBy(*order).limit(REPORT_ROWS)

@@ -29,6 +29,33 @@ def lexicon_scorer() -> Scorer:
     return score
 
 
+def normalized_scores(output: object) -> list[dict[str, object]]:
+    """A classifier's output as a list of label and score: a nested list is opened, what is no object is left out."""
+    if isinstance(output, list) and output and isinstance(output[0], list):
+        output = output[0]
+    return [{"label": str(x.get("label", "")), "score": float(x.get("score", 0.0))} for x in output if isinstance(x, dict)] if isinstance(output, list) else []
+
+
+def first_that_loads(*loaders: Callable[[], Scorer]) -> Callable[[], Scorer]:
+    """A loader that tries others in order; if none loads, the last failure is raised."""
+
+    def load() -> Scorer:
+        failure: Exception = ValueError("no loaders")
+        for loader in loaders:
+            try:
+                return loader()
+            except Exception as e:  # a checkpoint or device that isn't there, of whatever kind
+                failure = e
+        raise failure
+
+    return load
+
+
+def classifier_scorer(classify: Callable[[str], object]) -> Scorer:
+    """A scorer of a classifier that takes a text and gives lists of label and score; labels are mapped to LABELS by the caller."""
+    return lambda texts: [{x["label"]: x["score"] for x in normalized_scores(classify(t))} for t in texts]
+
+
 def score_chunks(chunks: DataFrame, make_scorer: Callable[[], Scorer] = lexicon_scorer) -> DataFrame:
     """(doc_id, chunk, label, score) of (doc_id, chunk, tokens); each worker makes its scorer once a partition."""
 

@@ -8,6 +8,7 @@ from ledgertide.catalog import table
 from ledgertide.operators import alignment as A
 from ledgertide.operators import evaluation as E
 from ledgertide.operators import market as M
+from ledgertide.sources import packages as K
 
 _TRUTH = "element_at(array('hawkish', 'dovish', 'neutral'), CAST(doc_id % 3 AS INT) + 1)"
 _PRED = "CASE WHEN doc_id % 10 < 6 THEN element_at(array('hawkish', 'dovish', 'neutral'), CAST(doc_id % 3 AS INT) + 1) WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'hawkish' END"
@@ -122,6 +123,17 @@ def forecast_error(spark, sf_dir):
     return _rounded(E.forecast_error(_pairs(spark, sf_dir), ["symbol"]), 6)
 
 
+def error_badges(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    base = pairs.groupBy("symbol").agg(F.avg("realized").alias("baseline"))
+    return _rounded(A.error_badges(E.forecast_error(pairs, ["symbol"]).join(base, "symbol"), "baseline"), 6)
+
+
+def evaluation_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "CASE doc_id % 5 WHEN 0 THEN ' Hawkish' WHEN 1 THEN 'DOVISH' WHEN 2 THEN 'neutral' WHEN 3 THEN 'other' ELSE NULL END AS mapped_label", "CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE '2024-01-02' END AS event_date")
+    return K.evaluation_rows(rows).select(F.md5("text").alias("digest"), "label", "event_date")
+
+
 def _ends(spark, sf_dir):
     history, forecast, _ = _points(spark, sf_dir)
     last = history.groupBy("symbol").agg(F.max_by("value", "pos").alias("current"))
@@ -151,7 +163,7 @@ def realized_band_check(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     classification_metrics, ordinal_error, latency_percentile, combined_rmse, sentiment_chunk_mean, sentiment_top_label, token_chunks, sample_rows, run_specs, sweep_grid, sweep_best, trial_flatten, acceptance_gate, seed_summary,
-    series_align, forecast_pairs, forecast_error, forecast_delta, spot_delta, spot_band_check, realized_band_check,
+    series_align, forecast_pairs, forecast_error, error_badges, evaluation_rows, forecast_delta, spot_delta, spot_band_check, realized_band_check,
 )}
 
 _P = "p AS (SELECT source, ['hawkish', 'dovish', 'neutral'][doc_id % 3 + 1] AS label, CASE WHEN doc_id % 10 < 6 THEN ['hawkish', 'dovish', 'neutral'][doc_id % 3 + 1] WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'hawkish' END AS pred FROM documents)"
@@ -187,6 +199,9 @@ ORACLES = {
     "series_align": f"WITH {_EVENTS}, k AS (SELECT symbol, day FROM h UNION SELECT symbol, day FROM f UNION SELECT symbol, day FROM r) SELECT k.symbol, k.day, round(h.value, 8) AS history, round(f.value, 8) AS forecast, round(lower, 8) AS lower, round(upper, 8) AS upper, round(r.value, 8) AS realized, CASE WHEN upper IS NULL THEN 0.0 ELSE round(greatest(upper - lower, 0.0), 8) END AS band FROM k LEFT JOIN h USING (symbol, day) LEFT JOIN f USING (symbol, day) LEFT JOIN r USING (symbol, day)",
     "forecast_pairs": f"WITH {_PAIRS} SELECT symbol, day, round(forecast, 8) AS forecast, round(realized, 8) AS realized FROM q",
     "forecast_error": f"WITH {_PAIRS} SELECT symbol, round(sqrt(avg((realized - forecast) * (realized - forecast))), 6) AS rmse, round(avg(CASE WHEN abs(realized) > 1e-12 THEN abs((realized - forecast) / realized) END) * 100, 6) AS mape FROM q GROUP BY 1",
+    "error_badges": f"""WITH {_PAIRS}, e AS (SELECT symbol, sqrt(avg((realized - forecast) * (realized - forecast))) AS rmse, avg(CASE WHEN abs(realized) > 1e-12 THEN abs((realized - forecast) / realized) END) * 100 AS mape, avg(realized) AS baseline FROM q GROUP BY 1), y AS (SELECT *, CASE WHEN baseline > 0 THEN rmse / baseline * 100 END AS pct FROM e)
+      SELECT symbol, round(rmse, 6) AS rmse, round(mape, 6) AS mape, round(baseline, 6) AS baseline, CASE WHEN mape <= 2 THEN 'low' WHEN mape <= 5 THEN 'medium' ELSE 'high' END AS mape_tone, CASE WHEN coalesce(pct, rmse) <= 1 THEN 'low' WHEN coalesce(pct, rmse) <= 2.5 THEN 'medium' ELSE 'high' END AS rmse_tone, round(pct, 6) AS rmse_pct FROM y""",
+    "evaluation_rows": "SELECT md5(trim(text)) AS digest, CASE doc_id % 5 WHEN 0 THEN 'hawkish' WHEN 1 THEN 'dovish' ELSE 'neutral' END AS label, '2024-01-02' AS event_date FROM documents WHERE doc_id % 5 < 3 AND doc_id % 7 <> 0 AND trim(coalesce(text, '')) <> ''",
     "forecast_delta": f"WITH {_ENDS} SELECT symbol, round(coalesce((predicted - current) / nullif(current, 0) * 100, 0.0), 6) AS pct, round(predicted - current, 6) AS diff FROM e",
     "spot_delta": f"WITH {_ENDS} SELECT symbol, round(predicted, 6) AS predicted, round(current, 6) AS current, round(predicted - current, 6) AS delta, round(coalesce((predicted - current) / nullif(current, 0) * 100, 0.0), 6) AS pct, CASE WHEN predicted > current THEN 'up' WHEN predicted < current THEN 'down' ELSE 'flat' END AS tone FROM e",
     "spot_band_check": f"WITH {_ENDS}, k AS (SELECT symbol, {_check('current', '0.015::DOUBLE')} FROM e) SELECT symbol, {_JUDGED} FROM k",

@@ -140,9 +140,8 @@ def distribution_report(spark, sf_dir):
 
 
 def near_dedup(spark, sf_dir):
-    """Blocks of one source and one of 20 dates, so that the sequential comparison stays small; whole texts."""
-    rows = registry(spark, sf_dir).withColumn("event_date", F.concat_ws("|", F.expr("CAST(doc_id % 20 AS STRING)"), "source"))
-    return R.near_dedup(rows)
+    """By the registry's own dates; whole texts."""
+    return R.near_dedup(registry(spark, sf_dir))
 
 
 def union_sources(spark, sf_dir):
@@ -159,7 +158,7 @@ def documents_listing(spark, sf_dir):
 
 def unique_links(spark, sf_dir):
     """Addresses without query or fragment, each with the first page that has it."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("link"))
+    links = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("link"))
     return links.groupBy("link").agg(F.min("page_id").alias("page_id"))
 
 
@@ -217,5 +216,5 @@ ORACLES = {
     "distribution_report": f"WITH {_REG}, r AS (SELECT source, coalesce(mapped_label, 'unlabeled') AS label FROM reg) SELECT source, label, count(*) AS records FROM r GROUP BY GROUPING SETS ((source, label), (source), (label))",
     "union_sources": "SELECT doc_id, source AS source_name, 'documents.json' AS source_file FROM documents UNION ALL SELECT page_id, NULL, 'pages.json' FROM pages",
     "documents_listing": f"SELECT 'Document ' || doc_id AS title, {_DUCK_SPREAD} AS date, 'statement' AS document_type FROM documents UNION ALL SELECT url, '2024-01-10', 'minutes' FROM pages",
-    "unique_links": "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS link, min(page_id) AS page_id FROM pages GROUP BY 1",
+    "unique_links": "SELECT regexp_replace(url, '[?#].*$', '') AS link, min(page_id) AS page_id FROM pages GROUP BY 1",
 }

@@ -9,6 +9,7 @@ from ledgertide.operators import features as X
 from ledgertide.operators import market as M
 from ledgertide.operators import packaging as P
 from ledgertide.plans import corpus
+from ledgertide.sources import packages as K
 
 
 def _series(spark, sf_dir):
@@ -54,12 +55,7 @@ def realized_forward(spark, sf_dir):
 
 
 def forward_dates(spark, sf_dir):
-    return M.forward(_requests(spark, sf_dir), _long_dates(spark, sf_dir), 5).select("doc_id", "step", "date")
-
-
-def _long_dates(spark, sf_dir):
-    """Every second day of the series, so that gaps occur."""
-    return _series(spark, sf_dir).where("day(date) % 2 = 0")
+    return M.forward(_requests(spark, sf_dir), _series(spark, sf_dir), 5).select("doc_id", "step", "date")
 
 
 def doc_symbol_align(spark, sf_dir):
@@ -100,12 +96,11 @@ def training_windows(spark, sf_dir):
 
 
 def window_inventory(spark, sf_dir):
-    return X.window_inventory(_vectors(spark, sf_dir).where("symbol <> '5-LOW' OR date < DATE'1995-01-08'"))
+    return X.window_inventory(_vectors(spark, sf_dir))
 
 
 def last5_padded(spark, sf_dir):
-    short = _vectors(spark, sf_dir).where("symbol <> '5-LOW' OR date < DATE'1995-01-06'")
-    return X.last_padded(short).select("symbol", F.array_join(F.transform("closes", lambda c: F.round(c * 100).cast("long").cast("string")), ",").alias("closes"))
+    return X.last_padded(_vectors(spark, sf_dir)).select("symbol", F.array_join(F.transform("closes", lambda c: F.round(c * 100).cast("long").cast("string")), ",").alias("closes"))
 
 
 def train_val_split(spark, sf_dir):
@@ -128,9 +123,9 @@ def vol_scale(spark, sf_dir):
     return _rounded(X.axis_scale(_long(spark, sf_dir), "volatility_5d", ["symbol"]), "suggested_ymin", "suggested_ymax", places=6)
 
 
-def _package(spark, sf_dir):
+def _package(spark, sf_dir, *more):
     rows = corpus.registry(spark, sf_dir).join(corpus.raw_registry(spark, sf_dir).select("doc_id", "spread_date"), "doc_id")
-    return P.supervised(rows.drop("event_date").withColumnRenamed("spread_date", "event_date")).select("record_id", "event_date", "mapped_label")
+    return P.supervised(rows.drop("event_date").withColumnRenamed("spread_date", "event_date")).select("record_id", "event_date", "mapped_label", *more)
 
 
 def supervised_rows(spark, sf_dir):
@@ -159,6 +154,23 @@ def fold_class_distribution(spark, sf_dir):
     return P.class_distribution(rows, P.walk_forward(spark, rows))
 
 
+def package_counts(spark, sf_dir):
+    return K.package_counts(P.time_split(_package(spark, sf_dir, "source")))
+
+
+def preparation_summary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE CAST(date_add(DATE'2023-12-25', CAST(doc_id % 50 AS INT)) AS STRING) END").alias("date"))
+    series = _series(spark, sf_dir).select("symbol", "date", "close")
+    symbols = series.select("symbol").distinct()
+    valid = docs.where("trim(date) <> '' AND trim(coalesce(text, '')) <> ''").select("doc_id", F.col("date").cast("date").alias("requested_date"))
+    found = M.asof(M.pair_with_symbols(valid, symbols), series)
+    return K.preparation_summary(docs, symbols, found.select(F.col("doc_id").alias("document"), "symbol", F.col("date_used").alias("date")))
+
+
+def price_window(spark, sf_dir):
+    return M.price_window(_long(spark, sf_dir).drop("ret"), "5-LOW", "1995-01-01", "1996-01-01").select("symbol", "date", "close")
+
+
 def fold_test_rows(spark, sf_dir):
     rows = _package(spark, sf_dir)
     return P.test_rows(rows, P.walk_forward(spark, rows)).select("record_id", "event_date", "fold_id")
@@ -177,6 +189,7 @@ def _dates_as_text(query):
 QUERIES = {f.__name__: _dates_as_text(f) for f in (
     simple_return, rolling_vol, asof_snapshot, market_history, realized_forward, forward_dates, doc_symbol_align, last_wins_dedup, top_k_history, feature_vectors, feature_clamp, training_windows,
     window_inventory, last5_padded, train_val_split, confidence_bands, vol_scale, supervised_rows, time_split, walk_forward_folds, fallback_folds, fold_manifest, fold_class_distribution, fold_test_rows,
+    package_counts, preparation_summary, price_window,
 )}
 
 _VOL = "CASE WHEN count(ret) OVER f = 5 THEN stddev_samp(ret) OVER f ELSE 0.0 END AS volatility_5d FROM r WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
@@ -197,15 +210,15 @@ ORACLES = {
     "asof_snapshot": f"WITH {_ASOF} SELECT * FROM a",
     "market_history": f"WITH {_EV}, {_REQ} SELECT doc_id, q.symbol, requested_date, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY date DESC) AS INT) AS nth, date, close, round(volatility_5d, 8) AS volatility_5d FROM q JOIN s ON q.symbol = s.symbol AND date <= requested_date AND date >= requested_date - 61 QUALIFY nth <= 10",
     "realized_forward": f"WITH {_EV}, {_REQ} SELECT doc_id, q.symbol, requested_date, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY date) AS INT) AS step, date, close, round(volatility_5d, 8) AS volatility_5d FROM q JOIN s ON q.symbol = s.symbol AND date > requested_date AND date < requested_date + 16 QUALIFY step <= 3",
-    "forward_dates": f"WITH {_EV}, {_REQ} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY date) AS INT) AS step, date FROM q JOIN (SELECT * FROM s WHERE day(date) % 2 = 0) s ON q.symbol = s.symbol AND date > requested_date AND date < requested_date + 20 QUALIFY step <= 5",
+    "forward_dates": f"WITH {_EV}, {_REQ} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY date) AS INT) AS step, date FROM q JOIN s ON q.symbol = s.symbol AND date > requested_date AND date < requested_date + 20 QUALIFY step <= 5",
     "doc_symbol_align": f"WITH {_EV}, q AS (SELECT doc_id, symbol, DATE '2023-12-25' + CAST(doc_id % 50 AS INT) AS requested_date FROM documents, (SELECT DISTINCT symbol FROM s)) SELECT doc_id, q.symbol, requested_date, date AS date_used, close FROM q ASOF JOIN s ON q.symbol = s.symbol AND s.date <= q.requested_date WHERE date_diff('day', date, requested_date) <= 7",
     "last_wins_dedup": f"WITH {_ASOF} SELECT symbol, date_used, doc_id, close FROM a QUALIFY row_number() OVER (PARTITION BY symbol, date_used ORDER BY doc_id DESC) = 1",
     "top_k_history": f"WITH {_OR} SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS INT) AS nth, date, close FROM s QUALIFY nth <= 30",
     "feature_vectors": f"WITH {_VEC} SELECT symbol, date, sentiment_score, market_close, round(market_volatility, 8) AS market_volatility, round(close_change_pct, 8) AS close_change_pct, round(volatility_change, 8) AS volatility_change FROM v",
     "feature_clamp": f"WITH {_VEC} SELECT symbol, date, round(market_close / 10000, 8) AS market_close, round(greatest(least(close_change_pct, 1.0), -1.0), 8) AS close_change_pct FROM v",
     "training_windows": f"WITH {_OR} SELECT symbol, date, string_agg(CAST(CAST(round(close * 100) AS BIGINT) AS VARCHAR), ',') OVER w AS closes, close AS target_close FROM s WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER w = 5",
-    "window_inventory": f"WITH {_OR} SELECT symbol, count(*) AS records, greatest(count(*) - 5, 0) AS windows, count(*) > 5 AS usable FROM s WHERE symbol <> '5-LOW' OR date < DATE '1995-01-08' GROUP BY symbol",
-    "last5_padded": f"WITH {_OR}, l AS (SELECT symbol, date, CAST(round(close * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM s WHERE symbol <> '5-LOW' OR date < DATE '1995-01-06' QUALIFY back <= 5), g AS (SELECT symbol, count(*) AS n, arg_min(c, date) AS first, string_agg(CAST(c AS VARCHAR), ',' ORDER BY date) AS rest FROM l GROUP BY symbol) SELECT symbol, repeat(first || ',', 5 - n) || rest AS closes FROM g",
+    "window_inventory": f"WITH {_OR} SELECT symbol, count(*) AS records, greatest(count(*) - 5, 0) AS windows, count(*) > 5 AS usable FROM s GROUP BY symbol",
+    "last5_padded": f"WITH {_OR}, l AS (SELECT symbol, date, CAST(round(close * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM s QUALIFY back <= 5), g AS (SELECT symbol, count(*) AS n, arg_min(c, date) AS first, string_agg(CAST(c AS VARCHAR), ',' ORDER BY date) AS rest FROM l GROUP BY symbol) SELECT symbol, repeat(first || ',', 5 - n) || rest AS closes FROM g",
     "train_val_split": f"WITH {_OR}, n AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM s) SELECT symbol, date, CASE WHEN n < 2 THEN 'both' WHEN k > n - greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) THEN 'validation' ELSE 'train' END AS part FROM n",
     "confidence_bands": f"""WITH {_OR}, l AS (SELECT symbol, arg_max(close, date) AS c0, arg_max(volatility_5d, date) AS volatility FROM s GROUP BY symbol), m AS (SELECT *, volatility_5d - lag(volatility_5d) OVER (PARTITION BY symbol ORDER BY date) AS moved FROM s),
       g AS (SELECT symbol, greatest(coalesce(stddev_samp(ret), 0), 0.0025::DOUBLE) AS cs, coalesce(stddev_samp(moved), 0) AS vs FROM m GROUP BY symbol),
@@ -214,6 +227,13 @@ ORACLES = {
     "vol_scale": f"WITH {_OR}, m AS (SELECT symbol, min(volatility_5d) AS a, max(volatility_5d) AS b FROM s GROUP BY symbol) SELECT symbol, round(greatest(0.0, a - greatest(b - a, 1e-6) * 0.15::DOUBLE), 6) AS suggested_ymin, round(b + greatest(b - a, 1e-6) * 0.15::DOUBLE, 6) AS suggested_ymax FROM m",
     "supervised_rows": f"WITH {_PKG} SELECT * FROM p",
     "time_split": f"WITH {_PKG}, k AS (SELECT *, row_number() OVER (ORDER BY event_date, record_id) - 1 AS pos, count(*) OVER () AS n FROM p), c AS (SELECT *, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS ct FROM k) SELECT record_id, event_date, mapped_label, CASE WHEN pos < ct THEN 'train' WHEN pos < least(greatest(ct + 1, CAST(floor(n * 0.85::DOUBLE) AS BIGINT)), n) THEN 'val' ELSE 'test' END AS split_tag FROM c",
+    "package_counts": f"""WITH {_PKG}, k AS (SELECT *, row_number() OVER (ORDER BY event_date, record_id) - 1 AS pos, count(*) OVER () AS n FROM p), c AS (SELECT *, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS ct FROM k),
+      t AS (SELECT record_id, mapped_label, CASE WHEN pos < ct THEN 'train' WHEN pos < least(greatest(ct + 1, CAST(floor(n * 0.85::DOUBLE) AS BIGINT)), n) THEN 'val' ELSE 'test' END AS split_tag FROM c), s AS (SELECT t.*, reg.source FROM t JOIN reg USING (record_id))
+      SELECT 'split' AS kind, split_tag AS name, count(*) AS records FROM s GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'label', mapped_label, count(*) FROM s GROUP BY 2""",
+    "preparation_summary": f"""WITH {_EV}, d AS (SELECT doc_id, doc_id % 17 = 0 OR trim(coalesce(text, '')) = '' AS skipped, DATE '2023-12-25' + CAST(doc_id % 50 AS INT) AS requested_date FROM documents),
+      q AS (SELECT doc_id, symbol, requested_date FROM d, (SELECT DISTINCT symbol FROM s) WHERE NOT skipped), a AS (SELECT q.symbol, date FROM q ASOF JOIN s ON q.symbol = s.symbol AND s.date <= q.requested_date WHERE date_diff('day', date, requested_date) <= 7)
+      SELECT count(*) AS total_documents, count(*) FILTER (WHERE NOT skipped) AS valid_documents, (SELECT count(DISTINCT (symbol, date)) FROM a) AS prepared_records, count(*) FILTER (WHERE skipped) AS skipped_documents, count(*) FILTER (WHERE NOT skipped) * (SELECT count(DISTINCT symbol) FROM s) - (SELECT count(*) FROM a) AS skipped_symbol_pairs FROM d""",
+    "price_window": f"WITH {_OR} SELECT symbol, date, close FROM s WHERE symbol = '5-LOW' AND date >= DATE '1995-01-01' AND date < DATE '1996-01-01'",
     "walk_forward_folds": f"WITH {_FOLDS} SELECT * FROM f",
     "fallback_folds": f"""WITH {_PKG}, d AS (SELECT event_date, row_number() OVER (ORDER BY event_date) - 1 AS k FROM (SELECT DISTINCT event_date FROM p)), n AS (SELECT count(*) AS n, greatest(1, count(*) // 5) AS w FROM d),
       a AS (SELECT i, n, w, least(n - 3 * w, i * w + w) AS te FROM n, range(1, 4) t(i) WHERE n >= 12), b AS (SELECT *, least(te + w, n - w - 1) AS ve FROM a), c AS (SELECT *, least(ve + w, n - 1) AS xe FROM b WHERE ve + 1 < n)
@@ -225,7 +245,7 @@ ORACLES = {
 }
 
 _DATES = {
-    ("date",): ("simple_return", "rolling_vol", "forward_dates", "top_k_history", "feature_vectors", "feature_clamp", "training_windows", "train_val_split"),
+    ("date",): ("simple_return", "rolling_vol", "forward_dates", "top_k_history", "feature_vectors", "feature_clamp", "training_windows", "train_val_split", "price_window"),
     ("date_used",): ("last_wins_dedup",),
     ("date_used", "requested_date"): ("asof_snapshot", "doc_symbol_align"),
     ("date", "requested_date"): ("market_history", "realized_forward"),

@@ -10,7 +10,8 @@ from ledgertide.operators import features as X
 from ledgertide.operators import forecast as O
 from ledgertide.operators import sentiment as S
 from ledgertide.plans import markets
-from ledgertide.sources import readers
+from ledgertide.sources import readers, scans
+from ledgertide.working import stored
 
 
 def page_articles(spark, sf_dir):
@@ -32,7 +33,18 @@ def _scaled(spark, sf_dir):
 
 
 def forecast(spark, sf_dir):
-    return O.forecast(_scaled(spark, sf_dir), 3)
+    scaled = _scaled(spark, sf_dir)
+    return O.forecast(scaled, stored(O.train(scaled), "models"), 3).drop("adapted_epochs")
+
+
+def forecast_adapted(spark, sf_dir):
+    scaled = _scaled(spark, sf_dir)
+    return O.forecast(scaled, stored(O.train(scaled, O.Config(epochs=2)), "models"), 3, adapt=True)
+
+
+def forecast_assembled(spark, sf_dir):
+    vector = markets._vectors(spark, sf_dir)
+    return O.assembled(vector, forecast_bands(spark, sf_dir), X.axis_scale(vector, "market_volatility", ["symbol"]))
 
 
 def forecast_bands(spark, sf_dir):
@@ -49,11 +61,13 @@ _FILES = """concat('{"records": [', array_join(transform(sequence(1, CAST(doc_id
 
 def source_inventory(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id")).alias("path"), F.when(F.col("doc_id") % 13 == 0, "{}").otherwise(F.expr(_FILES)).alias("value"))
-    return readers.source_inventory(docs)
+    return scans.source_inventory(docs, scans.record_groups(docs))
 
 
-QUERIES = {f.__name__: f for f in (page_articles, page_links, sentiment_scores, forecast, forecast_bands, sweep_trials, source_inventory)}
+QUERIES = {f.__name__: f for f in (page_articles, page_links, sentiment_scores, forecast, forecast_adapted, forecast_assembled, forecast_bands, sweep_trials, source_inventory)}
+_LINKS = """l AS (SELECT url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM pages)"""
 ORACLES = {
-    "source_inventory": """SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE 1 END AS record_groups, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE doc_id % 9 + 1 END AS records,
+    "page_links": f"""WITH {_LINKS} SELECT url, regexp_extract(url, '^https?://[^/]+') || replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS href, trim(replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&')) AS text FROM l""",
+    "source_inventory": """SELECT 'f' || doc_id AS path, 'unknown' AS format, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE doc_id % 9 + 1 END AS vectors, CASE WHEN doc_id % 13 = 0 THEN 'no groups of market records' WHEN doc_id % 11 = 0 THEN 'a record lacks its close or volatility' WHEN doc_id % 9 + 1 > 5 THEN 'usable sequences' ELSE 'no sequence of 6 rows' END AS message, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE 1 END AS record_groups, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE doc_id % 9 + 1 END AS records,
       CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 WHEN doc_id % 9 + 1 > 5 THEN 1 ELSE 0 END AS usable_sequences, CASE WHEN doc_id % 13 = 0 THEN 'ignored' WHEN doc_id % 11 = 0 THEN 'error' WHEN doc_id % 9 + 1 > 5 THEN 'usable' ELSE 'insufficient' END AS status FROM documents""",
 }

@@ -14,8 +14,6 @@ from ledgertide.functions import text as T
 
 #: Keys under which a JSON object keeps its records or its groups of records (fixed values).
 RECORD_KEYS, GROUP_KEYS = ("records", "rows", "data", "items"), ("sequences", "series", "groups")
-TEXT_KEYS = ("text", "content", "body", "statement", "sentence")
-SEQUENCE = 5
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,82 +58,81 @@ def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def record_groups(files: DataFrame) -> DataFrame:
-    """(path, grp, pos, record) of (path, value): JSON documents with groups of records under GROUP_KEYS or RECORD_KEYS.
+#: Where a page says its date, and where its body stands, in order of precedence (fixed values): element, class, and the element or
+#: classes that it lies in.
+DATED = (("p", "article__time"), ("p", "article__meta"), ("time", ""), ("h5", ""), ("h3", ""))
+BODY = (("p", "div.col-xs-12.col-sm-8.col-md-8"), ("li", "div.col-xs-12.col-sm-8.col-md-8"), ("p", "article"), ("p", "main"))
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_GRID = frozenset({"col-xs-12", "col-sm-8", "col-md-8"})
 
-    Documents nest two deep at most: a list of records, an object that holds one, or a list of either. record is JSON.
-    """
-    as_array = "array<string>"
-    of_keys = lambda c, keys: F.coalesce(*[F.from_json(F.get_json_object(c, f"$.{k}"), as_array) for k in keys])
-    top = F.when(F.ltrim("value").startswith("["), F.from_json("value", as_array))
-    outer = files.select("path", F.coalesce(top, of_keys("value", GROUP_KEYS), of_keys("value", RECORD_KEYS), F.array().cast(as_array)).alias("items"))
-    is_group = F.exists("items", lambda x: F.ltrim(x).startswith("[") | of_keys(x, RECORD_KEYS).isNotNull())
-    inner = lambda x: F.when(F.ltrim(x).startswith("["), F.from_json(x, as_array)).otherwise(of_keys(x, RECORD_KEYS))
-    groups = outer.select("path", F.when(is_group, F.transform("items", inner)).otherwise(F.array("items")).alias("groups"))
-    return groups.select("path", F.posexplode("groups").alias("grp", "rows")).select("path", "grp", F.posexplode("rows").alias("pos", "record"))
 
+class _Element:
+    def __init__(self, tag: str, attrs: dict[str, str | None], inside: frozenset[str]):
+        self.tag, self.href, self.classes = tag, attrs.get("href"), frozenset((attrs.get("class") or "").split())
+        own = {tag} if tag in ("article", "main") else {BODY[0][1]} if tag == "div" and self.classes >= _GRID else set()
+        self.inside, self.holds, self.parts = inside, inside | own, []
 
-def source_inventory(files: DataFrame) -> DataFrame:
-    """(path, record_groups, records, usable_sequences, status) of (path, value), a row for each file.
-
-    A group is usable with more than SEQUENCE records, all of which need a close and a volatility; a file with records
-    that lack them is an error, and one without groups is ignored.
-    """
-    get = lambda *keys: T.first_number([F.get_json_object("record", f"$.{k}") for k in keys])
-    ok = get("close", "market_close").isNotNull() & get("volatility_5d", "market_volatility", "volatility").isNotNull()
-    groups = record_groups(files).groupBy("path", "grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("bad"))
-    sums = groups.groupBy("path").agg(F.count(F.lit(1)).alias("record_groups"), F.sum("n").alias("records"), F.sum("bad").alias("bad"), F.count_if(F.col("n") > SEQUENCE).alias("usable"))
-    status = F.when(F.col("records").isNull(), "ignored").when(F.col("bad") > 0, "error").when(F.col("usable") > 0, "usable").otherwise("insufficient")
-    zero = lambda c: F.when(status.isin("ignored", "error"), F.lit(0)).otherwise(F.col(c)).cast("long")
-    return files.select("path").distinct().join(sums, "path", "left").select("path", zero("record_groups").alias("record_groups"), zero("records").alias("records"), zero("usable").alias("usable_sequences"), status.alias("status"))
+    def text(self) -> str:
+        return " ".join(" ".join(self.parts).split())
 
 
 class _Page(HTMLParser):
-    """Texts of paragraphs, list items, headings and time stamps, links, and the text of the whole page."""
+    """Elements of a page in the order in which they begin, and the text of the whole page. A paragraph or list item ends where the
+    next one of its kind begins, if not before."""
 
-    BLOCKS = frozenset({"p", "li", "h3", "h5", "time", "title", "a"})
+    KEPT = frozenset({"p", "li", "h3", "h5", "time", "title", "a"})
     SKIPPED = frozenset({"script", "style"})
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.open, self.skip = base, [], 0
-        self.blocks: dict[str, list[str]] = {}
-        self.links: list[tuple[str, str]] = []
-        self.text: list[str] = []
+        self.base, self.open, self.elements, self.texts = base, [], [], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SKIPPED:
-            self.skip += 1
-        elif tag in self.BLOCKS:
-            self.open.append((tag, dict(attrs), []))
+        if tag in _VOID:
+            return
+        if tag in ("p", "li"):
+            self._close(tag, upto="li" if tag == "p" else "ul")
+        found = _Element(tag, dict(attrs), self.open[-1].holds if self.open else frozenset())
+        self.open.append(found)
+        if tag in self.KEPT:
+            self.elements.append(found)
+
+    def _close(self, tag: str, upto: str = "") -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].tag == tag:
+                del self.open[k:]
+                return
+            if self.open[k].tag == upto:
+                return
 
     def handle_endtag(self, tag):
-        if tag in self.SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif any(t == tag for t, _, _ in self.open):
-            while self.open:
-                name, attrs, parts = self.open.pop()
-                text = " ".join("".join(parts).split())
-                if name == "a" and attrs.get("href"):
-                    self.links.append((urljoin(self.base, attrs["href"]), text))
-                elif text:
-                    self.blocks.setdefault(name, []).append(text)
-                if name == tag:
-                    break
+        self._close(tag)
 
     def handle_data(self, data):
-        if not self.skip:
-            self.text.append(data)
-            for _, _, parts in self.open:
-                parts.append(data)
+        if not any(e.tag in self.SKIPPED for e in self.open):
+            self.texts.append(data)
+            for e in self.open:
+                e.parts.append(data)
+
+    def dated(self) -> list[str]:
+        return [e.text() for tag, cls in DATED for e in self.elements if e.tag == tag and (not cls or cls in e.classes)]
+
+    def body(self) -> str:
+        for tag, where in BODY:
+            if text := "\n".join(t for e in self.elements if e.tag == tag and where in e.inside and (t := e.text())):
+                return text
+        return " ".join(" ".join(self.texts).split())
+
+    def links(self) -> list[dict[str, str]]:
+        return [{"href": urljoin(self.base, e.href), "text": e.text()} for e in self.elements if e.tag == "a" and e.href]
 
 
 _PAGE = "url string, title string, dated string, body string, links array<struct<href: string, text: string>>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(url, title, dated, body, links) of (url, html): dated is what time stamps and headings say, body the paragraphs and
-    list items, one a line, or else the whole page's text; links are absolute."""
+    """(url, title, dated, body, links) of (url, html): dated is what the elements of DATED say, in that order, body the lines of
+    the first of BODY that has any, or else the whole page's text; links are absolute."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,14 +141,19 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 page = _Page(url or "")
                 page.feed(html or "")
                 page.close()
-                get = lambda *tags, b=page.blocks: [t for tag in tags for t in b.get(tag, [])]
-                body = "\n".join(get("p", "li")) or " ".join("".join(page.text).split())
-                out.append((url, " ".join(get("title")[:1]), " | ".join(get("time", "h5", "h3")), body, [{"href": h, "text": t} for h, t in page.links]))
+                title = next((e.text() for e in page.elements if e.tag == "title"), "")
+                out.append((url, title, " | ".join(page.dated()), page.body(), page.links()))
             yield pd.DataFrame(out, columns=["url", "title", "dated", "body", "links"])
 
     return pages.select("url", "html").mapInPandas(run, _PAGE)
 
 
+def calendar_pages(parsed: DataFrame, root: str, pattern: str) -> DataFrame:
+    """(url): the root page and what it links to by the pattern, each once, the last by name first."""
+    archives = links(parsed.where(F.col("url") == root)).where(F.col("href").rlike(pattern)).select(F.col("href").alias("url"))
+    return parsed.where(F.col("url") == root).select("url").unionByName(archives).distinct().orderBy(F.desc("url"))
+
+
 def links(parsed: DataFrame, *parts: str) -> DataFrame:
     """(url, href, text) of links whose address holds all of the parts."""
     rows = parsed.select("url", F.explode("links").alias("l")).select("url", "l.href", "l.text")
@@ -169,8 +171,3 @@ def articles(parsed: DataFrame, kind: Column) -> DataFrame:
 def write(df: DataFrame, path: str, kind: str) -> None:
     """As a folder of parts: parquet, json or csv; a failure is an error."""
     getattr(df.write.mode("overwrite"), kind)(path, **({"header": True} if kind == "csv" else {}))
-
-
-def training_groups(prepared: DataFrame) -> DataFrame:
-    """(symbol, records): each symbol's records in the order of dates, as training files keep them."""
-    return prepared.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", *[c for c in prepared.columns if c not in ("symbol", "date")]))).alias("records"))

@@ -1,6 +1,8 @@
 """Rules and edge cases on small fixtures."""
 
 import datetime as dt
+import json
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -14,7 +16,8 @@ from ledgertide.operators import forecast as O
 from ledgertide.operators import market as M
 from ledgertide.operators import packaging as P
 from ledgertide.operators import registry_ops as R
-from ledgertide.sources import readers
+from ledgertide.operators import sentiment as S
+from ledgertide.sources import packages, readers, scans
 
 
 def values(spark, column, inputs):
@@ -85,6 +88,16 @@ def test_metrics(spark):
     assert E.lower_percentile(sample, "v", 0.95, ["g"]).first()["value"] == 8.0
 
 
+def test_percentile_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(E, "BRACKET", 100)
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(0, 1, 3000), "b": np.concatenate([np.zeros(2500), rng.exponential(1, 500)]), "c": np.array([5.0]), "d": np.repeat([1.0, 2.0], 700)}
+    rows = spark.createDataFrame([(k, float(x)) for k, own in values.items() for x in own] + [("a", None)], "k string, v double").repartition(5)
+    for share in (0.0, 0.01, 0.5, 0.95, 0.99, 1.0):
+        got = {r["k"]: r["value"] for r in E.lower_percentile(rows, "v", share, ["k"]).collect()}
+        assert got == {k: float(np.sort(own)[int((len(own) - 1) * share)]) for k, own in values.items()}
+
+
 def test_chunks(spark):
     for n, want in ((479, 1), (480, 1), (481, 2), (880, 2), (881, 3)):
         docs = spark.createDataFrame([(1, ["t"] * n)], "doc_id long, tokens array<string>")
@@ -122,19 +135,231 @@ def test_readers(spark, tmp_path):
 
 
 def test_nested_groups(spark):
-    files = spark.createDataFrame([("a", '{"sequences": [[{"c": 1}, {"c": 2}], {"rows": [{"c": 3}]}]}'), ("b", '[{"c": 1}]'), ("c", "{}")], "path string, value string")
-    got = sorted((r["path"], r["grp"], r["pos"]) for r in readers.record_groups(files).collect())
-    assert got == [("a", 0, 0), ("a", 0, 1), ("a", 1, 0), ("b", 0, 0)]
+    deep = '{"groups": [{"series": [{"sequences": [[{"c": 1}], {"items": []}]}]}, 5, {"data": [{"c": 2}]}]}'
+    files = [("a", '{"sequences": [[{"c": 1}, {"c": 2}], {"rows": [{"c": 3}]}]}'), ("b", '[{"c": 1}]'), ("c", "{}"), ("d", deep), ("e", '[{"rows": [{"c": 1}]}, {"c": 2}]'), ("f", "{bad"), ("g", "[]")]
+    got = scans.record_groups(spark.createDataFrame(files, "path string, value string")).collect()
+    found = {}
+    for r in got:
+        if r["message"] is None:
+            found.setdefault((r["path"], r["grp"]), []).extend([] if r["record"] is None else [json.loads(r["record"]).get("c")])
+    assert found == {("a", 0): [1, 2], ("a", 1): [3], ("b", 0): [1], ("d", 0): [1], ("d", 1): [], ("d", 2): [2], ("e", 0): [1], ("g", 0): []}
+    assert [r["path"] for r in got if r["message"]] == ["f"]
+
+
+def test_inventory_of_a_folder(spark, tmp_path):
+    record = lambda k, **more: {"date": f"2024-01-{k + 1:02}", "close": 10 + k, "volatility_5d": 0.1} | more
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    write = lambda name, text: (tmp_path / "in" / name).write_text(text)
+    write("deep/use.json", json.dumps({"groups": [{"symbol": "A", "records": [record(k) for k in range(7)]}, {"records": [record(k) for k in range(2)]}]}))
+    write("few.json", json.dumps([record(k) for k in range(5)]))
+    write("lines.jsonl", "\n".join(json.dumps(record(k)) for k in range(6)) + "\n\n")
+    write("table.csv", "date,close,volatility_5d\n" + "".join(f"2024-01-0{k + 1},1,0.1\n" for k in range(6)))
+    write("lacking.json", json.dumps([record(k, close="") for k in range(7)]))
+    write("broken.json", "{oops")
+    write("none.json", '{"a": 1}')
+    write("notes.txt", "hello")
+    write(".hidden.json", json.dumps([record(k) for k in range(7)]))
+    got = {r["path"].rsplit("/", 1)[1]: r for r in scans.inspect_folder(spark, f"{tmp_path}/in").collect()}
+    assert {k: (r["status"], r["record_groups"], r["records"], r["vectors"], r["usable_sequences"]) for k, r in got.items()} == {
+        "use.json": ("usable", 2, 9, 9, 1), "few.json": ("insufficient", 1, 5, 5, 0), "lines.jsonl": ("usable", 1, 6, 6, 1), "table.csv": ("usable", 1, 6, 6, 1),
+        "lacking.json": ("error", 0, 0, 0, 0), "broken.json": ("error", 0, 0, 0, 0), "none.json": ("ignored", 0, 0, 0, 0), "notes.txt": ("ignored", 0, 0, 0, 0),
+    }
+    assert got["table.csv"]["format"] == "csv" and scans.inspect_folder(spark, f"{tmp_path}/nowhere").count() == 0
+
+
+def test_scans_of_splits_and_folders(spark, tmp_path):
+    put = lambda name, text: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(text))
+    put("hub/train/b.jsonl", '{"sentence": " one ", "year": 2001, "label": 1}\n{"text": "two", "date": "20240131", "id": "x7"}\n')
+    put("hub/train/a.json", '[{"text": "zero", "event_date": "2024", "type": "speech"}, 5]')
+    put("hub/test/c.csv", "content,date,label_text,title\nthree,Jan 5,hawkish,T\n")
+    hub = {r["text"]: r for r in scans.scan_splits(spark, f"{tmp_path}/hub", scans.Collection("hub", keys=scans.SPLIT_KEYS)).collect()}
+    assert {k: (r["source_record_id"], r["event_date"], r["document_type"], r["label"]) for k, r in hub.items()} == {
+        "zero": ("train:0", "2024-01-01", "speech", ""), "one": ("train:1", "2001-01-01", "statement", "1"), "two": ("x7", "2024-01-31", "statement", ""), "three": ("test:0", "Jan 5", "statement", "hawkish"),
+    }
+    put("folder/x/k.csv", "Date,Text,Type\n2024-02-01,alpha,0\n2024-02-02,\"be\nta\",1\n,,\n")
+    put("folder/y/z/m.json", '{"data": [{"minutes": "gamma", "timestamp": "2020"}]}')
+    put("folder/readme.md", "no records")
+    kept = scans.Collection("folder", "terms", "cite")
+    raw = scans.scan_folder(spark, f"{tmp_path}/folder", kept)
+    assert {(r["text"], r["source_record_id"], r["document_type"], r["event_date"]) for r in raw.collect()} == {("alpha", "k.csv:0", "minutes", "2024-02-01"), ("be\nta", "k.csv:1", "statement", "2024-02-02"), ("", "k.csv:2", "unknown", ""), ("gamma", "m.json:0", "unknown", "2020-01-01")}
+    registry, rejects = R.ingest(raw)
+    assert registry.count() == 3 and [r["reason"] for r in rejects.collect()] == ["blank_text"] and registry.columns == R.REGISTRY
+    put("two/a.json", '[{"date": "20240131", "text": "t1"}, {"date": "2023-01-01", "content": "t0"}]')
+    got = scans.scan_scraped(spark, f"{tmp_path}/two", ["a.json", "missing.json"], scans.Collection("scraped", keys=scans.SCRAPED_KEYS)).collect()
+    assert sorted((r["source_record_id"], r["event_date"], r["text"], r["document_type"]) for r in got) == [("a.json:0", "20240131", "t1", "unknown"), ("a.json:1", "2023-01-01", "t0", "unknown")]
+    assert scans.scan_scraped(spark, f"{tmp_path}/two", ["missing.json"], kept).count() == 0
+    docs = scans.raw_documents(spark, f"{tmp_path}/two", ["missing.json", "a.json"])
+    assert [(r["date"], r["source_file"]) for r in docs.collect()] == [("2023-01-01", "a.json"), ("20240131", "a.json")]
+
+
+def test_numbers_go_on_over_the_stretches_of_a_file(spark, tmp_path):
+    (tmp_path / "long.jsonl").write_text("".join(f'{{"k": {k}, "pad": "{"x" * 200}"}}\n' for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        rows = scans.numbered(scans.file_records(spark, str(tmp_path)), ["path"])
+        got = rows.selectExpr("idx", "get_json_object(record, '$.k') AS k").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 3000 and all(r["idx"] == int(r["k"]) for r in got)
+
+
+def test_packages(spark, tmp_path):
+    rows = [(f"r{k:02}", f"2024-01-{k + 1:02}", ("hawkish", "dovish", None)[k % 3], f"s{k % 2}", f"text {k}") for k in range(24)]
+    labelled = spark.createDataFrame(rows, "record_id string, event_date string, mapped_label string, source string, text string")
+    (tmp_path / "reports").mkdir()
+    packages.write_reports(spark, f"file:{tmp_path}/reports", {"dedup": ({"dropped": 7}, labelled.select("record_id"))}, most=2)
+    assert json.loads((tmp_path / "reports" / "dedup.json").read_text()) == {"dropped": 7, "rows": [{"record_id": "r00"}, {"record_id": "r01"}]}
+    folder = packages.write_package(labelled, f"file:{tmp_path}/out", "d1", "f1", "walk", f"file:{tmp_path}/reports")
+    meta = json.loads(packages.read_text(spark, f"{folder}/dataset_metadata.json"))
+    assert (meta["input_rows"], meta["supervised_rows"], meta["label_counts"], meta["split_counts"]) == (24, 16, {"dovish": 8, "hawkish": 8}, {"train": 11, "val": 2, "test": 3})
+    assert meta["quality_reports"] == 1 and (tmp_path / "out" / meta["training_package_id"] / "quality_reports" / "dedup.json").exists()
+    manifest = json.loads(packages.read_text(spark, f"{folder}/fold_manifest.json"))
+    assert manifest["fold_count"] == len(manifest["folds"]) > 0 and sum(manifest["folds"][0]["class_distribution"].values()) == manifest["folds"][0]["test_rows"]
+    rows, folds = packages.load_evaluation(spark, folder)
+    assert rows.count() == 16 and [tuple(r) for r in folds.collect()] == [tuple(f[n] for n in folds.columns) for f in manifest["folds"]]
+    rows, folds = packages.load_evaluation(spark, f"{folder}/missing")
+    assert rows.count() == folds.count() == 0
+    with pytest.raises(ValueError, match="10 labelled rows"):
+        packages.write_package(labelled.limit(12), f"file:{tmp_path}/out", "d2", "f1", "walk")
+
+
+def test_training_dataset(spark, tmp_path):
+    prepared = spark.createDataFrame([(1, "A", "2024-01-03", 2.0), (2, "A", "2024-01-02", 1.0), (1, "B", "2024-01-03", 3.0)], "document long, symbol string, date string, close double")
+    docs = spark.createDataFrame([(1, "2024-01-03", "x"), (2, "2024-01-02", "y"), (3, " ", "z"), (4, "2024-01-01", None)], "doc long, date string, text string")
+    summary = packages.preparation_summary(docs, prepared.select("symbol").distinct(), prepared)
+    packages.write_training_dataset(prepared, summary, f"file:{tmp_path}/set", ["a.json"])
+    meta = json.loads((tmp_path / "set" / "metadata.json").read_text())
+    assert meta == {"total_documents": 4, "valid_documents": 2, "prepared_records": 3, "skipped_documents": 2, "skipped_symbol_pairs": 1, "symbols": ["A", "B"], "source_files": ["a.json"]}
+    groups = {r["symbol"]: [x["date"] for x in r["records"]] for r in spark.read.json(f"file:{tmp_path}/set/groups").collect()}
+    assert groups == {"A": ["2024-01-02", "2024-01-03"], "B": ["2024-01-03"]}
+
+
+def test_repeats_of_a_key(spark):
+    rows = spark.createDataFrame([("a", "d", "h", 2), ("b", "d", "h", 1), ("b", "d", "h", 1), ("c", "d", "h", 3), ("e", "d", "other", 1), ("f", "x", "h", 1)], "record_id string, event_date string, text_hash string, pos int")
+    assert sorted(r["record_id"] for r in R.exact_dedup(rows, ["pos"]).collect()) == ["b", "e", "f"]
+    assert sorted((r["record_id"], r["kept_record_id"]) for r in R.exact_dropped(rows, ["pos"]).collect()) == [("a", "b"), ("b", "b"), ("c", "b")]
+
+
+def test_near_dedup_settles_chains_in_order(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_TEXTS", 2)
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz ")) for _ in range(150))
+    texts, t = [], base
+    for k in range(9):  # each differs from the one before by two letters, so those far apart don't match
+        texts.append(t)
+        t = t[: 15 * k] + "#%" + t[15 * k + 2 :]
+    texts += [texts[4], texts[0], base + base, "short", "short"]
+    rows = [(f"r{k:02}", "2024-01-01" if k != 13 else "2024-01-02", "s", x) for k, x in enumerate(texts)]
+    kept, want = [], {}
+    for rid, day, _, x in rows:
+        hit = next(((k, r) for k, d, y in kept if d == day and (r := SequenceMatcher(None, x, y).ratio()) >= R.NEAR_THRESHOLD), None)
+        want[rid] = (hit[0], round(hit[1], 5)) if hit else (None, None)
+        if not hit:
+            kept.append((rid, day, x))
+    got = R.near_dedup(spark.createDataFrame(rows, "record_id string, event_date string, source string, text string")).collect()
+    assert {r["record_id"]: (r["blocked_by"], r["similarity"]) for r in got} == want and 3 < len(kept) < 9
+
+
+def test_strict_dates_and_price_windows(spark):
+    days = spark.createDataFrame([("2024-02-29",), (None,)], "d string")
+    assert [str(r["x"]) for r in days.select(T.iso_date(F.col("d")).alias("x")).collect()] == ["2024-02-29", "None"]
+    for bad in ("15-03-2026", "2024-02-30", "2024-1-5"):
+        with pytest.raises(Exception, match="not a date"):
+            spark.createDataFrame([(bad,)], "d string").select(T.iso_date(F.col("d"))).collect()
+    series = spark.createDataFrame([("A", dt.date(2024, 1, k), float(k) if k != 2 else None) for k in (1, 2, 3, 4)], "symbol string, date date, close double")
+    assert [r["close"] for r in M.price_window(series, "A", "2024-01-01", "2024-01-04").orderBy("date").collect()] == [1.0, 3.0]
+    with pytest.raises(ValueError, match="no prices"):
+        M.price_window(series, "B", "2024-01-01", "2024-01-04")
+    monkey = spark.createDataFrame([(f"s{k}",) for k in range(M.MOST_SYMBOLS + 1)], "symbol string")
+    with pytest.raises(ValueError, match="symbols"):
+        M.pair_with_symbols(days, monkey)
+
+
+def test_last_rows_are_padded(spark):
+    vector = spark.createDataFrame([("A", dt.date(2024, 1, k), 10.0 + k) for k in range(1, 4)] + [("B", dt.date(2024, 1, k), 20.0 + k) for k in range(1, 8)], "symbol string, date date, market_close double")
+    assert {r["symbol"]: r["closes"] for r in X.last_padded(vector).collect()} == {"A": [11.0, 11.0, 11.0, 12.0, 13.0], "B": [23.0, 24.0, 25.0, 26.0, 27.0]}
+
+
+def test_classifier_outputs(spark):
+    assert S.normalized_scores([[{"label": "a", "score": "0.5"}, 3, {"score": 1}]]) == [{"label": "a", "score": 0.5}, {"label": "", "score": 1.0}]
+    assert S.normalized_scores({"label": "a"}) == [] and S.normalized_scores([]) == []
+
+    def missing():
+        raise OSError("no checkpoint")
+
+    load = S.first_that_loads(missing, lambda: S.classifier_scorer(lambda text: [[{"label": "hawkish", "score": float(len(text))}]]))
+    chunks = spark.createDataFrame([(1, 0, ["ab", "c"])], "doc_id long, chunk int, tokens array<string>")
+    assert [tuple(r) for r in S.score_chunks(chunks, load).collect()] == [(1, 0, "hawkish", 4.0)]
+    with pytest.raises(OSError):
+        S.first_that_loads(missing)()
 
 
 def test_pages(spark):
-    html = "<title>T</title><h3>March 5, 2024</h3><p>One &amp; <b>two</b></p><script>x</script><a href='/b'>B</a>"
+    html = "<title>T</title><h3>March 5, 2024</h3><main><p>One &amp; <b>two</b></p></main><script>x</script><a href='/b'>B</a>"
     page = readers.parse_pages(spark.createDataFrame([("http://x/a", html), (None, None)], "url string, html string"))
     row = readers.articles(page, F.lit("statement")).where("url = 'http://x/a'").first()
     assert (row["date"], row["text"]) == ("2024-03-05", "One & two")
     assert [r["href"] for r in readers.links(page, "x", "b").collect()] == ["http://x/b"]
 
 
+def test_elements_by_precedence(spark):
+    grid = "<div class='x col-md-8 col-xs-12 col-sm-8'><ul><li>in <i>grid</i><li>second</ul><br></div>"
+    pages = {
+        "grid": f"<main><p>main</main>{grid}<article><p>article</article><p>loose",
+        "article": "<article><p>one<p>two</article><main><p>main</p></main>",
+        "plain": "<title>T</title><p>loose</p><style>p{}</style><div>rest</div>",
+        "date": "<h3>January 1, 2020</h3><time>no date</time><time>on march 3, 2021</time><p class='big article__time'>Released May 4, 2022</p>",
+    }
+    got = {r["url"]: r for r in readers.parse_pages(spark.createDataFrame(list(pages.items()), "url string, html string")).collect()}
+    assert [got[k]["body"] for k in ("grid", "article", "plain")] == ["in grid\nsecond", "one\ntwo", "T loose rest"]
+    row = readers.articles(spark.createDataFrame([got["date"]], readers._PAGE), F.lit("minutes")).first()
+    assert (row["date"], row["title"]) == ("2022-05-04", "FOMC minutes 2022-05-04")
+
+
+def test_calendar_pages(spark):
+    html = "<a href='/cal/hist2019.htm'>2019</a><a href='/cal/hist2020.htm'>2020</a><a href='/cal/hist2019.htm'>again</a><a href='/other'>x</a>"
+    parsed = readers.parse_pages(spark.createDataFrame([("http://h/cal/", html), ("http://h/b", html)], "url string, html string"))
+    assert [r["url"] for r in readers.calendar_pages(parsed, "http://h/cal/", "/hist[0-9]{4}[.]htm$").collect()] == ["http://h/cal/hist2020.htm", "http://h/cal/hist2019.htm", "http://h/cal/"]
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 1, (7, 5, 5)), rng.normal(0, 1, (7, 2))
+    model = O.Forecaster(O.Config(hidden=3, layers=2, head=4))
+    g = model.gradient(x, y)
+    assert g.keys() == model.w.keys()
+    for name, p in model.w.items():
+        for at in [tuple(rng.integers(0, n) for n in p.shape) for _ in range(4)]:
+            old, step = p[at], 1e-6
+            p[at] = old + step
+            up = model.loss(x, y)
+            p[at] = old - step
+            down = model.loss(x, y)
+            p[at] = old
+            assert abs((up - down) / (2 * step) - g[name][at]) < 1e-5, name
+
+
+def test_models_are_kept_adapted_and_swept(spark, tmp_path):
+    rows = [(s, f"2024-01-{k + 1:02}", 0.5, 0.5 + 0.01 * k * (1 if s == "A" else -1), 0.1, 0.0, 0.0) for s in "AB" for k in range(16)] + [("C", "2024-01-01", 0.5, 0.4, 0.1, 0.0, 0.0)]
+    scaled = spark.createDataFrame(rows, "symbol string, date string, sentiment_score double, market_close double, market_volatility double, close_change_pct double, volatility_change double")
+    O.save_models(O.train(scaled, O.Config(hidden=4, head=4, epochs=5)), f"{tmp_path}/models")
+    models = O.load_models(scaled, f"{tmp_path}/models")
+    meta = {r["symbol"]: r for r in models.collect()}
+    assert meta["C"]["loss"] is None and meta["A"]["epochs"] == 5 and meta["A"]["close_scale"] == O.CLOSE_SCALE and json.loads(meta["A"]["config"])["hidden"] == 4
+    plain, adapted = (sorted(map(tuple, O.forecast(scaled, models, 2, adapt=a).collect())) for a in (False, True))
+    assert len(plain) == 6 and {r[4] for r in plain} == {None} and all(1 <= r[4] <= O.ADAPT_EPOCHS for r in adapted if r[0] != "C") and plain[4:] == adapted[4:] and plain[0] != adapted[0]
+    a = O.Forecaster.from_bytes(meta["A"]["config"], meta["A"]["weights"])
+    last = O._windows(scaled.where("symbol = 'A'").toPandas())[2]
+    assert abs(a.one_step(last)[0] - plain[0][2]) < 1e-6
+    trials = O.sweep(scaled, spark.createDataFrame([(1, 2, 0.01), (2, 4, 0.02)], "trial int, hidden int, learning_rate double"), O.Config(epochs=3))
+    best = O.train_best(scaled, trials, O.Config(epochs=2)).first()
+    assert json.loads(best["config"])["hidden"] in (2, 4)
+    with pytest.raises(ValueError):
+        O.train_best(scaled, trials.where("symbol = 'C'"))
+    assert (O._windows(scaled.limit(0).toPandas())[2] == np.zeros((5, 5))).all()
+
+
 def test_forecaster():
     rng = np.random.default_rng(1)
     x, y = rng.normal(0, 0.1, (40, 5, 5)), np.abs(rng.normal(0.5, 0.1, (40, 2)))
