@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgertide.working import shared_dir, stored
+
+__all__ = ["SPACE", "SPACE_CHARS", "documents", "let", "shared_dir", "stored", "text_or_empty", "words_of"]
+
 #: ASCII white space, as in the operators' word definition.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -31,15 +34,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name that every executor can reach; it lives as long as the checkpoint folder does."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"  # unset only outside clusters
-    return f"{base.rstrip('/')}/ledgertide/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, with no lineage and no executor's disk behind it."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
