@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgertide.llm.common import SPACE, documents, let, stored, text_or_empty
@@ -30,43 +30,45 @@ COPY_WORDS = 8
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, rank, kind, stop, value>> of the leftmost non-overlapping matches whose value is long enough.
+    """array<struct<rank, gap, whole, hash>> of the leftmost non-overlapping matches: the length of the text since the
+    match before, that of the match, and its value's hash, null where the value is too short.
 
-    Starts follow from what split() leaves between the matches: the k-th match begins after k + 1 gaps and k matches.
+    What split() leaves between the matches tells the gaps, and places are sums of gaps and matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    sizes = lambda m, g: F.zip_with(m, g, lambda a, b: F.struct(F.coalesce(F.length(b), F.lit(0)).alias("gap"), F.coalesce(F.length(a), F.lit(0)).alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts"))
-    starts = F.aggregate(sizes(found, gaps), start, step, lambda acc: acc["starts"])
-    spans = F.zip_with(F.arrays_zip(starts.alias("at"), found.alias("whole")), values, lambda x, v: F.struct(
-        x["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (x["at"] + F.length(x["whole"])).alias("stop"), v.alias("value")
-    ))
-    kept = F.filter(spans, lambda x: F.length(x["value"]) >= least)
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int,value:string>>"))
+    judged = lambda v: F.when(F.length(v) >= least, F.md5(F.regexp_replace(v, _GAP, "") if kind == "key_block" else v))
+    cut = lambda x, v: F.struct(F.lit(KINDS.index(kind)).alias("rank"), F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), judged(v).alias("hash"))
+    pieces = lambda m: F.zip_with(F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("gap"), m.alias("whole")), values, cut)
+    return F.when(text.rlike(pattern), let(found, pieces)).otherwise(F.array().cast("array<struct<rank:int,gap:int,whole:int,hash:string>>"))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
-    """(doc_id, repository, owner, content, base, extra) with the spans of every whole text; copies of a text share content."""
+    """(doc_id, repository, owner, content, matches) of every whole text; copies of a text share content."""
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text_or_empty(F.col(text_col)).alias("body"))
     text = F.col("body")
-    value = lambda x: F.when(x["kind"] == "key_block", F.regexp_replace(x["value"], _GAP, "")).otherwise(x["value"])
-    hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["stop"], F.md5(value(x)).alias("hash")))
-    every = lambda kinds: F.sort_array(F.concat(*[_matches(text, *k) for k in kinds]))
     copied = text.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+{SPACE}){{{COPY_WORDS - 1}}}[^\x20\x09-\x0D]")
     content = F.when(copied, F.xxhash64(F.lit("text"), F.regexp_replace(text, SPACE, " "))).otherwise(F.xxhash64(F.lit("repository"), "repository"))
-    return body.select("doc_id", "repository", "owner", content.alias("content"), hashed(every(BASE)).alias("base"), hashed(every(EXTRA)).alias("extra"))
+    return body.select("doc_id", "repository", "owner", content.alias("content"), F.concat(*[_matches(text, *k) for k in BASE + EXTRA]).alias("matches"))
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def spans(found: DataFrame) -> DataFrame:
+    """(row, content, owner, rank, start, stop, hash) of the matches with a value, from rows of candidates() with `row`.
+
+    Places are running sums over the matches of a kind in a text, so their cost grows with their number.
+    """
+    each = found.select("row", "content", "owner", F.posexplode("matches").alias("nth", "m")).select("row", "content", "owner", "nth", "m.*")
+    before = Window.partitionBy("row", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("gap") + F.col("whole")).over(before)
+    return each.withColumn("stop", stop).where("hash IS NOT NULL").select("row", "content", "owner", "rank", (F.col("stop") - F.col("whole")).alias("start"), "stop", "hash")
+
+
+def ownership(each: DataFrame) -> DataFrame:
     """(hash, contents, owners, most, uses) of every candidate value; most is the contents that its widest owner holds.
 
     Pairs are made distinct before they are counted, so a value that a third of the corpus holds costs one row a task in
     either count. Null repositories and owners count as one of their own.
     """
-    each = found.select("content", "owner", F.explode(F.concat("base", "extra")).alias("c")).select(F.col("c.hash").alias("hash"), "content", "owner")
     pairs = each.groupBy("hash", "content", "owner").agg(F.count(F.lit(1)).alias("uses"))
     by_owner = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("held"), F.sum("uses").alias("uses")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.max("held").alias("most"), F.sum("uses").alias("uses"))
     by_content = pairs.groupBy("hash", "content").agg(F.count(F.lit(1)).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("contents"))
@@ -80,29 +82,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     holds every text in which it stands, however many they are, and copies of a text count once, so a copy elsewhere
     makes no example of what it holds. n_live and n_example count the listed spans and the
     copied ones by that measure, base kinds included. Null texts count as empty, and texts without candidates get
-    zeros and the digest of the empty list. Repeated rows get repeated results. Candidates, without texts, are stored
-    once; hot values meet only in counts and in a join whose skewed side Spark splits.
+    zeros and the digest of the empty list. Texts may be of any length and hold any number of candidates. Repeated rows get
+    repeated results; an empty table gives an empty one, and columns other than those named have no effect. Candidates,
+    without texts, are stored once; hot values meet only in counts and in a join whose skewed side Spark splits.
     """
     found = stored(candidates(docs, id_col, text_col, repository_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    seen = ownership(found)
-    each = found.select("row", F.explode(F.concat("base", "extra")).alias("c")).select("row", F.col("c.hash").alias("hash"), "c")
+    each = stored(spans(found), "secret-spans")
     live = F.col("most") == F.col("contents")
+    base = F.col("rank") < len(BASE)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    span = F.struct("start", "rank", F.concat_ws(":", kind, F.col("start").cast("string"), F.col("stop").cast("string")).alias("text"))
     judged = (
-        each.join(seen, "hash").withColumn("live", live)
+        each.join(ownership(each), "hash").withColumns({"live": live, "span": span})
         .groupBy("row")
-        .agg(F.collect_list(F.when(F.col("live"), F.struct("c.start", "c.rank", "c.kind", "c.stop"))).alias("live_spans"), F.sum(F.when(F.col("live"), 0).otherwise(1)).alias("n_example"))
+        .agg(
+            *[F.count_if(F.col("rank") == k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)], F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
+            *[F.collect_list(F.when(which, F.col("span"))).alias(name) for name, which in (("base", base), ("listed", base | live), ("live_spans", F.col("live")))],
+        )
     )
-    plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["stop"]))
-    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
-    both = found.join(judged, "row", "left").withColumn("live_spans", F.sort_array(F.coalesce("live_spans", none)))
-    return both.select(
-        "doc_id", *[count(k[0]) for k in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(F.sort_array(F.array_union(plain(F.col("base")), F.col("live_spans")))).alias("spans"),
-        F.size("live_spans").cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"), listed(F.col("live_spans")).alias("live_spans"),
+    text = lambda name: F.coalesce(F.array_join(F.transform(F.sort_array(name), lambda x: x["text"]), ","), F.lit(""))
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
+    return found.select("row", "doc_id").join(judged, "row", "left").select(
+        "doc_id", *[count(f"n_{k[0]}") for k in BASE], F.sha2(text("base"), 256).alias("base_sha256"), text("listed").alias("spans"), count("n_live"), count("n_example"), text("live_spans").alias("live_spans")
     )
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; a document is a repository and its source the owner."""
     return scan(documents(spark, sf_dir))
