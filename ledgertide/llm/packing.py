@@ -61,8 +61,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length), one row for each piece.
 
     Each task tokenizes its own rows and packs them in blocks of BLOCK_TOKENS, so nothing is shuffled, no task holds
-    more than a block and its longest text, and a task that is run again gives the same rows. Null texts count as
-    empty: their document is its end id alone. Repeated rows are packed each by itself.
+    more than a block and its longest text. A task that is run again over files gives the same rows; after a shuffle their
+    order, and so the sequences, may differ, but each id still lies in one piece. Null and empty texts are their end id
+    alone; null ids stay null. Repeated rows are packed each by itself; an empty table gives no pieces, and columns other
+    than the two named have no effect.
     """
     path = vocabulary or vocabulary_path()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
@@ -97,4 +99,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 
 def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of SEQUENCE tokens, without padding."""
     return pack(documents(spark, sf_dir))

@@ -14,6 +14,7 @@ number among the shard's rows of equal id. Value: the ids, little-endian, of the
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -27,6 +28,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ledgertide.llm.common import documents, shared_dir, stored, text_or_empty
 from ledgertide.llm.tokens import crc32, encoder, vocabulary_path
@@ -74,6 +76,11 @@ def _bloom_places(key: bytes, n_bits: int) -> list[int]:
     return [(a + i * b) % n_bits for i in range(BLOOM_HASHES)]
 
 
+def _file_system(directory: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder's address and the folder's path in it; Hadoop's names of object stores are understood."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", directory))
+
+
 class ShardWriter:
     """Writes entries, given in key order, to a binary file that need not seek."""
 
@@ -180,8 +187,12 @@ def write_shards(docs: DataFrame, directory: str, id_col: str = "doc_id", text_c
 
     Columns: shard, path, first_id, last_id, n_docs, n_tokens. Shards hold ascending ranges of ids, nulls first; rows of
     equal id stand in the order of their texts' hashes, so that they can be dealt out as well. A shard is written under
-    a task's own name and then renamed, so a task that is run again replaces it with the same bytes.
+    a task's own name and then renamed, so a task that is run again replaces it with the same bytes. Ids are integers. Null
+    and empty texts are their end id alone; an empty table gives no shards, and columns other than the two named have
+    no effect.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer, as keys are sorted by it")
     path = vocabulary or vocabulary_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -189,7 +200,7 @@ def write_shards(docs: DataFrame, directory: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard = task.partitionId()
-        store, store_dir = fs.FileSystem.from_uri(directory)
+        store, store_dir = _file_system(directory)
         store.create_dir(store_dir, recursive=True)
         name = f"{store_dir}/shard-{shard:06d}.sst"
         own = f"{name}.{task.taskAttemptId()}"
@@ -220,7 +231,7 @@ def read_shards(shards: DataFrame, directory: str) -> DataFrame:
     placed = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(directory)
+        store, _ = _file_system(directory)
         for batch in batches:
             for name, base in zip(batch.column("path"), batch.column("base"), strict=True):
                 found, start = [], base.as_py()
@@ -242,6 +253,6 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty: their document is its end id alone. Repeated rows are stored each by itself."""
+    """All documents' ids by shard files, read back. Null texts count as empty; repeated rows are stored each by itself."""
     directory = shared_dir(spark, "token-store")
     return read_shards(stored(write_shards(documents(spark, sf_dir), directory), "shards"), directory)

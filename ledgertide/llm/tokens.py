@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
-#: The vocabulary's own split of texts (a fixed value of its file), for letters up to U+00FF.
+#: The split of texts that a byte-level vocabulary without a prefix space has (a fixed value), for letters up to U+00FF.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 #: Texts with any other character go to the library whole.
@@ -33,29 +35,57 @@ _LETTERS = _byte_letters()
 _SPACE = chr(_LETTERS[32])
 
 
+def _splits_into_pieces(spec: dict) -> bool:
+    """Whether the vocabulary of a tokenizer's file encodes each piece of the split above by itself and unchanged."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return plain and spec.get("normalizer") is None and model.get("type") == "BPE" and not odd
+
+
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids of what stands between spaces, made when first asked for and remembered in two generations of bounded size."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk) or self.make(chunk)
+        if len(chunk) <= _LONGEST_PIECE:
+            if len(self) >= _MOST_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts; special-token strings in a text are ordinary text, and none are added.
+    """Encodes texts as the library's encode(text, add_special_tokens=False) does.
 
-    A byte-level vocabulary encodes each piece of its split by itself, so each distinct piece is given to the library's
-    model once and remembered, in two generations of bounded size. Other vocabularies are given whole texts.
+    The string of a special token in a text becomes that token, as it does there, unless special_as_text. A byte-level
+    vocabulary encodes each piece of its split by itself, so each distinct piece is given to the library's
+    model once and remembered. Texts that hold the string of an added token, or
+    characters beyond the split's letters, are given whole to the library, and so are all texts of other vocabularies.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.by_piece = os.path.basename(path) == DEFAULT_VOCABULARY
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.by_piece = _splits_into_pieces(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known(self._after_space)
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(_LETTERS)
@@ -70,31 +100,20 @@ class Encoder:
         if chunk.isalpha():
             return array("I", [t.id for t in self.model.tokenize(_SPACE + chunk)]).tobytes() if chunk.isascii() else self._piece(f" {chunk}")
         if (word := chunk[:-1]).isalpha() and chunk[-1] in ".,!?":
-            return (self.known.get(word) or self._piece(f" {word}")) + self._piece(chunk[-1])
+            return self.known[word] + self._piece(chunk[-1])
         return self._pieces(f" {chunk}")
 
     def __call__(self, text: str, end_id: int) -> np.ndarray:
         """The text's ids as little-endian 32-bit numbers, followed by end_id."""
         end = np.array([end_id], dtype="<u4").tobytes()
-        if not self.by_piece or _OTHER.search(text):
+        if not self.by_piece or _OTHER.search(text) or any(a in text for a in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array([*ids, end_id], dtype="<u4")
         if "  " in text:  # longer runs of spaces join into pieces of their own
             return np.frombuffer(self._pieces(text) + end, dtype="<u4")
         # A piece always starts at a single space, so what lies between spaces can be encoded, and remembered, by itself.
         first, *rest = text.split(" ")
-        long = []
-        if new := set(rest).difference(self.known):
-            if len(self.known) + len(new) > _MOST_PIECES:
-                self.older, self.known = self.known, {}
-                new = set(rest)
-            for p in new:
-                self.known[p] = self.older.get(p) or self._after_space(p)
-            long = [p for p in new if len(p) > _LONGEST_PIECE]
-        ids = b"".join([self._pieces(first), *map(self.known.__getitem__, rest), end])
-        for p in long:
-            del self.known[p]
-        return np.frombuffer(ids, dtype="<u4")
+        return np.frombuffer(b"".join([self._pieces(first), *map(self.known.__getitem__, rest), end]), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
