@@ -27,7 +27,7 @@ class Config:
     head: int = 16
     learning_rate: float = 0.01
     epochs: int = 40
-    batch: int = 32
+    batch: int = 64
     decay: float = 1e-4
     beta: float = 0.02
     clip: float = 1.0
