@@ -16,14 +16,19 @@ from ledgertide.llm.common import documents, let, stored, text_or_empty, words_o
 
 #: Documents from which the lexicon and the weights are learned, at most: those of the smallest hashes of their ids.
 MOST_FIT = 12_000
-#: Stems in the lexicon at most, and their lengths.
-MOST_TERMS, STEM_LENGTHS = 500, range(4, 9)
+#: Stems in the lexicon at most (the model's size), and their lengths.
+MOST_TERMS, STEM_LENGTHS = 2_000, range(4, 9)
+#: How many times as common among toxic documents as among others a term must be.
+ENRICHED = 4
 #: A term of at least so many letters may be misspelled by one edit.
 FUZZY_LENGTH = 5
-#: Words on either side of a hit that tell whether it is quoted, and over which hits add up.
-CONTEXT = 10
+#: Words over which hits add up, and words that a quotation may have.
+CONTEXT, QUOTATION = 10, 200
 FEATURES = 6
-_QUOTES = re.compile("[\"“”„«»‹›‘’]|(?<!\\w)'|'(?!\\w)")
+#: Quotation marks, each with those that close it (fixed values).
+_MARKS = {'"': '"', "'": "'", "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "‘": "’"}
+_OPENS = re.compile(rf"[(\[*_]*([{''.join(_MARKS)}])")
+_CLOSES = re.compile(rf"([{''.join(sorted(set(''.join(_MARKS.values()))))}])[)\].,;:!?*_]*$")
 _EDGES = re.compile(r"^\W+|\W+$")
 #: Digits and signs written for letters (fixed values).
 _LEET = str.maketrans("013457@$", "oieastas")
@@ -97,8 +102,25 @@ class Trie:
         return False
 
 
+def quotations(words: list[str]) -> list[tuple[int, int]]:
+    """(first, last) words of the quotations: from a word that begins with a mark to the next one that ends with its counterpart,
+    QUOTATION words at most. A mark that is not closed so quotes nothing."""
+    found, begun, closing = [], -1, ""
+    for k, w in enumerate(words):
+        if w.isalnum():
+            continue
+        if (begun < 0 or k - begun >= QUOTATION) and (m := _OPENS.match(w)):
+            begun, closing = k, _MARKS[m[1]]
+            if m.end() == len(w):  # the mark stands alone
+                continue
+        if begun >= 0 and (m := _CLOSES.search(w)) and m[1] in closing:
+            found.append((begun, k))
+            begun = -1
+    return found
+
+
 class Scorer:
-    """Features of texts; remembers which words hit."""
+    """Features of texts; remembers which words hit, up to _MOST_SEEN of either kind."""
 
     def __init__(self, terms: Iterable[str]):
         self.trie = Trie(terms)
@@ -106,8 +128,6 @@ class Scorer:
         self.missed: set[str] = set()
 
     def _look_up(self, words: set[str]) -> None:
-        if len(self.missed) > _MOST_SEEN:
-            self.missed.clear()
         for w in words:
             p = plain(w)
             if self.trie.exact(p):
@@ -120,25 +140,26 @@ class Scorer:
     def features(self, text: str) -> list[float]:
         words = text.split()
         kinds = set(words)
+        if len(self.missed) > _MOST_SEEN or len(self.hits) > _MOST_SEEN:
+            self.missed.clear()
+            self.hits.clear()
         self._look_up((kinds - self.missed).difference(self.hits))
         if not (kinds := kinds.intersection(self.hits)):
             return [1.0] + [0.0] * (FEATURES - 1)
         at = [k for k, w in enumerate(words) if w in kinds]
         exact = fuzzy = quoted = 0
-        loud = []
+        loud, inside = [], set()
+        for first, last in quotations(words):
+            inside.update(range(first, last + 1))
         for k in at:
-            before = " ".join(words[max(0, k - CONTEXT) : k])
-            after = " ".join(words[k + 1 : k + 1 + CONTEXT])
-            own = words[k]
-            is_quoted = len(_QUOTES.findall(before)) % 2 == 1 and bool(_QUOTES.search(own + after)) or len(_QUOTES.findall(own)) >= 2
-            if is_quoted:
+            if k in inside:
                 quoted += 1
-            elif self.hits[own] == 1:
+                continue
+            loud.append(k)
+            if self.hits[words[k]] == 1:
                 exact += 1
-                loud.append(k)
             else:
                 fuzzy += 1
-                loud.append(k)
         window, most = 0, 0
         for j, k in enumerate(loud):
             while loud[window] < k - CONTEXT:
@@ -181,7 +202,7 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
     def weight(t: int, c: int) -> float:
         return t * math.log(t / (t + c) / rate) + (c * math.log(c / (t + c) / (1 - rate)) if c else 0.0)
 
-    good = sorted(((weight(t, c), s) for s, t, c in counts if t > 4 * rate * (t + c) and t > 0), reverse=True)
+    good = sorted(((weight(t, c), s) for s, t, c in counts if t * n_clean > ENRICHED * c * n_toxic and t > 0), reverse=True)
     chosen: list[str] = []
     longer: dict[str, list[str]] = {}
     for s in toxic:
@@ -215,8 +236,9 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[float]]:
     """(terms, weights) from labelled documents; of more than MOST_FIT, those of the smallest hashes of their ids.
 
-    What reaches the driver is bounded: stems that pass a threshold, and the features of at most MOST_FIT documents.
-    Without labelled documents of both kinds there are no terms, and every score is the rate of the label.
+    What reaches the driver is bounded by that sample: stems that pass a threshold, and the features of its documents.
+    Without labelled documents of both kinds there are no terms, and every score is the rate of the label. Null ids and
+    labels are left out; of repeated labels of an id the highest counts.
     """
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT)
@@ -233,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if c:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()) if y else [0] * len(c), type=pa.int64()), pa.array([0] * len(c) if y else list(c.values()), type=pa.int64())], names=["stem", "t", "c"])
 
-    counted = fitted.mapInArrow(count, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3 AND t > c")
-    kept = [(r["stem"], r["t"], r["c"]) for r in counted.orderBy(F.desc("t"), "stem").limit(200_000).collect()]
+    counted = fitted.mapInArrow(count, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(f"t >= 3 AND t * {sizes.get(0, 0)} > {ENRICHED} * c * {sizes.get(1, 0)}")
+    kept = [(r["stem"], r["t"], r["c"]) for r in counted.orderBy("stem").collect()]
     terms = choose_terms(kept, sizes.get(1, 0), sizes.get(0, 0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: tuple[list[str], list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, hits) for each row. Null and empty texts get the score of a text without hits."""
+    """(doc_id, score, hits) for each row, hits telling whether any term was found.
+
+    Null and empty texts get the score of a text without hits. Texts may be of any length; repeated rows get repeated
+    results; an empty table gives an empty one, and columns other than the two named have no effect.
+    """
     terms, weights = model
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
 
@@ -266,6 +292,7 @@ def held_out(fold: int, folds: int, doc_id: str = "doc_id") -> Column:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document; those with crc32(doc_id) mod 5 = 0 are held out from learning."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(0, 5))
     found = score(docs, fit(docs, labels))
