@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from ledgertide.llm.common import documents, stored
 from ledgertide.llm.toxicity import held_out
 
-#: Documents of a language from which the model is learned, about; languages of more are thinned by the hash of the text.
+#: Distinct texts of a language from which the model is learned, about; languages of more are thinned by the hash of the text.
 FIT_PER_LANGUAGE = 3_000
-MOST_LANGUAGES = 200
-#: n-grams of letters that the model keeps, at most; words stand between spaces.
-MOST_GRAMS, GRAM_LENGTHS = 150_000, (2, 3)
+#: Languages that a model can hold; more are refused.
+MOST_LANGUAGES = 250
+#: Counts of n-grams of letters by language that the model keeps, the largest; words stand between spaces.
+MOST_COUNTS, GRAM_LENGTHS = 600_000, (2, 3)
 SMOOTHING = 0.5
 #: What a switch of language costs, in nats, and what one word can say at most for one language against another.
 SWITCH, MOST_PER_WORD = 8.0, 6.0
@@ -35,8 +37,18 @@ _SCRIPTS = (
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"),
 )
 _STARTS = [s for s, _ in _SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
 _MOST_KNOWN, _CHUNK_WORDS = 300_000, 500_000
+#: The score of a language that the script of a word rules out.
+_BARRED = np.float32(-1e6)
+
+
+def _letters() -> re.Pattern:
+    """Runs of letters: word characters but for digits, underscores and the numerals that are no letters, such as fractions."""
+    numerals = [k for k in range(sys.maxunicode + 1) if (c := chr(k)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(map(chr, numerals))}]+")
+
+
+_WORD = _letters()
 
 
 def script(word: str) -> str:
@@ -87,19 +99,22 @@ class Labeller:
         self.scores = np.zeros((1024, len(model.langs)), dtype=np.float32)
 
     def _score(self, new: list[str]) -> np.ndarray:
-        """Log-odds of words by language: sums over their n-grams, within what one word may say."""
+        """Log-odds of words by language: sums over their n-grams, within what one word may say for one candidate against
+        another. Languages that the word's script rules out are no candidates."""
         get, none = self.m.grams.get, len(self.m.grams)
         parts = [[get(g, none) for g in grams(w)] for w in new]
         flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
         s = np.add.reduceat(self.m.odds[flat], begin, axis=0) / len(GRAM_LENGTHS)
-        kinds = [script(w) for w in new]
+        kinds, barred = [script(w) for w in new], np.zeros(s.shape, dtype=bool)
         for name in set(kinds):
             allowed = self.m.allowed.get(name)
-            if allowed is not None and allowed.any() and not allowed.all():
-                own = np.array([k == name for k in kinds])
-                s[np.ix_(own, ~allowed)] = s[np.ix_(own, allowed)].min(axis=1)[:, None] - MOST_PER_WORD
-        return np.maximum(s - s.max(axis=1)[:, None], -MOST_PER_WORD)
+            if allowed is not None and allowed.any():
+                barred[np.ix_(np.array([k == name for k in kinds]), ~allowed)] = True
+        s[barred] = _BARRED
+        s = np.maximum(s - s.max(axis=1)[:, None], -MOST_PER_WORD)
+        s[barred] = _BARRED
+        return s
 
     def _numbers(self, texts: list[list[str]]) -> np.ndarray:
         new = set().union(*texts).difference(self.known)
@@ -153,15 +168,17 @@ class Labeller:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from labelled texts. Each language gives about FIT_PER_LANGUAGE of its texts, those of the smallest hashes;
-    the MOST_LANGUAGES with the most texts, and the MOST_GRAMS most frequent n-grams, are kept. The driver gets counts."""
+    """A model from labelled texts. Each language gives about FIT_PER_LANGUAGE of its distinct texts, those of the smallest
+    hashes, so copies count once; of the counts of n-grams the MOST_COUNTS largest are kept, and only they reach the driver."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Model([], [])
     parts = 1 << 20
     share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(1, round(parts * min(1.0, FIT_PER_LANGUAGE / r["count"])))))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share)
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -178,9 +195,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
 
     counted = stored(picked.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
     is_script = F.col("gram").startswith("script:")
-    top = counted.where(~is_script).groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("all"), "gram").limit(MOST_GRAMS)
-    kept = [(x["lang"], r["gram"], x["n"]) for r in top.select("gram", "by").collect() for x in r["by"]]
-    return Model(kept, [(r["lang"], r["gram"].removeprefix("script:"), r["n"]) for r in counted.where(is_script).collect()])
+    top = counted.where(~is_script).orderBy(F.desc("n"), "gram", "lang").limit(MOST_COUNTS)
+    return Model([(r["lang"], r["gram"], r["n"]) for r in top.collect()], [(r["lang"], r["gram"].removeprefix("script:"), r["n"]) for r in counted.where(is_script).collect()])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,10 +204,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     spans lists stretches of words, numbered from 0 with ends exclusive, and their languages; lang_pred is the language
     of most words, the first by name on a tie, and score its share of them. Null texts and texts without a letter get
-    "und" and 0, and so does every text where there was nothing to learn from.
+    "und" and 0, and so does every text where there was nothing to learn from. Texts may be of any length; repeated rows get
+    repeated results; an empty table gives an empty one, and columns other than the two named have no effect.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_COUNTS and MOST_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
@@ -213,6 +230,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document's whole text; those with crc32(doc_id) mod 4 = 2 are held out from learning."""
     docs = documents(spark, sf_dir)
     model = fit(docs.where(~held_out(2, 4)))
     return identify(docs, model).select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "spans")
