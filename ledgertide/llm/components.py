@@ -13,10 +13,12 @@ JUMPS = 3
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node that it reaches.
 
-    edges has columns a and b. In each round every node points to its smallest neighbour, pointers are followed JUMPS
-    times over, and edges are redrawn between what their ends point to. Each round leaves at most half of the nodes and
-    is stored, so no lineage grows; the driver sees one row count a round. Hubs meet only in grouped minima and in
-    joins whose skewed side Spark splits. Loops and repeated edges do no harm; an empty table gives none.
+    edges has columns a and b. In each round every node points to the smallest of itself and its neighbours, pointers are
+    followed JUMPS times over, and edges are redrawn between what their ends point to. A node that is larger than a
+    neighbour leaves in each round, so rounds end; mostly far more do (a hub of greatest number, with only smaller ones around it,
+    takes one round more). Each round is stored, so no lineage grows; the driver only sees whether edges are left. Hubs meet
+    only in grouped minima and in joins whose skewed side Spark splits. Loops and repeated edges do no harm; an empty table
+    gives none.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     rounds = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.llm.common import documents, stored, text_or_empty
 from ledgertide.llm.components import components
+from ledgertide.working import small
 
 SEED = 42
 BITS = 64
@@ -39,10 +41,16 @@ def fingerprint(hashes: np.ndarray) -> int:
     """The 64-bit SimHash of shingles' hashes, as a signed number; 0 for a text without words."""
     if not len(hashes):
         return 0
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):
-        counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+    return int(_majorities(hashes[:, None])[0])
+
+
+def _majorities(hashes: np.ndarray) -> np.ndarray:
+    """For each column of hashes a number with the bits that over half of its hashes have, signed."""
+    counts = np.zeros(BITS * hashes.shape[1], dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # so many fit a byte
+        rows = np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8)
+        counts += np.add.reduce(np.unpackbits(rows, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
 
 
 class BKTree:
@@ -106,6 +114,71 @@ class BKTree:
                     group += found
 
 
+class BKForest:
+    """BK-trees of many shards at once, in arrays: shards are runs of `shard`, which is sorted, and a shard's first
+    fingerprint is its root. Trees grow, and are searched, level by level for all fingerprints together."""
+
+    def __init__(self, shard: np.ndarray, prints: np.ndarray):
+        self.prints = prints.view("<u8")
+        n = len(prints)
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if n else np.empty(0, np.int64)
+        self.root = np.repeat(first, np.diff(np.append(first, n)))
+        slots, children = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        todo = np.flatnonzero(self.root != np.arange(n))
+        at = self.root[todo]
+        while len(todo):  # fingerprints that meet at a node in equal distance go on below the first of them
+            slot = at * (BITS + 1) + np.bitwise_count(self.prints[todo] ^ self.prints[at])
+            slot, head, to = np.unique(slot, return_index=True, return_inverse=True)
+            child = todo[head]
+            slots.append(slot)
+            children.append(child)
+            at, inner = child[to], np.ones(len(todo), dtype=bool)
+            inner[head] = False
+            todo, at = todo[inner], at[inner]
+        self.slots, self.children = np.concatenate(slots), np.concatenate(children)
+        order = np.argsort(self.slots)
+        self.slots, self.children = self.slots[order], self.children[order]
+
+    def pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(later, earlier) of every two fingerprints of a shard within the radius; only edges within it are followed."""
+        later = np.flatnonzero(self.root != np.arange(len(self.prints)))
+        node, found = self.root[later], [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        while len(later):
+            d = np.bitwise_count(self.prints[later] ^ self.prints[node]).astype(np.int64)
+            hit = d <= radius
+            found.append((later[hit], node[hit]))
+            base = node * (BITS + 1)
+            begin = np.searchsorted(self.slots, base + np.maximum(d - radius, 0))
+            size = np.searchsorted(self.slots, base + np.minimum(d + radius, BITS), side="right") - begin
+            child = np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
+            later, node = np.repeat(later, size), self.children[child]
+            earlier = node < later  # a subtree holds only what comes after its root
+            later, node = later[earlier], node[earlier]
+        a, b = zip(*found, strict=True)
+        return np.concatenate(a), np.concatenate(b)
+
+
+def spanning(a: list[int], b: list[int]) -> Iterator[int]:
+    """Numbers of the pairs that join what the pairs before have not joined."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            yield k
+
+
+#: Shards of more fingerprints than this get a tree of their own, whose dense groups cost little more than their size.
+OWN_TREE = 512
+
+
 def agreement(n: int, radius: int) -> int:
     """How many blocks of bits a shard's fingerprints share: enough for shards of about 64 random ones among n."""
     return next((k for k in (2, 3, 4) if BITS * k / (radius + k) >= math.log2(max(2, n)) - 6), 5)
@@ -145,33 +218,58 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Shards of more fingerprints than this are dealt out in parts.
+LARGE_SHARD = 250_000
+
+
+def part_pairs(parts: Column, value: Column) -> Column:
+    """array<struct<i, j>>: the pairs of parts in which a value is seen, its own part with each other one; (0, 0) if there is one
+    part. So every two values of a group meet, and no task holds more than two parts."""
+    part = F.pmod(F.xxhash64(value), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")))
+    return F.when(parts > 1, F.filter(pairs, lambda x: x["i"] != x["j"])).otherwise(pairs)
+
+
+def _in_parts(dealt: DataFrame) -> DataFrame:
+    """(key, fp, name) with the large shards dealt out: every two parts of one are a shard of their own."""
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_SHARD)
+    sizes = stored(sizes.select("key", F.ceil(F.col("n") / LARGE_SHARD).cast("int").alias("parts")), "large-shards")
+    own = dealt.join(small(sizes), "key", "left")
+    pairs = F.when(F.col("parts").isNotNull(), part_pairs(F.col("parts"), F.col("fp")))
+    split = own.select("key", "fp", "name", F.explode_outer(pairs).alias("pair"))
+    return split.select(F.when(F.col("pair").isNull(), F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), "fp", "name")
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b): edges that connect exactly what distances of at most `radius` connect; prints has distinct `fp`.
+    """(a, b): edges between names that connect what distances of at most `radius` connect. prints has distinct (kind, fp), each
+    with a name; fingerprints of one kind are searched together.
 
-    Each shard is searched by a BK-tree of its own and gives one edge for each fingerprint that it links, not a pair for
-    each link.
+    Each shard has a BK-tree and gives one edge for each fingerprint that it links, not a pair for each link. Dense shards,
+    which more blocks would not divide, are dealt out in parts, so a task's memory has a bound.
     """
-    dealt = prints.select(F.explode(block_keys(F.col("fp"), radius, agreement(prints.count(), radius))).alias("key"), "fp")
+    n = max([r["count"] for r in prints.groupBy("kind").count().collect()], default=0)  # a row for each kind
+    key = F.explode(block_keys(F.col("fp"), radius, agreement(n, radius))).alias("key")
+    dealt = prints.select("kind", key, "fp", "name").select(F.xxhash64("kind", "key").alias("key"), "fp", "name")
+    if n > LARGE_SHARD:  # else no shard can be large
+        dealt = _in_parts(dealt)
 
-    def search(keys: np.ndarray, fps: np.ndarray) -> tuple[list[int], list[int]]:
-        a, b = [], []
+    def search(keys: np.ndarray, fps: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.diff(keys)) + 1
-        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
-        for s, e in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
-            own = fps[s:e].tolist()
-            if e - s == 2:
-                found = [(1, 0)] if ((own[0] ^ own[1]) & _MASK).bit_count() <= radius else []
-            else:
-                found = BKTree([x & _MASK for x in own]).edges(radius)
-            for x, y in found:
-                a.append(own[x])
-                b.append(own[y])
-        return a, b
+        begin = np.concatenate([[0], cut])
+        sizes = np.diff(np.append(begin, len(keys)))
+        a, b = [], []
+        for s, n in zip(begin[sizes > OWN_TREE].tolist(), sizes[sizes > OWN_TREE].tolist(), strict=True):
+            for x, y in BKTree([x & _MASK for x in fps[s : s + n].tolist()]).edges(radius):
+                a.append(s + x)
+                b.append(s + y)
+        few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= OWN_TREE), sizes))
+        x, y = BKForest(keys[few], fps[few]).pairs(radius)
+        joins = list(spanning(x.tolist(), y.tolist()))
+        return names[np.concatenate([few[x[joins]], np.array(a, dtype=np.int64)])], names[np.concatenate([few[y[joins]], np.array(b, dtype=np.int64)])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches):
-            a, b = search(t["key"].to_numpy(), t["fp"].to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in search(*(t[c].to_numpy() for c in ("key", "fp", "name")))], names=["a", "b"])
 
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
@@ -195,36 +293,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents of equal fingerprints form a class, and only classes are searched. Null texts count as empty; texts
     without words have fingerprint zero and are linked like any other. Null ids count last: a component has a null
-    component_id only if none of its rows has an id. Repeated rows get repeated results.
+    component_id only if none of its rows has an id. Repeated rows get repeated results. Texts may be of any length;
+    an empty table gives an empty one, and columns other than the two named have no effect.
     """
     prints = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    linked = components(links(classes.select("fp"), radius))
+    linked = components(links(classes.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("name")), radius))
     labelled = classes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     members = labelled.join(smallest, "component").select("fp", "component_id")
     return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar(): words in a shingle, similarity, fingerprints by differently mixed hashes, bits that they may differ in,
-#: and hashes in a sketch.
-SIMILAR_SIZE, SIMILARITY, PRINTS, SIMILAR_RADIUS, SKETCH = 5, 0.8, 6, 8, 128
-_MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & _MASK) for k in range(16)]
+#: For similar(): words in a shingle, similarity, fingerprints by differently mixed hashes, and bits that they may differ in.
+SIMILAR_SIZE, SIMILARITY, PRINTS, SIMILAR_RADIUS = 5, 0.8, 6, 8
+#: Bits that number the bins of a sketch, and texts of a part: what links connect is compared part by part.
+SKETCH_BITS, PART_TEXTS = 8, 4096
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & _MASK for k in range(16)], dtype=np.uint64)
+_BINS = np.arange(1 << SKETCH_BITS, dtype=np.uint64) << np.uint64(BITS - SKETCH_BITS)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each bin, 32 bits of it and never zero, or zero in empty bins; a hash's first bits tell its bin."""
+    kinds = np.unique(hashes)
+    begin = np.searchsorted(kinds, _BINS)
+    end = np.append(begin[1:], len(kinds))
+    out = np.zeros(len(_BINS), dtype="<u4")
+    full = end > begin
+    out[full] = (kinds[begin[full]] >> np.uint64(BITS - SKETCH_BITS - 32) & np.uint64(0xFFFFFFFF)).astype("<u4") | np.uint32(1)
+    return out
+
 
+def similarities(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of a sketch's shingle set and others': equal bins among those that either fills. Two empty sets are equal."""
+    filled = (others != 0) | (one != 0)
+    return ((others == one) & filled).sum(axis=1) / np.maximum(filled.sum(axis=1), 1) + ~filled.any(axis=1)
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets by the SKETCH least hashes of each; exact for smaller sets."""
-    both = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(both, a).__and__(np.isin(both, b)).mean()) if len(both) else 1.0
+
+def run_hashes(text: str, size: int) -> np.ndarray:
+    """64-bit hashes of the shingles of a text, mixed from 32-bit ones of its words; quicker than those of shingles()."""
+    words = text.encode().lower().split()
+    c = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
+    size = min(size, len(words))
+    h = np.zeros(len(words) - size + bool(words), dtype=np.uint64)
+    for j in range(size):
+        h += (c[j : len(h) + j] + np.uint64(1)) * _MIX[j]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
 
 
 def mixed_prints(hashes: np.ndarray) -> list[int]:
-    """PRINTS fingerprints of a text, each by differently mixed hashes."""
-    prints = [fingerprint(hashes)]
-    for k in range(1, PRINTS):
-        x = hashes * _MIX[k]
-        prints.append(fingerprint((x ^ x >> np.uint64(31)) * _MIX[k + 1]))
-    return prints
+    """PRINTS fingerprints of a text, each by differently mixed hashes; all 0 for a text without words."""
+    if not len(hashes):
+        return [0] * PRINTS
+    x = hashes[:, None] * _MIX[:PRINTS]
+    return _majorities((x ^ x >> np.uint64(31)) * _MIX[1 : PRINTS + 1]).tolist()
 
 
 def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
@@ -235,15 +359,15 @@ def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             rows = []
             for t in batch.column(1):
-                h = shingle_hashes(t.as_py(), SIMILAR_SIZE)
-                rows.append((np.unique(h)[:SKETCH].tobytes(), *mixed_prints(h)))
-            sketch, *prints = zip(*rows, strict=True) if rows else [()] * (PRINTS + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sketch), type=pa.binary()), *[pa.array(list(p), type=pa.int64()) for p in prints]], names=["node", "sketch", *[f"fp_{k}" for k in range(PRINTS)]])
+                h = run_hashes(t.as_py(), SIMILAR_SIZE)
+                rows.append((sketch(h).tobytes(), *mixed_prints(h)))
+            sketches, *prints = zip(*rows, strict=True) if rows else [()] * (PRINTS + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sketches), type=pa.binary()), *[pa.array(list(p), type=pa.int64()) for p in prints]], names=["node", "sketch", *[f"fp_{k}" for k in range(PRINTS)]])
 
     return docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, sketch binary, " + ", ".join(f"fp_{k} long" for k in range(PRINTS)))
 
 
-def verified_groups(prints: np.ndarray, sketches: list[np.ndarray], radius: int) -> Iterator[list[int]]:
+def verified_groups(prints: np.ndarray, sketches: np.ndarray, radius: int) -> Iterator[list[int]]:
     """Groups of rows that connect what verified pairs connect: within the radius by any fingerprint (a column of prints
     each) and similar by their sketches. A row that fails one finder stays to be found by the others."""
     alive = np.ones(len(prints), dtype=bool)
@@ -254,33 +378,40 @@ def verified_groups(prints: np.ndarray, sketches: list[np.ndarray], radius: int)
             for finder in group:
                 rest = np.flatnonzero(alive)
                 near = rest[(np.bitwise_count(prints[rest] ^ prints[finder]) <= radius).any(axis=1)]
-                found = [x for x in near.tolist() if _similarity(sketches[finder], sketches[x]) >= SIMILARITY]
+                found = near[similarities(sketches[finder], sketches[near]) >= SIMILARITY]
                 alive[found] = False
-                group += found
+                group += found.tolist()
             yield group
 
 
 def _verified(proposed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component) of nodes in verified groups of two or more; proposed has a component of links for each node."""
+    """(node, component) of nodes in verified groups of two or more; proposed has a component of links for each node.
+
+    A component of more than PART_TEXTS texts is dealt out in parts, and every two parts are searched in a task of their
+    own, so no task holds more than two parts, and together they see every pair. Each gives the edges of its groups.
+    """
     names = [f"fp_{k}" for k in range(PRINTS)]
-    members = proposed.join(nodes, "node").select("component", "node", "sketch", *names)
+    sizes = proposed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PART_TEXTS).cast("int").alias("parts"))
+    dealt = proposed.join(sizes, "component").select("component", "node", F.explode(part_pairs(F.col("parts"), F.col("node"))).alias("pair"))
+    keyed = dealt.select(F.xxhash64("component", "pair").alias("key"), "component", "pair.i", "pair.j", "node")
+    members = keyed.join(nodes, "node").select("key", "component", "i", "j", "node", "sketch", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches):
-            keys, node, sketch = t["component"].to_numpy(), t["node"].to_numpy(), t["sketch"]
+            node, same = t["node"].to_numpy(), np.column_stack([t[n].to_numpy() for n in ("key", "component", "i", "j")])
             prints = np.column_stack([t[n].to_numpy() for n in names]).view("<u8")
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            found, label = [], []
+            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype="<u4").reshape(len(node), -1)
+            cuts = [0, *(np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist(), len(node)]
+            a, b = [], []
             for s, e in zip(cuts, cuts[1:], strict=False):
-                own = [np.frombuffer(v.as_py(), dtype="<u8") for v in sketch[s:e]]
-                for group in verified_groups(prints[s:e], own, SIMILAR_RADIUS):
-                    if len(group) > 1:
-                        ids = node[s:e][group]
-                        found += ids.tolist()
-                        label += [int(ids.min())] * len(group)
-            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(label, type=pa.int64())], names=["node", "component"])
+                for group in verified_groups(prints[s:e], sketches[s:e], SIMILAR_RADIUS):
+                    ids = node[s:e][group]
+                    a += ids[1:].tolist()
+                    b += [int(ids[0])] * (len(ids) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    return members.repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
+    order = ["key", "component", "i", "j"]
+    return components(members.repartition("key").sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
 
 
 def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -288,34 +419,30 @@ def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Links are proposed by fingerprints that differ in at most SIMILAR_RADIUS bits, from PRINTS mixings of the shingles'
     hashes. What links connect is then searched as a whole, and every pair within the radius whose sketches are similar
-    joins its two texts, whichever edges the forests of links held.
+    joins its two texts, whichever edges the forests of links held. Copies of a text are one node.
     """
     nodes = stored(_sketched(docs, text_col), "sketches").dropDuplicates(["node"])
     nodes = stored(nodes, "sketches")
-    proposed = None
-    for k in range(PRINTS):
-        rows = nodes.select(F.col(f"fp_{k}").alias("fp"), "node")
-        classes = rows.groupBy("fp").agg(F.min("node").alias("rep"))
-        found = links(classes.select("fp"), SIMILAR_RADIUS)
-        to = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))  # noqa: E731, B023
-        across = found.join(to("a"), "a").join(to("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        within = rows.join(classes, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        both = across.unionByName(within)
-        proposed = both if proposed is None else proposed.unionByName(both)
-    return _verified(components(proposed), nodes)
+    rows = nodes.select("node", F.posexplode(F.array(*[f"fp_{k}" for k in range(PRINTS)])).alias("kind", "fp"))
+    classes = stored(rows.groupBy("kind", "fp").agg(F.min("node").alias("name")), "print-classes")
+    within = rows.join(classes, ["kind", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
+    return _verified(components(links(classes, SIMILAR_RADIUS).unionByName(within)), nodes)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of similar() texts: that of the smallest id, null ids last; columns as in docs.
 
-    Rows of equal texts count as one text and stay or go together. Null texts count as empty.
+    Rows of equal texts count as one text and stay or go together. Null texts count as empty. Texts may be of any length;
+    an empty table gives an empty one, and other columns, whatever their names, have no effect.
     """
     groups = stored(similar(docs, text_col), "near-groups")
     keyed = docs.select(F.xxhash64(text_or_empty(F.col(text_col))).alias("node"), F.col(id_col).alias("id"))
     first = groups.join(keyed, "node").groupBy("component").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
     gone = stored(groups.join(first, "component").where("node <> first").select(F.col("node").alias("gone")).distinct(), "near-gone")
-    return docs.join(gone, F.xxhash64(text_or_empty(docs[text_col])) == F.col("gone"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_or_empty(F.col(text_col))).alias("node"))
+    return rows.join(gone, F.col("node") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document: fingerprints of four-word shingles, linked at four or fewer differing bits."""
     return near_duplicates(documents(spark, sf_dir))
