@@ -17,9 +17,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows are grouped by (MD5, normalised text): the hash spreads the groups and the text, as part of the grouping key,
     is compared byte by byte, so texts whose hashes collide stay apart. Copies merge before the shuffle, so a text that
-    holds a third of all rows sends one row a task. Members then find their group by both digests of their text.
+    holds a third of all rows sends one row a task. Members then find their group by two digests of their text, MD5 and
+    SHA-256 together, so that their texts need not travel again.
 
-    Null text counts as empty. Null ids sort last. Of rows that repeat both id and text one is kept.
+    Null and empty text count as one. Null ids sort last. Of rows that repeat both id and text one is kept. Texts may be of any
+    length; an empty table gives an empty one, and columns other than the two named have no effect.
     """
     body = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     hashed = body.select("doc_id", "body", F.md5("body").alias("content_hash"))
@@ -53,6 +55,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one of its group that stays."""
     return duplicate_groups(documents(spark, sf_dir))
 
 

@@ -80,18 +80,21 @@ def _same_leaf(a: str, b: str) -> Column:
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, levels: Mapping[str, Column]) -> DataFrame:
+    """(row, mix_id, mix_hash, mix_tokens, mix_<level>...): row holds the columns of docs, so that their names can't clash."""
     text = text_or_empty(F.col(text_col))
-    return docs.select("*", F.col(id_col).alias("mix_id"), F.xxhash64(text).alias("mix_hash"), F.size(words_of(text)).cast("long").alias("mix_tokens"), *[levels[c].cast("string").alias(f"mix_{c}") for c in LEVELS])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.col(id_col).alias("mix_id"), F.xxhash64(text).alias("mix_hash"), F.size(words_of(text)).cast("long").alias("mix_tokens"), *[levels[c].cast("string").alias(f"mix_{c}") for c in LEVELS])
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, float], share: float, epochs: int, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", by_lang: Mapping[str, float] | None = None) -> DataFrame:
-    """The chosen rows of docs, with epoch, mix_tokens and the levels as mix_<level>; a row comes once for each epoch.
+    """(row, epoch, mix_tokens, mix_<level>...): the chosen rows of docs as structs, once for each epoch.
 
     The budget is `share` of all tokens (words). A leaf with a quota of e times its tokens and a rest gives e whole epochs
     and, in the seeded order of the next epoch, the longest prefix of rows whose tokens fit the rest; rows of equal
     hash, such as repeated ones, fall on the same side. Prefixes are found from sums over stretches of hashes and
     the rows of one stretch, so a leaf that holds a third of all rows is never in one task, and the rows themselves are
-    not shuffled. Null levels are values of their own; null and empty texts have no tokens and cost nothing.
+    not shuffled. Null levels are values of their own; null and empty texts have no tokens and cost nothing. Texts may be
+    of any length; an empty table gives an empty one, and columns of docs may have any names.
     """
     sized = _measured(docs, id_col, text_col, levels)
     light = stored(sized.select("mix_id", "mix_hash", "mix_tokens", *[f"mix_{c}" for c in LEVELS]), "mixing")
@@ -118,7 +121,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, fl
     chosen = chosen.select("*", F.explode(F.sequence(F.lit(0), "whole")).alias("epoch"))
     place = _order(F.col("epoch"), seed)
     inside = F.coalesce(place <= F.col("cut"), place < F.col("begin"), F.lit(True))  # up to the cut; else before its stretch; else all
-    return chosen.where((F.col("epoch") < F.col("whole")) | inside).drop("whole", "cut", "begin", "mix_id", "mix_hash")
+    return chosen.where((F.col("epoch") < F.col("whole")) | inside).select("row", "epoch", "mix_tokens", *[f"mix_{c}" for c in LEVELS])
 
 
 def domain(source: Column) -> Column:
@@ -132,5 +135,6 @@ def query_levels() -> dict[str, Column]:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by domain, language and source to WEIGHTS, SHARE of all tokens, each MOST_EPOCHS times at most."""
     chosen = mix(documents(spark, sf_dir), query_levels(), WEIGHTS, SHARE, MOST_EPOCHS, by_lang=LANGUAGE_WEIGHTS)
-    return chosen.select("doc_id", "epoch", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"))
+    return chosen.select("row.doc_id", "epoch", F.col("mix_domain").alias("domain"), "row.lang", "row.source", F.col("mix_tokens").alias("tokens"))

@@ -144,7 +144,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row.
 
     Null and empty texts have no words and fail the base rule. Null languages and sources are groups like any other.
-    Repeated rows get repeated results. The measures are stored once, then read for the sketches and for the filter.
+    Repeated rows get repeated results; texts may be of any length; an empty table gives an empty one, and columns other than
+    those named have no effect. The measures are stored once, then read for the sketches and for the filter.
     """
     measured = stored(measure(docs, id_col, text_col, lang_col, source_col), "quality")
     judged = _with_limits(measured, thresholds(measured))
@@ -152,20 +153,22 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of docs that quality() keeps, with the columns of docs.
+    """The rows of docs that quality() keeps, with the columns of docs, whatever their names. Nulls, empty texts and
+    repeated rows as in quality().
 
-    The limits, a row for each language and source, go to the rows, which are measured again and not shuffled unless
-    there are more than MOST_BROADCAST_GROUPS limits.
+    Rows are stored beside their measures, so each text is measured once. The limits, a row for each language and source,
+    go to the rows, which are not shuffled unless there are more than MOST_BROADCAST_GROUPS limits.
     """
-    measured = stored(measure(docs.withColumn("__id", F.lit(0)), "__id", text_col, lang_col, source_col), "quality")
-    limits = stored(thresholds(measured), "quality-limits")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stored(docs.select(row, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *[c.alias(n) for n, c in base_measures(F.col(text_col)).items()]), "quality-rows")
+    limits = stored(thresholds(rows), "quality-limits")
     if limits.count() <= MOST_BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *[c.alias(n) for n, c in base_measures(F.col(text_col)).items()])
     return _with_limits(rows, limits).where(verdict()).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures and the verdict of each document, with thresholds of its language and source."""
     return quality(documents(spark, sf_dir))
 
 
