@@ -14,23 +14,28 @@ MIX_SHARE = 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Edge cases as in the operator."""
     return quality_rules.keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that of the smallest id. Edge cases as in the operator."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id. Edge cases as in the operator."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, MIX_SHARE of all tokens, by the weights of domains, languages and sources. Edge cases as in the operator."""
     chosen = mixing.mix(docs, mixing.query_levels(), mixing.WEIGHTS, MIX_SHARE, epochs=1, by_lang=mixing.LANGUAGE_WEIGHTS)
-    return chosen.select(*[f"`{c}`" for c in docs.columns])
+    return chosen.select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences. Edge cases as in the operator."""
     return packing.pack(docs)
 
 
@@ -47,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over documents; each stage reads what the one before has written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
