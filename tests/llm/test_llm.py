@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -14,7 +15,12 @@ from conftest import rows_of
 from ledgertide.llm import exact_dedup, language_id, mixing, packing, quality_rules, registry, secret_scan, simhash, substring_dedup, token_store, tokens, toxicity
 from ledgertide.llm.common import shared_dir
 
-SCHEMA = "doc_id long, text string, lang string, source string, body string, row string, node long, n_words long"
+#: Columns beside those of documents, named as the operators name their own.
+ODD = (
+    "body row node n_words epoch whole cut begin mix_tokens mix_id mix_hash mix_lang leaf rest place stretch upto gone first component fp key content hash rank start stop gap matches doc tie kind kmer kmers "
+    "words ranges beyond bucket part minimisers places content_hash times nth group_size keep_id id sequence_id shard path y stem held_out score spans limit_length rule n m.x"
+).split()
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in ODD)
 PASSAGE = " ".join(f"w{k}" for k in range(30))
 TEXTS = [
     None, "", " \t\n", "One two three", "one  two\nthree", "one two three", PASSAGE, f"x y {PASSAGE} z", f"{PASSAGE} {PASSAGE}", "la " * 3000,
@@ -25,8 +31,9 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}" if k % 5 else None, "b", "r", 1, 2) for k, t in enumerate(TEXTS)]
-    rows += [(3, "One two three", "en", "s0", "b", "r", 1, 2), (None, "one two three", "en", "s0", "b", "r", 1, 2), (3, f"other {PASSAGE}", "en", "s0", "b", "r", 1, 2)]
+    rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}" if k % 5 else None) for k, t in enumerate(TEXTS)]
+    rows += [(3, "One two three", "en", "s0"), (None, "one two three", "en", "s0"), (3, f"other {PASSAGE}", "en", "s0")]
+    rows = [r + tuple("x" if k % 2 else None for k in range(len(ODD))) for r in rows]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -55,8 +62,14 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.duplicate_groups(empty).count() == 0 and exact_dedup.drop_duplicates(empty).count() == 0
 
 
-def test_exact_dedup_matches_sql(spark, sf, duck):
-    assert rows_of(registry.queries()["op3_exact_dedup"](spark, sf).toPandas()) == rows_of(duck.execute(registry.oracle_sql()["op3_exact_dedup"]).df())
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_matches_sql(spark, sf, duck, name):
+    assert rows_of(registry.queries()[name](spark, sf).toPandas()) == rows_of(duck.execute(registry.oracle_sql()[name]).df())
+
+
+@pytest.fixture(scope="module")
+def table(spark, sf):
+    return {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
 
 
 def repeat_words(w, k=5):
@@ -117,6 +130,41 @@ def test_secrets(docs, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def plain_scan(rows):
+    """spans of every text, by looking at all texts for each value; rows are (doc_id, text, source)."""
+    patterns = [(n, re.compile(p, re.A), g, least) for n, p, g, least in secret_scan.BASE + secret_scan.EXTRA]
+    found, contents, owners = {}, defaultdict(set), defaultdict(lambda: defaultdict(set))
+    for k, text, source in rows:
+        text = text or ""
+        w = words(text)
+        content = " ".join(re.split("[\x20\x09-\x0d]+", text)) if len(w) >= secret_scan.COPY_WORDS else k
+        found[k] = []
+        for rank, (name, p, g, least) in enumerate(patterns):
+            for m in p.finditer(text):
+                if len(m[g]) >= least:
+                    value = re.sub(secret_scan._GAP, "", m[g]) if name == "key_block" else m[g]
+                    found[k].append((m.start(), rank, name, m.end(), value))
+                    contents[value].add(content)
+                    owners[value][source].add(content)
+    live = {v: max(map(len, owners[v].values())) == len(c) for v, c in contents.items()}
+    return {k: ",".join(f"{n}:{a}:{b}" for a, rank, n, b, v in sorted(own) if rank < len(secret_scan.BASE) or live[v]) for k, own in found.items()}
+
+
+def test_op6_spans_against_plain_search(spark, sf, table):
+    got = {r.doc_id: r for r in registry.queries()["op6_secret_scan"](spark, sf).collect()}
+    assert {k: r.spans for k, r in got.items()} == plain_scan([(k, r.text, r.source) for k, r in table.items()])
+    for r in got.values():
+        base = [s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and r.n_hex == sum(s.startswith("hex") for s in base)
+
+
+def test_a_text_of_many_candidates(spark):
+    text = " ".join(f"{k:016x}" for k in range(100_000))
+    got = secret_scan.scan(spark.createDataFrame([(1, text, "en", "o")], "doc_id long, text string, lang string, source string")).collect()[0]
+    base = ",".join(f"hex:{17 * k}:{17 * k + 16}" for k in range(100_000))
+    assert got.n_hex == 100_000 and got.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
 def test_ownership_tells_examples_from_live_values(spark):
     rows = [(k, f"api_key = shared{'0' * 20}", "en", f"o{k}") for k in range(6)] + [(9, "api_key = own" + "1" * 20, "en", "o1")]
     got = {r.doc_id: (r.n_live, r.n_example) for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
@@ -145,12 +193,15 @@ def test_one_owner_and_copies_leave_a_value_live(spark):
     assert all(("service" in got[k]) == (k < 30) for k, *_ in rows), got
 
 
-def library_ids(text):
+@lru_cache
+def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def library_ids(text):
+    return library(tokens.vocabulary_path()).encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_matches_the_library():
@@ -158,6 +209,15 @@ def test_encoder_matches_the_library():
     odd = [*TEXTS, " a", "a b ", "a \n b", "it's  ok", "x\xa0y", "a\x1cb", " " * 50 + "a", "a,b.c! d?", "ÀÉ ß1 2é", "w" * 200 + " " + "w" * 200]
     for _ in range(2):
         assert [list(encode(t or "", 7)) for t in odd] == [[*library_ids(t), 7] for t in odd]
+    assert encode.by_piece and 50256 in encode("<|endoftext|> a", 7) and 50256 not in tokens.Encoder(tokens.vocabulary_path(), special_as_text=True)("<|endoftext|> a", 7)
+
+
+def test_pieces_are_chosen_by_what_the_file_says(tmp_path):
+    other = tokens.vocabulary_path("word_bpe_49k.json")
+    (tmp_path / tokens.DEFAULT_VOCABULARY).write_bytes(open(other, "rb").read())
+    encode = tokens.Encoder(str(tmp_path / tokens.DEFAULT_VOCABULARY))
+    assert not encode.by_piece
+    assert list(encode("Two words here", 7)) == [*library(other).encode("Two words here", add_special_tokens=False).ids, 7]
 
 
 def test_packing(docs, empty):
@@ -178,14 +238,58 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_assignment_is_balanced():
+def plain_assign(lengths, sequence):
+    """Each piece, longest first, to the cheapest sequence with room, found by looking at all of them."""
+    room = packing.capacities(sum(lengths), sequence)
+    cost, filled, placed = [0.0] * len(room), [0] * len(room), []
+    pieces = [(-min(sequence, n - at), d, at) for d, n in enumerate(lengths) for at in range(0, n, sequence)]
+    while pieces:
+        pieces.sort()
+        size, d, at = pieces.pop(0)
+        k = min((k for k in range(len(room)) if room[k] > filled[k]), key=lambda k: (cost[k], k))
+        take = min(-size, room[k] - filled[k])
+        placed.append((d, at, take, k, filled[k]))
+        cost[k] += take + take * take / 1024
+        filled[k] += take
+        if take < -size:
+            pieces.append((size + take, d, at + take))
+    return placed
+
+
+def test_assignment_is_greedy_and_balanced():
     rng = np.random.default_rng(0)
-    placed = packing.assign(rng.integers(1, 4000, 300).tolist(), 2048)
-    cost = Counter()
-    for _, _, n, k, _ in placed:
-        cost[k] += n + n * n / 1024
-    full = [c for k, c in cost.items() if sum(n for _, _, n, q, _ in placed if q == k) == 2048]
-    assert max(full) <= 2048 + 2048 * 2048 / 1024 and len(full) >= sum(n for _, _, n, _, _ in placed) // 2048
+    for n in (0, 1, 7, 60):
+        lengths = rng.integers(1, 4000, n).tolist()
+        assert packing.assign(lengths, 2048) == plain_assign(lengths, 2048)
+    lengths = rng.integers(1, 1000, 800).tolist()
+    cost = lambda placed: np.bincount([p[3] for p in placed], [p[2] + p[2] ** 2 / 1024 for p in placed])[: sum(lengths) // 2048]
+    in_order, at = [], 0  # documents one after the other, as they come
+    for d, n in enumerate(lengths):
+        for cut in range(0, n):
+            if cut == 0 or (at + cut) % 2048 == 0:
+                in_order.append((d, cut, min(n - cut, 2048 - (at + cut) % 2048), (at + cut) // 2048, (at + cut) % 2048))
+        at += n
+    ours = cost(packing.assign(lengths, 2048))
+    assert ours.max() <= 1.15 * ours.mean() and ours.std() < 0.5 * cost(in_order).std()
+
+
+def test_op2_and_op8_hold_each_id_once(spark, sf, table):
+    start = 0
+    packed, found = registry.queries()["op2_cost_packing"](spark, sf).toPandas(), registry.queries()["op8_token_store"](spark, sf).toPandas().set_index("doc_id")
+    pieces = {k: g.sort_values("start") for k, g in packed.groupby("doc_id")}
+    assert len(found) == len(table) == len(pieces)
+    for k in sorted(table):
+        ids = library_ids(table[k].text)
+        stored = np.array([*ids, 2], dtype="<u4")
+        assert (found.start[k], found.n_tokens[k], found.ids_crc32[k]) == (start, len(stored), zlib.crc32(stored.tobytes()))
+        start += len(stored)
+        own, at = np.array([*ids, 1], dtype="<u4"), 0
+        for p in pieces[k].itertuples():
+            assert (p.start, p.ids_crc32, p.doc_tokens) == (at, zlib.crc32(own[at : at + p.length].tobytes()), len(own))
+            at += p.length
+        assert at == len(own)
+    sizes = packed.groupby("sequence_id").length.sum()
+    assert all(n == 2048 or n & n - 1 == 0 for n in sizes) and (sizes < 2048).sum() <= 11 * 8
 
 
 def test_token_store(spark, docs, empty):
@@ -235,11 +339,43 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.near_duplicates(docs).count() == docs.count()
 
 
-def test_links_connect_what_all_pairs_connect(spark):
+def test_op7_links_all_fingerprints(spark, sf, table):
+    prints = {k: plain_print(r.text) for k, r in table.items()}
+    ids = sorted(prints)
+    fps = np.array([prints[k] for k in ids], dtype="<u8")
+    least = np.arange(len(ids))
+    while True:
+        new = np.array([least[np.bitwise_count(fps ^ f) <= 4].min() for f in fps])
+        new = np.minimum(new, new[new])
+        if (new == least).all():
+            break
+        least = new
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in registry.queries()["op7_simhash"](spark, sf).collect()}
+    assert got == {k: (f"{prints[k]:016x}", ids[least[i]]) for i, k in enumerate(ids)}
+
+
+@pytest.mark.parametrize("radius", [0, 4, 8, 64])
+def test_forest_finds_all_pairs(radius):
+    rng = np.random.default_rng(6)
+    keys = np.sort(rng.integers(0, 40, 600))
+    prints = rng.integers(-(1 << 62), 1 << 62, 600) ^ 0
+    for k in range(0, 598, 3):
+        prints[k + 1] = prints[k] ^ int(sum(1 << int(b) for b in rng.choice(60, rng.integers(0, 9), replace=False)))
+    a, b = simhash.BKForest(keys, prints).pairs(radius)
+    near = lambda x, y: ((int(prints[x]) ^ int(prints[y])) & simhash._MASK).bit_count() <= radius
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(x, y) for x in range(600) for y in range(x) if keys[x] == keys[y] and near(x, y)]
+    none = simhash.BKForest(keys[:0], prints[:0]).pairs(radius)
+    assert len(none[0]) == len(none[1]) == 0
+
+
+@pytest.mark.parametrize(("own_tree", "large"), [(0, 10**6), (512, 10**6), (512, 3)])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, own_tree, large):
+    monkeypatch.setattr(simhash, "OWN_TREE", own_tree)
+    monkeypatch.setattr(simhash, "LARGE_SHARD", large)
     rng = np.random.default_rng(3)
     centres = rng.integers(-(1 << 62), 1 << 62, 40)
     prints = sorted({int(c) ^ int(sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 7), replace=False))) for c in centres for _ in range(12)})
-    edges = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 4).collect()
+    edges = simhash.links(spark.createDataFrame([(0, p, p) for p in prints], "kind int, fp long, name long"), 4).collect()
 
     def groups(pairs):
         of = {p: {p} for p in prints}
@@ -264,13 +400,36 @@ def test_similar_texts_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8]
 
 
+def test_near_duplicates_of_odd_rows(docs, empty):
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count() and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+        off = []
+        for n in (1, 8, 30, 300, 3000):
+            for _ in range(40):
+                pool = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+                both = round(2 * n * share / (1 + share))
+                a, b = pool[:n], np.concatenate([pool[n - both : n], pool[n : 2 * n - both]])
+                true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+                off.append(simhash.similarities(simhash.sketch(a), simhash.sketch(b)[None])[0] - true)
+        assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.05
+    none = simhash.sketch(np.array([], dtype="<u8"))
+    assert simhash.similarities(none, np.stack([none, simhash.sketch(a)])).tolist() == [1.0, 0.0]
+
+
+@pytest.mark.parametrize("parts", [1, 4096])
 @pytest.mark.parametrize("apart", [0, 1])
-def test_a_rejected_finder_hides_no_true_pair(spark, monkeypatch, apart):
+def test_a_rejected_finder_hides_no_true_pair(spark, monkeypatch, apart, parts):
+    monkeypatch.setattr(simhash, "PART_TEXTS", parts)
     rng = np.random.default_rng(4)
-    sketch = lambda: np.unique(rng.integers(1, 1 << 62, 90, dtype=np.uint64))
-    a, b = sketch(), sketch()
-    c = np.unique(np.concatenate([b[:-2], sketch()[:2]]))
-    rows = [(n, s.tobytes(), *[apart * n] * simhash.PRINTS) for n, s in ((1, a), (2, b), (4, c))]  # all within two bits
+    hashes = lambda: np.unique(rng.integers(1, 1 << 63, 90, dtype=np.uint64) * np.uint64(2))
+    a, b = hashes(), hashes()
+    c = np.unique(np.concatenate([b[:-2], hashes()[:2]]))
+    rows = [(n, simhash.sketch(s).tobytes(), *[apart * n] * simhash.PRINTS) for n, s in ((1, a), (2, b), (4, c))]  # all within two bits
     schema = "node long, sketch binary, " + ", ".join(f"fp_{k} long" for k in range(simhash.PRINTS))
     monkeypatch.setattr(simhash, "_sketched", lambda docs, text_col: spark.createDataFrame(rows, schema))
     assert sorted(map(tuple, simhash.similar(None).collect())) == [(2, 2), (4, 2)]
@@ -282,11 +441,11 @@ def test_fingerprints_recall_pairs_near_the_similarity():
         hit = 0
         for _ in range(60):
             new = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
-            a = simhash.shingle_hashes(" ".join(new), simhash.SIMILAR_SIZE)
+            a = simhash.run_hashes(" ".join(new), simhash.SIMILAR_SIZE)
             b, share = a, 1.0
             while share >= least + 0.012:  # a changed word takes about 0.02 away
                 new[int(rng.integers(0, 400))] = f"n{rng.integers(0, 10**6)}"
-                last, b = b, simhash.shingle_hashes(" ".join(new), simhash.SIMILAR_SIZE)
+                last, b = b, simhash.run_hashes(" ".join(new), simhash.SIMILAR_SIZE)
                 share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             b = b if share >= least else last
             hit += any(((x ^ y) & simhash._MASK).bit_count() <= simhash.SIMILAR_RADIUS for x, y in zip(simhash.mixed_prints(a), simhash.mixed_prints(b), strict=True))
@@ -305,13 +464,30 @@ def plain_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("large", [1, 5000])
-def test_substrings(docs, empty, monkeypatch, large):
-    monkeypatch.setattr(substring_dedup, "LARGE_BUCKET", large)
+def test_op9_against_plain_windows(spark, sf, table):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in registry.queries()["op9_substring_dedup"](spark, sf).collect()}
+    assert got == plain_repeats([(k, r.text) for k, r in table.items()])
+
+
+#: Sizes of large buckets, of what tasks merge and remember, and of the pieces of long texts.
+@pytest.mark.parametrize("sizes", [{}, {"LARGE_BUCKET": 1}, {"LARGE_BUCKET": 1, "MOST_HELD": 2}, {"MOST_SEEN": 3}, {"MOST_WORDS": 25}])
+def test_substrings(docs, empty, monkeypatch, sizes):
+    for name, n in sizes.items():
+        monkeypatch.setattr(substring_dedup, name, n)
     rows = docs.where("doc_id IS NOT NULL AND (doc_id <> 3 OR text = 'One two three')").distinct()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.drop_repeats(rows).collect()}
     assert got == plain_repeats([(r.doc_id, r.text) for r in rows.collect()])
     assert substring_dedup.drop_repeats(empty).count() == 0 and substring_dedup.drop_repeats(docs).count() == docs.count()
+    by_text = {r.kept_sha256: r for r in substring_dedup.drop_repeats(rows).collect()}
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == k for k, r in by_text.items())
+    with pytest.raises(TypeError):
+        substring_dedup.drop_repeats(docs, id_col="source")
+
+
+def test_repeated_rows_repeat_nothing(spark):
+    got = substring_dedup.drop_repeats(spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (1, PASSAGE + " more"), (2, PASSAGE)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got)[-1] == (2, 30, 30)
+    assert sorted(r.n_removed for r in got if r.doc_id == 1) in ([0, 0, 30], [0, 30, 30])  # the text of the lesser hash stands first
 
 
 def test_toxicity(spark, docs, empty):
@@ -326,6 +502,62 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(empty, frame.where("false"))[0] == []
 
 
+def plain_features(terms, text):
+    """Features by looking at every word, term and pair of marks."""
+    w = text.split()
+
+    def begins(term, word, most):
+        row = list(range(len(word) + 1))
+        for i, a in enumerate(term, 1):
+            new = [i]
+            for j, b in enumerate(word, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return min(row) <= most
+
+    kind = []
+    for x in w:
+        p = toxicity.plain(x)
+        exact = any(p.startswith(t) for t in terms)
+        kind.append(1 if exact else 2 if len(p) >= toxicity.FUZZY_LENGTH - 1 and any(len(t) >= toxicity.FUZZY_LENGTH and begins(t, p, 1) for t in terms) else 0)
+    quoted = [False] * len(w)
+    k = 0
+    while k < len(w):
+        if w[k].startswith('"') and (end := next((j for j in range(k, min(len(w), k + toxicity.QUOTATION)) if w[j].rstrip(".,;:!?").endswith('"') and (j > k or len(w[k]) > 1)), None)) is not None:
+            quoted[k : end + 1] = [True] * (end + 1 - k)
+            k = end
+        k += 1
+    loud = [i for i in range(len(w)) if kind[i] and not quoted[i]]
+    exact, fuzzy = sum(kind[i] == 1 for i in loud), sum(kind[i] == 2 for i in loud)
+    most = max((sum(i - toxicity.CONTEXT <= j <= i for j in loud) for i in loud), default=0)
+    log = np.log1p
+    return [1.0, float(exact > 0) + log(exact), log(fuzzy), log(sum(map(bool, kind)) - len(loud)), log(most), log(100 * (exact + fuzzy) / max(1, len(w)))]
+
+
+def test_features_against_plain_search():
+    rng = np.random.default_rng(8)
+    terms = ["idiot", "worthle", "scum"]
+    pool = "idiot idiots idot 1diot worthless worthlss scum scumbag skum plain words go here and there . \"".split()
+    scorer = toxicity.Scorer(terms)
+    for n in (0, 1, 5, 40, 400):
+        for _ in range(20):
+            text = " ".join(('"' if rng.random() < 0.1 else "") + pool[int(rng.integers(len(pool)))] + ('".' if rng.random() < 0.1 else "") for _ in range(n))
+            assert np.allclose(scorer.features(text), plain_features(terms, text)), text
+    long = '"' + "he went on and on " * 8 + 'idiot" she wrote'
+    assert scorer.features(long)[1] == 0 and scorer.features(long)[3] > 0
+
+
+def test_op1_learns_from_what_is_not_held_out(spark, sf, table):
+    got = {r.doc_id: r for r in registry.queries()["op1_toxicity"](spark, sf).collect()}
+    assert {k: r.held_out for k, r in got.items()} == {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in table}
+    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got.values())
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.where("crc32(CAST(doc_id AS STRING)) % 5 <> 0"))
+    for k, r in table.items():
+        z = float(np.dot(plain_features(model[0], r.text or "") if '"' in (r.text or "") and "“" not in r.text else toxicity.Scorer(model[0]).features(r.text or ""), model[1]))
+        assert abs(got[k].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
 def test_automaton_against_edit_distance():
     trie = toxicity.Trie(["idiot", "worthless"])
 
@@ -354,6 +586,31 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_scripts_bar_languages_and_numerals_are_no_letters(spark):
+    rows = [(k, "the cat sits with the dog there" if k % 2 else "привет мир как дела у тебя", "en" if k % 2 else "ru") for k in range(60)]
+    lab = language_id.Labeller(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    texts = ["½ ²", "Ⅷ ① 12", "the cat sits with привет the dog there and", "日本語", ""]
+    got = lab.label([language_id.words(t) for t in texts])
+    assert [g[0] for g in got] == ["und", "und", "en", got[3][0], "und"] and got[2][2] == "0-4:en,4-5:ru,5-9:en"
+    assert all(w.isalpha() for t in texts for w in language_id.words(t)) and language_id.words("x²y ½é") == ["x", "y", "é"]
+
+
+def test_op4_learns_from_what_is_not_held_out(spark, sf, table):
+    held = {k: zlib.crc32(str(k).encode()) % 4 == 2 for k in table}
+    got = {r.doc_id: r for r in registry.queries()["op4_language_id"](spark, sf).collect()}
+    assert {k: r.held_out for k, r in got.items()} == held
+    seen = {r.lang for k, r in table.items() if not held[k] and r.lang}
+    tested = [k for k in table if held[k] and table[k].lang in seen and any(c.isalpha() for c in table[k].text or "")]
+    assert sum(got[k].lang_pred == table[k].lang for k in tested) >= 0.9 * len(tested)
+    for k, r in got.items():
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in table[k].text or "")) and 0 <= r.score <= 1
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    flipped = docs.selectExpr("doc_id", "text", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 4 = 2 THEN 'zz' ELSE lang END AS lang")
+    model = language_id.fit(flipped.where(~toxicity.held_out(2, 4)))
+    again = {r.doc_id: (r.lang_pred, r.spans) for r in language_id.identify(flipped, model).collect()}
+    assert again == {k: (r.lang_pred, r.spans) for k, r in got.items()}
+
+
 def plain_viterbi(scores, switch):
     n, k = scores.shape
     best, back = scores[0].copy(), []
@@ -389,12 +646,13 @@ def test_mixing_against_plain_prefixes(spark, docs, empty):
     rows = [(k, "w " * (k % 7), "en" if k % 3 else None, f"src{k % 4}") for k in range(400)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = mixing.mix(frame, mixing.query_levels(), mixing.WEIGHTS, 0.8, 2, by_lang=mixing.LANGUAGE_WEIGHTS).collect()
-    leaf = lambda r: (r.mix_domain, r.mix_lang, r.mix_source)
+    leaf = lambda r: (r["mix_domain"], r["mix_lang"], r["mix_source"])
     sizes = Counter()
     for k, t, lang, s in rows:
         sizes[("web", lang, s)] += len(t.split())
     weights = dict(mixing.WEIGHTS) | {p[:2]: mixing.LANGUAGE_WEIGHTS.get(p[1], 1.0) for p in sizes}
     quota = mixing.allocate(sizes, weights, int(0.8 * sum(sizes.values())), 2)
+    got = [r.asDict() | {"doc_id": r.row.doc_id} for r in got]
     order = {(r.doc_id, e): r.h for e in range(3) for r in frame.selectExpr("doc_id", f"xxhash64({mixing.SEED}, {e}, doc_id, xxhash64(text)) AS h").collect()}
     want = set()
     for p, q in quota.items():
@@ -407,8 +665,9 @@ def test_mixing_against_plain_prefixes(spark, docs, empty):
             if total > rest:
                 break
             want.add((k, whole))
-    assert {(r.doc_id, r.epoch) for r in got} == want and {leaf(r) for r in got} <= set(sizes)
-    assert mixing.mix(docs, mixing.query_levels(), {}, 0.5, 1).count() <= docs.count()
+    assert {(r["doc_id"], r["epoch"]) for r in got} == want and {leaf(r) for r in got} <= set(sizes)
+    chosen = mixing.mix(docs, mixing.query_levels(), {}, 0.5, 1)
+    assert chosen.count() <= docs.count() and chosen.select("row.*").columns == docs.columns
     assert mixing.mix(empty, mixing.query_levels(), {}, 0.5, 1).count() == 0
 
 
