@@ -21,7 +21,7 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_L
 #: Texts with any other character go to the library whole.
 _OTHER = re.compile(rf"[^\t-\r -~{_LETTER}]")
 #: A worker remembers the ids of twice so many pieces, and of none longer than this.
-_MOST_PIECES, _LONGEST_PIECE = 500_000, 64
+_MOST_PIECES, _LONGEST_PIECE = 300_000, 64
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,12 +35,14 @@ _LETTERS = _byte_letters()
 _SPACE = chr(_LETTERS[32])
 
 
-def _splits_into_pieces(spec: dict) -> bool:
-    """Whether the vocabulary of a tokenizer's file encodes each piece of the split above by itself and unchanged."""
-    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+def _splits_into_pieces(tokenizer) -> bool:
+    """Whether a tokenizer encodes each piece of the split above by itself and unchanged."""
+    from tokenizers import models
+
+    split = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer is not None else {}
     plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
-    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-    return plain and spec.get("normalizer") is None and model.get("type") == "BPE" and not odd
+    odd = any(getattr(tokenizer.model, k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")) if isinstance(tokenizer.model, models.BPE) else True
+    return plain and tokenizer.normalizer is None and not odd
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -78,12 +80,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.by_piece = _splits_into_pieces(spec)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_piece = _splits_into_pieces(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.known = _Known(self._after_space)
 
