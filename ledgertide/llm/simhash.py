@@ -247,7 +247,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     Each shard has a BK-tree and gives one edge for each fingerprint that it links, not a pair for each link. Dense shards,
     which more blocks would not divide, are dealt out in parts, so a task's memory has a bound.
     """
-    n = max([r["count"] for r in prints.groupBy("kind").count().collect()], default=0)  # a row for each kind
+    sizes = [r["count"] for r in prints.groupBy("kind").count().collect()]  # a row for each kind
+    n = max(sizes, default=0)
     key = F.explode(block_keys(F.col("fp"), radius, agreement(n, radius))).alias("key")
     dealt = prints.select("kind", key, "fp", "name").select(F.xxhash64("kind", "key").alias("key"), "fp", "name")
     if n > LARGE_SHARD:  # else no shard can be large
@@ -271,7 +272,9 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         for t in _whole_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in search(*(t[c].to_numpy() for c in ("key", "fp", "name")))], names=["a", "b"])
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    own = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) * len(sizes)  # as many for each kind, so that sorts stay small
+    spread = dealt.repartition(own, "key") if len(sizes) > 1 else dealt.repartition("key")
+    return spread.sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 _MASK = (1 << BITS) - 1
