@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from ledgertide.catalog import Query
-from ledgertide.llm import exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
+from ledgertide.llm import conversations, exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
 
 
 def queries() -> dict[str, Query]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op8_token_store": token_store.op8_token_store,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
