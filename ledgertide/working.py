@@ -25,10 +25,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, with no lineage and no executor's disk behind it. It lives as
     long as that folder does."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
+    return stored_at(df, shared_dir(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table in a folder of shared_dir(), which discard() takes away again."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of shared_dir(), once nothing that is still to be computed reads it."""
+    if "/ledgertide/" not in path:
+        raise ValueError(f"{path} is no working table")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
