@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from ledgertide.catalog import Query
-from ledgertide.llm import conversations, exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
+from ledgertide.llm import clustering, conversations, exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
 
 
 def queries() -> dict[str, Query]:
@@ -19,10 +19,11 @@ def queries() -> dict[str, Query]:
         "op8_token_store": token_store.op8_token_store,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_centroid_clustering": clustering.op11_centroid_clustering,
         "op13_conversation_repair": conversations.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op10_quality_rules": quality_rules.OP10_SQL, "op11_centroid_clustering": clustering.OP11_SQL}
