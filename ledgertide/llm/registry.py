@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from ledgertide.catalog import Query
-from ledgertide.llm import clustering, conversations, exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
+from ledgertide.llm import clustering, conversations, exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store, toxicity
 
 
 def queries() -> dict[str, Query]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op11_centroid_clustering": clustering.op11_centroid_clustering,
+        "op12_ngram_join": ngram_join.op12_ngram_join,
         "op13_conversation_repair": conversations.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
