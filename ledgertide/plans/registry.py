@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.plans import analysis, corpus, markets, models
+from ledgertide.plans import analysis, corpus, markets, models, streams
 
-MODULES = [corpus, markets, analysis, models]
+MODULES = [corpus, markets, analysis, models, streams]
 
 
 def queries() -> dict[str, Query]:
