@@ -11,9 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.common import documents, shared_dir, stored, text_or_empty
+from ledgertide.llm.common import documents, part_pairs, shared_dir, stored, text_key, text_or_empty, whole_keys
 from ledgertide.llm.components import components
-from ledgertide.llm.simhash import _whole_keys, part_pairs
 from ledgertide.working import discard, small, stored_at
 
 SIZE = 4
@@ -60,8 +59,9 @@ class PrefixTree:
     """Ordered sets in a trie whose unary paths are single nodes. search() walks all paths together, level by level, with the
     overlap that sets share up to a node counted once, and leaves subtrees whose remaining lengths can't reach the similarity."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], share: int = SHARE, per: int = PER):
         """sets are distinct, each of distinct numbers; numbers that more sets hold come first, so that sets share paths."""
+        self.share, self.both = share, share + per
         _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(times), dtype=np.int64)
         rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
@@ -140,10 +140,10 @@ class PrefixTree:
             label = self.labels[np.arange(int(ends[-1])) + np.repeat(self.label_begin[nodes] - ends + size, size)]
             shared = shared + np.add.reduceat(self.mark[label], ends - size, dtype=np.int64)
             rest = n - np.searchsorted(mine, label[ends - 1], side="right")  # of set k beyond the node
-            both = SHARE + PER
-            hit = (both * shared >= SHARE * (n + self.depth[nodes])) & (self.owner[nodes] >= 0)
+            share, both = self.share, self.both
+            hit = (both * shared >= share * (n + self.depth[nodes])) & (self.owner[nodes] >= 0)
             found += [o for o in self.owner[nodes[hit]].tolist() if self.there[o]]
-            go = (both * (shared + rest) >= SHARE * (n + self.shortest[nodes])) & (both * (shared + self.longest[nodes] - self.depth[nodes]) >= SHARE * (n + self.longest[nodes]))
+            go = (both * (shared + rest) >= share * (n + self.shortest[nodes])) & (both * (shared + self.longest[nodes] - self.depth[nodes]) >= share * (n + self.longest[nodes]))
             nodes, shared = nodes[go], shared[go]
         self.mark[mine] = False
         return found
@@ -163,15 +163,11 @@ class PrefixTree:
                     group += found
 
 
-def _text_key(text) -> F.Column:
-    return F.unhex(F.md5(text))
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, key, text_key, counted, other) of each row: the size of its set, 128-bit hashes of set and text, its n-grams that
     are counted over all documents, and the least others, where its prefix needs some."""
     text = text_or_empty(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _text_key(text).alias("text_key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +204,10 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     return shared.select("cls", F.explode(F.transform(first, lambda g: g["gram"])).alias("gram")).unionByName(classes.select("cls", F.explode("other").alias("gram")))
 
 
-def _joined(groups: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links between classes that connect what all links within each group (cls, component) connect.
+def links_within(groups: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, share: int = SHARE, per: int = PER) -> DataFrame:
+    """(a, b): links between classes (cls, n, rep) that connect what all links within each group (cls, component) connect.
 
-    One text of each class is fetched. A group of more than PART_GRAMS n-grams is dealt out in parts, and every two parts have a tree
+    One text of each class, that of the row rep, is fetched. A group of more than PART_GRAMS n-grams is dealt out in parts, and every two parts have a tree
     of their own, so no task holds more than two parts and together they see every pair.
     """
     members = groups.join(classes.select("cls", "n", "rep"), "cls")
@@ -219,17 +215,17 @@ def _joined(groups: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     dealt = members.join(sizes, "component").select("cls", "component", "rep", F.explode(part_pairs(F.col("parts"), F.col("cls"))).alias("pair"))
     wanted = stored(dealt.select(F.xxhash64("component", "pair").alias("tree"), "component", "pair.i", "pair.j", "cls", F.col("rep.doc_id").alias("id"), F.col("rep.text_key").alias("text_key")), "gram-groups")
     text = text_or_empty(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("doc_id"), _text_key(text).alias("key"), text.alias("text")).alias("d")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), text.alias("text")).alias("d")
     rows = texts.join(small(wanted).alias("w"), (F.col("d.key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.id")))
     rows = rows.select("tree", "component", "i", "j", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_keys(batches):
+        for t in whole_keys(batches):
             cls, same = t["cls"].to_numpy(), np.column_stack([t[n].to_numpy() for n in ("tree", "component", "i", "j")])
             cuts = [0, *(np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist(), len(cls)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 names, at = np.unique(cls[s:e], return_index=True)  # a row may be there twice
-                tree = PrefixTree([gram_set(t["text"][s + int(k)].as_py()) for k in at])
+                tree = PrefixTree([gram_set(t["text"][s + int(k)].as_py(), size) for k in at], share, per)
                 a, b = zip(*found, strict=True) if (found := list(tree.edges())) else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(names[list(x)] if x else [], type=pa.int64()) for x in (a, b)], names=["a", "b"])
 
@@ -258,7 +254,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = stored(_prefixes(classes), "gram-prefixes")
     hubs = prefixes.groupBy("gram").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("times")).where("times > 1")
     groups = components(prefixes.join(hubs, "gram").select(F.col("cls").alias("a"), "b")).select(F.col("node").alias("cls"), "component")
-    links = components(_joined(stored(groups, "gram-candidates"), classes, docs, id_col, text_col)).select(F.col("node").alias("cls"), F.col("component").alias("group"))
+    links = components(links_within(stored(groups, "gram-candidates"), classes, docs, id_col, text_col)).select(F.col("node").alias("cls"), F.col("component").alias("group"))
     named = classes.select("cls", "key", "least_id").join(links, "cls", "left").select("key", "least_id", F.coalesce("group", "cls").alias("group"))
     smallest = named.groupBy("group").agg(F.min("least_id").alias("component_id"))
     of_key = named.join(smallest, "group").select("key", "component_id")

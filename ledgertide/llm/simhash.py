@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.common import documents, stored, text_or_empty
+from ledgertide.llm.common import documents, part_pairs, stored, text_key, text_or_empty, whole_keys
 from ledgertide.llm.components import components
+from ledgertide.llm.ngram_join import gram_set, links_within
 from ledgertide.working import small
 
 SEED = 42
@@ -202,34 +203,10 @@ def block_keys(fp: Column, radius: int, agree: int = 2) -> Column:
     return F.array(*[key(k, c) for k, c in enumerate(combinations(range(n), agree))])
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of all rows of some keys each; batches are sorted by their first column, the key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        if not len(keys):
-            continue
-        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 #: Shards of more fingerprints than this are dealt out in parts.
 LARGE_SHARD = 250_000
 
 
-def part_pairs(parts: Column, value: Column) -> Column:
-    """array<struct<i, j>>: the pairs of parts in which a value is seen, its own part with each other one; (0, 0) if there is one
-    part. So every two values of a group meet, and no task holds more than two parts."""
-    part = F.pmod(F.xxhash64(value), parts).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")))
-    return F.when(parts > 1, F.filter(pairs, lambda x: x["i"] != x["j"])).otherwise(pairs)
-
-
 def _in_parts(dealt: DataFrame) -> DataFrame:
     """(key, fp, name) with the large shards dealt out: every two parts of one are a shard of their own."""
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_SHARD)
@@ -240,19 +217,8 @@ def _in_parts(dealt: DataFrame) -> DataFrame:
     return split.select(F.when(F.col("pair").isNull(), F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), "fp", "name")
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b): edges between names that connect what distances of at most `radius` connect. prints has distinct (kind, fp), each
-    with a name; fingerprints of one kind are searched together.
-
-    Each shard has a BK-tree and gives one edge for each fingerprint that it links, not a pair for each link. Dense shards,
-    which more blocks would not divide, are dealt out in parts, so a task's memory has a bound.
-    """
-    sizes = [r["count"] for r in prints.groupBy("kind").count().collect()]  # a row for each kind
-    n = max(sizes, default=0)
-    key = F.explode(block_keys(F.col("fp"), radius, agreement(n, radius))).alias("key")
-    dealt = prints.select("kind", key, "fp", "name").select(F.xxhash64("kind", "key").alias("key"), "fp", "name")
-    if n > LARGE_SHARD:  # else no shard can be large
-        dealt = _in_parts(dealt)
+def _searched(spread: DataFrame, radius: int) -> DataFrame:
+    """(a, b): edges between names of fingerprints within the radius, in the shards of each partition of (key, fp, name)."""
 
     def search(keys: np.ndarray, fps: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.diff(keys)) + 1
@@ -269,14 +235,30 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         return names[np.concatenate([few[x[joins]], np.array(a, dtype=np.int64)])], names[np.concatenate([few[y[joins]], np.array(b, dtype=np.int64)])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_keys(batches):
+        for t in whole_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in search(*(t[c].to_numpy() for c in ("key", "fp", "name")))], names=["a", "b"])
 
-    own = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) * len(sizes)  # as many for each kind, so that sorts stay small
-    spread = dealt.repartition(own, "key") if len(sizes) > 1 else dealt.repartition("key")
     return spread.sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def links(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): edges between names that connect what distances of at most `radius` connect. prints has distinct (kind, fp), each
+    with a name; fingerprints of one kind are searched together.
+
+    Each shard has a BK-tree and gives one edge for each fingerprint that it links, not a pair for each link. Dense shards,
+    which more blocks would not divide, are dealt out in parts, so a task's memory has a bound.
+    """
+    sizes = [r["count"] for r in prints.groupBy("kind").count().collect()]  # a row for each kind
+    n = max(sizes, default=0)
+    key = F.explode(block_keys(F.col("fp"), radius, agreement(n, radius))).alias("key")
+    dealt = prints.select("kind", key, "fp", "name").select(F.xxhash64("kind", "key").alias("key"), "fp", "name")
+    if n > LARGE_SHARD:  # else no shard can be large
+        dealt = _in_parts(dealt)
+
+    own = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) * len(sizes)  # as many for each kind, so that sorts stay small
+    return _searched(dealt.repartition(own, "key") if len(sizes) > 1 else dealt.repartition("key"), radius)
+
+
 _MASK = (1 << BITS) - 1
 
 
@@ -308,142 +290,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar(): words in a shingle, similarity, fingerprints by differently mixed hashes, and bits that they may differ in.
-SIMILAR_SIZE, SIMILARITY, PRINTS, SIMILAR_RADIUS = 5, 0.8, 6, 8
-#: Bits that number the bins of a sketch, and texts of a part: what links connect is compared part by part.
-SKETCH_BITS, PART_TEXTS = 8, 4096
-_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & _MASK for k in range(16)], dtype=np.uint64)
-_BINS = np.arange(1 << SKETCH_BITS, dtype=np.uint64) << np.uint64(BITS - SKETCH_BITS)
-
+#: For similar(): words in a shingle, and of PER shingles of two texts' union those that both have at least.
+SIMILAR_SIZE, SIMILAR_SHARE, SIMILAR_PER = 5, 80, 100
+#: Shard keys of a text, each from so many least hashes, and bits that fingerprints in a shard may differ in. A pair at the similarity has
+#: a key in common with a probability of 1 - (1 - 0.8 ** BAND_ROWS) ** BANDS = 0.992, and differs in 10 bits on average.
+BANDS, BAND_ROWS, SIMILAR_RADIUS = 16, 6, 18
+#: Odd multipliers, each of which puts the hashes in another order, and how many shingles are put in order at a time.
+_ORDERS = (np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_BLOCK = 4096
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The least hash of each bin, 32 bits of it and never zero, or zero in empty bins; a hash's first bits tell its bin."""
-    kinds = np.unique(hashes)
-    begin = np.searchsorted(kinds, _BINS)
-    end = np.append(begin[1:], len(kinds))
-    out = np.zeros(len(_BINS), dtype="<u4")
-    full = end > begin
-    out[full] = (kinds[begin[full]] >> np.uint64(BITS - SKETCH_BITS - 32) & np.uint64(0xFFFFFFFF)).astype("<u4") | np.uint32(1)
-    return out
 
-
-def similarities(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Jaccard similarities of a sketch's shingle set and others': equal bins among those that either fills. Two empty sets are equal."""
-    filled = (others != 0) | (one != 0)
-    return ((others == one) & filled).sum(axis=1) / np.maximum(filled.sum(axis=1), 1) + ~filled.any(axis=1)
-
-
-def run_hashes(text: str, size: int) -> np.ndarray:
-    """64-bit hashes of the shingles of a text, mixed from 32-bit ones of its words; quicker than those of shingles()."""
-    words = text.encode().lower().split()
-    c = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
-    size = min(size, len(words))
-    h = np.zeros(len(words) - size + bool(words), dtype=np.uint64)
-    for j in range(size):
-        h += (c[j : len(h) + j] + np.uint64(1)) * _MIX[j]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(32)
-
-
-def mixed_prints(hashes: np.ndarray) -> list[int]:
-    """PRINTS fingerprints of a text, each by differently mixed hashes; all 0 for a text without words."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The BANDS shard keys of a text's shingle hashes: as many for every text, whatever the table's size. All 0 without shingles."""
     if not len(hashes):
-        return [0] * PRINTS
-    x = hashes[:, None] * _MIX[:PRINTS]
-    return _majorities((x ^ x >> np.uint64(31)) * _MIX[1 : PRINTS + 1]).tolist()
-
-
-def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
-    """(node, sketch, fp_0...): node is the text's hash."""
+        return np.zeros(BANDS, dtype=np.int64)
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.min([(h[k : k + _BLOCK, None] * _ORDERS).min(axis=0) for k in range(0, len(h), _BLOCK)], axis=0)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ column.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def _banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, key, text_key, fp, bands) of each row: the size of its shingle set, 128-bit hashes of set and text, the fingerprint, shard keys."""
     text = text_or_empty(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                h = run_hashes(t.as_py(), SIMILAR_SIZE)
-                rows.append((sketch(h).tobytes(), *mixed_prints(h)))
-            sketches, *prints = zip(*rows, strict=True) if rows else [()] * (PRINTS + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sketches), type=pa.binary()), *[pa.array(list(p), type=pa.int64()) for p in prints]], names=["node", "sketch", *[f"fp_{k}" for k in range(PRINTS)]])
-
-    return docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, sketch binary, " + ", ".join(f"fp_{k} long" for k in range(PRINTS)))
-
-
-def verified_groups(prints: np.ndarray, sketches: np.ndarray, radius: int) -> Iterator[list[int]]:
-    """Groups of rows that connect what verified pairs connect: within the radius by any fingerprint (a column of prints
-    each) and similar by their sketches. A row that fails one finder stays to be found by the others."""
-    alive = np.ones(len(prints), dtype=bool)
-    for k in range(len(prints)):
-        if alive[k]:
-            alive[k] = False
-            group = [k]
-            for finder in group:
-                rest = np.flatnonzero(alive)
-                near = rest[(np.bitwise_count(prints[rest] ^ prints[finder]) <= radius).any(axis=1)]
-                found = near[similarities(sketches[finder], sketches[near]) >= SIMILARITY]
-                alive[found] = False
-                group += found.tolist()
-            yield group
-
-
-def _verified(proposed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component) of nodes in verified groups of two or more; proposed has a component of links for each node.
-
-    A component of more than PART_TEXTS texts is dealt out in parts, and every two parts are searched in a task of their
-    own, so no task holds more than two parts, and together they see every pair. Each gives the edges of its groups.
-    """
-    names = [f"fp_{k}" for k in range(PRINTS)]
-    sizes = proposed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PART_TEXTS).cast("int").alias("parts"))
-    dealt = proposed.join(sizes, "component").select("component", "node", F.explode(part_pairs(F.col("parts"), F.col("node"))).alias("pair"))
-    keyed = dealt.select(F.xxhash64("component", "pair").alias("key"), "component", "pair.i", "pair.j", "node")
-    members = keyed.join(nodes, "node").select("key", "component", "i", "j", "node", "sketch", *names)
+            sets = (gram_set(t.as_py(), SIMILAR_SIZE) for t in batch.column("text"))
+            out = [(len(g), hashlib.blake2b(g.tobytes(), digest_size=16).digest(), fingerprint(g), band_keys(g)) for g in sets]
+            n, keys, prints, bands = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, type=pa.int32()), pa.array(keys, type=pa.binary()), batch.column("text_key"), pa.array(prints, type=pa.int64()), pa.array(list(bands), type=pa.list_(pa.int64()))],
+                names=["doc_id", "n", "key", "text_key", "fp", "bands"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_keys(batches):
-            node, same = t["node"].to_numpy(), np.column_stack([t[n].to_numpy() for n in ("key", "component", "i", "j")])
-            prints = np.column_stack([t[n].to_numpy() for n in names]).view("<u8")
-            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype="<u4").reshape(len(node), -1)
-            cuts = [0, *(np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist(), len(node)]
-            a, b = [], []
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                for group in verified_groups(prints[s:e], sketches[s:e], SIMILAR_RADIUS):
-                    ids = node[s:e][group]
-                    a += ids[1:].tolist()
-                    b += [int(ids[0])] * (len(ids) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
-
-    order = ["key", "component", "i", "j"]
-    return components(members.repartition("key").sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
-
-
-def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, component) of the texts, by their hashes, that have a near-duplicate: five-word shingles, similarity of 0.8 or more.
-
-    Links are proposed by fingerprints that differ in at most SIMILAR_RADIUS bits, from PRINTS mixings of the shingles'
-    hashes. What links connect is then searched as a whole, and every pair within the radius whose sketches are similar
-    joins its two texts, whichever edges the forests of links held. Copies of a text are one node.
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n int, key binary, text_key binary, fp long, bands array<long>")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, component) of each row: rows of a component are near-duplicates, by five-word shingles and a similarity of 0.8 or more.
+
+    Rows of equal shingle sets are one class; those without words are one. A class lies in BANDS shards, keyed by its least hashes, and a BK-tree for
+    each shard links fingerprints within SIMILAR_RADIUS bits. What these links connect is then joined exactly, by whole shingle sets in
+    prefix trees, so which links a shard's forest held does not matter, and no pair below the similarity is taken.
     """
-    nodes = stored(_sketched(docs, text_col), "sketches").dropDuplicates(["node"])
-    nodes = stored(nodes, "sketches")
-    rows = nodes.select("node", F.posexplode(F.array(*[f"fp_{k}" for k in range(PRINTS)])).alias("kind", "fp"))
-    classes = stored(rows.groupBy("kind", "fp").agg(F.min("node").alias("name")), "print-classes")
-    within = rows.join(classes, ["kind", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
-    return _verified(components(links(classes, SIMILAR_RADIUS).unionByName(within)), nodes)
+    rows = stored(_banded(docs, id_col, text_col), "near-sets")
+    classes = stored(
+        rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+        .withColumn("cls", F.monotonically_increasing_id()), "near-classes",
+    )
+    dealt = classes.where("n > 0").select(F.explode("bands").alias("key"), "fp", F.col("cls").alias("name"))
+    groups = components(_searched(_in_parts(dealt).repartition("key"), SIMILAR_RADIUS)).select(F.col("node").alias("cls"), "component")
+    joined = components(links_within(stored(groups, "near-candidates"), classes, docs, id_col, text_col, SIMILAR_SIZE, SIMILAR_SHARE, SIMILAR_PER))
+    named = classes.select("key", "cls").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", F.coalesce("component", "cls").alias("component"))
+    return rows.select("doc_id", "text_key", "key").join(named, "key").select("doc_id", "text_key", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of similar() texts: that of the smallest id, null ids last; columns as in docs.
+    """docs with one text of each group of similar() rows: that of the smallest id, null ids last; columns as in docs.
 
-    Rows of equal texts count as one text and stay or go together. Null texts count as empty. Texts may be of any length;
+    Rows of equal texts stay or go together. Null texts count as empty; texts without words are one group. Texts may be of any length;
     an empty table gives an empty one, and other columns, whatever their names, have no effect.
     """
-    groups = stored(similar(docs, text_col), "near-groups")
-    keyed = docs.select(F.xxhash64(text_or_empty(F.col(text_col))).alias("node"), F.col(id_col).alias("id"))
-    first = groups.join(keyed, "node").groupBy("component").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
-    gone = stored(groups.join(first, "component").where("node <> first").select(F.col("node").alias("gone")).distinct(), "near-gone")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_or_empty(F.col(text_col))).alias("node"))
-    return rows.join(gone, F.col("node") == F.col("gone"), "left_anti").select("row.*")
+    found = stored(similar(docs, id_col, text_col), "near-groups")
+    firsts = found.groupBy("component").agg(F.min_by("text_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    gone = stored(found.join(firsts, "component").where("text_key <> first").select(F.col("text_key").alias("gone")).distinct(), "near-gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(text_or_empty(F.col(text_col))).alias("text_key"))
+    return rows.join(small(gone), F.col("text_key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,67 +391,11 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, own_tree, larg
     assert simhash.agreement(10**9, 4) > simhash.agreement(10**5, 4) == 2
 
 
-def test_similar_texts_go_and_others_stay(spark):
-    base = [f"t{k}" for k in range(400)]
-    near = base[:200] + ["new"] + base[201:]
-    far = [f"u{k}" for k in range(400)]
-    rows = [(5, " ".join(base)), (2, " ".join(near)), (7, " ".join(far)), (8, None), (None, " ".join(base))]
-    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8]
-
-
 def test_near_duplicates_of_odd_rows(docs, empty):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and 0 < kept.count() <= docs.count() and simhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_sketches_estimate_similarity():
-    rng = np.random.default_rng(2)
-    for share in (0.0, 0.5, 0.8, 0.95, 1.0):
-        off = []
-        for n in (1, 8, 30, 300, 3000):
-            for _ in range(40):
-                pool = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
-                both = round(2 * n * share / (1 + share))
-                a, b = pool[:n], np.concatenate([pool[n - both : n], pool[n : 2 * n - both]])
-                true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-                off.append(simhash.similarities(simhash.sketch(a), simhash.sketch(b)[None])[0] - true)
-        assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.05
-    none = simhash.sketch(np.array([], dtype="<u8"))
-    assert simhash.similarities(none, np.stack([none, simhash.sketch(a)])).tolist() == [1.0, 0.0]
-
-
-@pytest.mark.parametrize("parts", [1, 4096])
-@pytest.mark.parametrize("apart", [0, 1])
-def test_a_rejected_finder_hides_no_true_pair(spark, monkeypatch, apart, parts):
-    monkeypatch.setattr(simhash, "PART_TEXTS", parts)
-    rng = np.random.default_rng(4)
-    hashes = lambda: np.unique(rng.integers(1, 1 << 63, 90, dtype=np.uint64) * np.uint64(2))
-    a, b = hashes(), hashes()
-    c = np.unique(np.concatenate([b[:-2], hashes()[:2]]))
-    rows = [(n, simhash.sketch(s).tobytes(), *[apart * n] * simhash.PRINTS) for n, s in ((1, a), (2, b), (4, c))]  # all within two bits
-    schema = "node long, sketch binary, " + ", ".join(f"fp_{k} long" for k in range(simhash.PRINTS))
-    monkeypatch.setattr(simhash, "_sketched", lambda docs, text_col: spark.createDataFrame(rows, schema))
-    assert sorted(map(tuple, simhash.similar(None).collect())) == [(2, 2), (4, 2)]
-
-
-def test_fingerprints_recall_pairs_near_the_similarity():
-    rng = np.random.default_rng(1)
-    for least, want in ((0.8, 0.85), (0.85, 0.95), (0.9, 0.99)):
-        hit = 0
-        for _ in range(60):
-            new = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
-            a = simhash.run_hashes(" ".join(new), simhash.SIMILAR_SIZE)
-            b, share = a, 1.0
-            while share >= least + 0.012:  # a changed word takes about 0.02 away
-                new[int(rng.integers(0, 400))] = f"n{rng.integers(0, 10**6)}"
-                last, b = b, simhash.run_hashes(" ".join(new), simhash.SIMILAR_SIZE)
-                share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            b = b if share >= least else last
-            hit += any(((x ^ y) & simhash._MASK).bit_count() <= simhash.SIMILAR_RADIUS for x, y in zip(simhash.mixed_prints(a), simhash.mixed_prints(b), strict=True))
-        assert hit >= want * 60, (least, hit)
-
-
 def plain_repeats(rows):
     seen, out = {}, {}
     for k, text in sorted(rows):
