@@ -18,11 +18,15 @@ from ledgertide.working import discard, small, stored_at
 SIZE = 4
 #: Sets link when PER * intersection >= SHARE * union.
 SHARE, PER = 85, 100
-#: One n-gram in RATE, by its hash, is counted over all documents; these come first in the order of n-grams. More than SHARE leaves
-#: to a prefix, so a prefix seldom needs others.
-RATE = 5
+#: Of sets of more than SMALL n-grams one n-gram in RATE, by its hash, is counted over all documents; these come first in the order of
+#: n-grams. That is more than SHARE leaves to a prefix, so a prefix seldom needs others. Of smaller sets all are counted, in an order
+#: of their own; sets that can link across SMALL are in both.
+RATE, SMALL = 4, 200
+_SMALL_MARK = np.uint64(0x5851F42D4C957F2D)
 #: N-grams in a part: what n-grams connect is joined in trees of two parts at most.
-PART_GRAMS = 4_000_000
+PART_GRAMS = 1_000_000
+#: Numbers of a label that a search reads before it looks at the bounds again.
+STEP = 32
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -126,25 +130,31 @@ class PrefixTree:
         n = len(mine)
         self.mark[mine] = True
         found: list[int] = []
-        nodes, shared = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        share, both, per = self.share, self.both, self.both - self.share
+        nodes, read, shared = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)  # of the label of a node, and up to there
         while len(nodes):
-            size = self.child_end[nodes] - self.child_begin[nodes]
-            at = np.arange(int(size.sum())) + np.repeat(self.child_begin[nodes] - np.cumsum(size) + size, size)
-            nodes, shared = self.children[at], np.repeat(shared, size)
-            keep = self.left[nodes] > 0
-            nodes, shared = nodes[keep], shared[keep]
+            done = read == self.label_size[nodes]
+            ends = nodes[done]
+            hit = (both * shared[done] >= share * (n + self.depth[ends])) & (self.owner[ends] >= 0)
+            found += [o for o in self.owner[ends[hit]].tolist() if self.there[o]]
+            size = self.child_end[ends] - self.child_begin[ends]
+            child = self.children[np.arange(int(size.sum())) + np.repeat(self.child_begin[ends] - np.cumsum(size) + size, size)]
+            upto = np.repeat(shared[done], size)
+            fits = (self.left[child] > 0) & (per * self.longest[child] >= share * n) & (share * self.shortest[child] <= per * n)
+            nodes = np.concatenate([nodes[~done], child[fits]])
+            read = np.concatenate([read[~done], np.zeros(int(fits.sum()), dtype=np.int64)])
+            shared = np.concatenate([shared[~done], upto[fits]])
             if not len(nodes):
                 break
-            size = self.label_size[nodes]
-            ends = np.cumsum(size)
-            label = self.labels[np.arange(int(ends[-1])) + np.repeat(self.label_begin[nodes] - ends + size, size)]
-            shared = shared + np.add.reduceat(self.mark[label], ends - size, dtype=np.int64)
-            rest = n - np.searchsorted(mine, label[ends - 1], side="right")  # of set k beyond the node
-            share, both = self.share, self.both
-            hit = (both * shared >= share * (n + self.depth[nodes])) & (self.owner[nodes] >= 0)
-            found += [o for o in self.owner[nodes[hit]].tolist() if self.there[o]]
-            go = (both * (shared + rest) >= share * (n + self.shortest[nodes])) & (both * (shared + self.longest[nodes] - self.depth[nodes]) >= share * (n + self.longest[nodes]))
-            nodes, shared = nodes[go], shared[go]
+            size = np.minimum(STEP, self.label_size[nodes] - read)
+            end = np.cumsum(size)
+            label = self.labels[np.arange(int(end[-1])) + np.repeat(self.label_begin[nodes] + read - end + size, size)]
+            shared = shared + np.add.reduceat(self.mark[label], end - size, dtype=np.int64)
+            read = read + size
+            depth = self.depth[nodes] - self.label_size[nodes] + read
+            rest = n - np.searchsorted(mine, label[end - 1], side="right")  # of set k beyond what was read
+            go = (both * (shared + rest) >= share * (n + self.shortest[nodes])) & (both * (shared + self.longest[nodes] - depth) >= share * (n + self.longest[nodes]))
+            nodes, read, shared = nodes[go], read[go], shared[go]
         self.mark[mine] = False
         return found
 
@@ -164,30 +174,31 @@ class PrefixTree:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, key, text_key, counted, other) of each row: the size of its set, 128-bit hashes of set and text, its n-grams that
-    are counted over all documents, and the least others, where its prefix needs some."""
+    """(doc_id, n, key, text_key, small, large, other) of each row: the size of its set, 128-bit hashes of set and text, its n-grams that
+    are counted over all documents, as a small set and as a large one, and the least others, where its prefix needs some."""
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, counted, other = [], [], [], []
+            n, keys, small_, large, other = [], [], [], [], []
             for t in batch.column("text"):
                 grams = gram_set(t.as_py())
                 n.append(len(grams))
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                if alone(len(grams)):
-                    grams = grams[:0]
+                links, few = not alone(n[-1]), SHARE * n[-1] <= PER * SMALL
+                small_.append((grams if links and few else grams[:0]).view("<i8") ^ _SMALL_MARK.view("<i8"))
+                grams = grams if links and PER * n[-1] > SHARE * SMALL else grams[:0]
                 is_counted = grams % np.uint64(RATE) == 0
                 some = grams[is_counted]
-                counted.append(some.view("<i8"))
+                large.append(some.view("<i8"))
                 other.append(grams[~is_counted][: max(0, prefix_size(n[-1]) - len(some))].view("<i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, type=pa.int32()), pa.array(keys, type=pa.binary()), batch.column("text_key"), pa.array(counted, type=pa.list_(pa.int64())), pa.array(other, type=pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "text_key", "counted", "other"],
+                [batch.column("doc_id"), pa.array(n, type=pa.int32()), pa.array(keys, type=pa.binary()), batch.column("text_key"), *[pa.array(x, type=pa.list_(pa.int64())) for x in (small_, large, other)]],
+                names=["doc_id", "n", "key", "text_key", "small", "large", "other"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n int, key binary, text_key binary, counted array<long>, other array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n int, key binary, text_key binary, small array<long>, large array<long>, other array<long>")
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
@@ -196,10 +207,11 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     The order is that of their number of sets, then of their hashes; those that are not counted come last. N-grams of a single set
     come first of all and lead nowhere, so a set with enough of them is done with here.
     """
-    grams = classes.select("cls", F.size("counted").alias("all"), "n", F.explode("counted").alias("gram"))
+    kinds = classes.select("cls", "n", F.posexplode(F.array("small", "large")).alias("kind", "counted"))
+    grams = kinds.select("cls", "n", "kind", F.size("counted").alias("all"), F.explode("counted").alias("gram"))
     times = stored(grams.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("times")).where("times > 1"), "gram-times")
     size = F.col("n") - F.ceil(F.col("n") * SHARE / PER).cast("int") + 1
-    shared = grams.join(times, "gram").groupBy("cls", "n", "all").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("shared"))
+    shared = grams.join(times, "gram").groupBy("cls", "n", "kind", "all").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("shared"))
     first = F.slice("shared", F.lit(1), F.greatest(size - (F.col("all") - F.size("shared")), F.lit(0)))
     return shared.select("cls", F.explode(F.transform(first, lambda g: g["gram"])).alias("gram")).unionByName(classes.select("cls", F.explode("other").alias("gram")))
 
@@ -246,7 +258,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = shared_dir(spark, "gram-sets")
     sets = stored_at(_sets(docs, id_col, text_col), path)
     classes = stored(
-        sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("other").alias("other"))
+        sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("small", "large", "other")])
         .withColumn("cls", F.monotonically_increasing_id()), "gram-classes",
     )
     members = stored(sets.select("doc_id", "n", "key"), "gram-members")

@@ -79,10 +79,10 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("part", [N.PART_GRAMS, 150])
-@pytest.mark.parametrize("rate", [N.RATE, 1, 10**9])
-def test_components_of_odd_rows(frame, rows, monkeypatch, part, rate):
-    monkeypatch.setattr(N, "PART_GRAMS", part)
-    monkeypatch.setattr(N, "RATE", rate)
+@pytest.mark.parametrize(("rate", "small"), [(N.RATE, N.SMALL), (N.RATE, 38), (1, 0), (10**9, 0)])
+def test_components_of_odd_rows(frame, rows, monkeypatch, part, rate, small):
+    for name, value in (("PART_GRAMS", part), ("RATE", rate), ("SMALL", small), ("STEP", 7)):
+        monkeypatch.setattr(N, name, value)
     assert found(N.linked_documents(frame)) == plain(rows)
 
 
@@ -95,7 +95,9 @@ def test_no_documents(frame):
     assert N.linked_documents(frame.limit(0)).count() == 0
 
 
-def test_tree_finds_what_pairs_link():
+@pytest.mark.parametrize("step", [1, 5, 32])
+def test_tree_finds_what_pairs_link(monkeypatch, step):
+    monkeypatch.setattr(N, "STEP", step)
     rng = random.Random(2)
     for trial in range(30):
         base = rng.sample(range(500), rng.choice([7, 20, 80]))
