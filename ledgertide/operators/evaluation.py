@@ -50,24 +50,32 @@ def ordinal_error(rows: DataFrame, keys: list[str]) -> DataFrame:
 BRACKET = 10_000
 
 
-def lower_percentile(rows: DataFrame, column: str, share: float, keys: list[str]) -> DataFrame:
-    """The element at floor((n - 1) * share) of each key's values in order; nulls don't count.
+def lower_percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: list[str]) -> DataFrame:
+    """(keys, percentile, value): for each name of shares the element at floor((n - 1) * share) of each key's values in order; nulls don't count.
 
-    A mergeable sketch brackets the rank between two values, so what is put in order are the few distinct values in
-    between, however many rows a key has; those below are counted.
+    One pass brackets the ranks between values of a mergeable sketch; a second one counts what is below each bracket and the
+    distinct values inside, so only these are put in order, however many rows a key has.
     """
     own = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value"))
-    ends = [max(0.0, share - 2 / BRACKET), min(1.0, share + 2 / BRACKET)]
+    ends = [x for s in shares.values() for x in (max(0.0, s - 2 / BRACKET), min(1.0, s + 2 / BRACKET))]
     bracket = own.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("total"), F.percentile_approx("value", ends, BRACKET).alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
-    at, n = F.floor((F.col("total") - 1) * F.lit(share)), F.col("total")
-    low = F.when((n < 4 * BRACKET) | (at < n * (2 / BRACKET)), F.col("least")).otherwise(F.col("q")[0])
-    high = F.when((n < 4 * BRACKET) | (at > n * (1 - 2 / BRACKET)), F.col("most")).otherwise(F.col("q")[1])
-    bounds = bracket.select(*[f"of_{k}" for k in keys], at.alias("at"), low.alias("low"), high.alias("high"))
+    n, found = F.col("total"), []
+    for i, (name, share) in enumerate(shares.items()):
+        at = F.floor((n - 1) * F.lit(share))
+        low = F.when((n < 4 * BRACKET) | (at < n * (2 / BRACKET)), F.col("least")).otherwise(F.col("q")[2 * i])
+        high = F.when((n < 4 * BRACKET) | (at > n * (1 - 2 / BRACKET)), F.col("most")).otherwise(F.col("q")[2 * i + 1])
+        found.append(F.struct(F.lit(name).alias("percentile"), at.alias("at"), low.alias("low"), high.alias("high")))
+    bounds = stored(bracket.select(*[f"of_{k}" for k in keys], F.array(*found).alias("ranks")), "percentile-brackets")
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
-    near = own.join(small(bounds), same).select(*keys, "at", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"), F.col("high")).where("value IS NULL OR value <= high")
-    counted = near.groupBy(*keys, "at", "value").agg(F.count(F.lit(1)).alias("n"))  # those below the bracket together, as null
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("value")))
-    return counted.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & F.col("value").isNotNull()).groupBy(*keys).agg(F.min("value").alias("value"))
+    near = own.join(small(bounds), same).select(*keys, "value", F.explode("ranks").alias("r")).select(*keys, "r.*", F.when(F.col("value") >= F.col("r.low"), F.col("value")).alias("value")).where("value IS NULL OR value <= high")
+    counted = near.groupBy(*keys, "percentile", "at", "value").agg(F.count(F.lit(1)).alias("n"))  # those below the bracket together, as null
+    upto = F.sum("n").over(Window.partitionBy(*keys, "percentile").orderBy(F.asc_nulls_first("value")))
+    return counted.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & F.col("value").isNotNull()).groupBy(*keys, "percentile").agg(F.min("value").alias("value"))
+
+
+def lower_percentile(rows: DataFrame, column: str, share: float, keys: list[str]) -> DataFrame:
+    """(keys, value): lower_percentiles() of one share."""
+    return lower_percentiles(rows, column, {"": share}, keys).drop("percentile")
 
 
 def combined_rmse(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgertide.working import small
+from ledgertide.working import small, stored
 
 #: Distinct dates that the driver puts in order for folds; more are refused.
 MOST_DATES = 1_000_000
@@ -32,7 +32,7 @@ def time_split(rows: DataFrame, train: float = 0.7, val: float = 0.85) -> DataFr
 
     Positions come from counts of dates; only the rows of dates that hold a cut are put in order.
     """
-    dates = rows.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+    dates = stored(rows.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")), "split-dates")
     total = F.sum("n").over(Window.partitionBy())  # a row for each date
     before = F.coalesce(F.sum("n").over(Window.orderBy("event_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut_train = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(train)))
@@ -47,6 +47,14 @@ def time_split(rows: DataFrame, train: float = 0.7, val: float = 0.85) -> DataFr
     return sure.unionByName(cut).select(*rows.columns, "split_tag")
 
 
+def boundary_ties(split: DataFrame) -> DataFrame:
+    """(event_date, train_rows, val_rows, test_rows) of the dates that a cut divides: positions, not dates, are cut, so rows of one date may
+    stand on both sides."""
+    parts = [F.count_if(F.col("split_tag") == p).alias(f"{p}_rows") for p in ("train", "val", "test")]
+    held = sum((F.col(f"{p}_rows") > 0).cast("int") for p in ("train", "val", "test"))
+    return split.groupBy("event_date").agg(*parts).where(held > 1)
+
+
 def _dates(rows: DataFrame) -> list[str]:
     """Distinct dates in order: as many as there are days, not rows."""
     dates = rows.where("event_date <> ''").select("event_date").distinct().limit(MOST_DATES + 1).collect()

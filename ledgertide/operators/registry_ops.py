@@ -72,9 +72,10 @@ def _repeats(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return known.where("NOT is_first").drop("is_first").unionByName(again)
 
 
-def exact_dedup(registry: DataFrame, order: list[str]) -> DataFrame:
-    """The first row in the order of each event date and text hash; merged before the shuffle."""
-    row = F.min_by(F.struct(*registry.columns), _rank(order))
+def exact_dedup(registry: DataFrame, order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The first row in the order of each event date and text hash, or `columns` of it; merged before the shuffle. What is asked for travels in
+    the aggregate, so ask for whole texts only where they are needed."""
+    row = F.min_by(F.struct(*(columns or registry.columns)), _rank(order))
     return registry.groupBy(F.col("event_date").alias("k1"), F.col("text_hash").alias("k2")).agg(row.alias("row")).select("row.*")
 
 

@@ -118,7 +118,7 @@ def label_exceptions(spark, sf_dir):
 
 
 def exact_dedup(spark, sf_dir):
-    return R.exact_dedup(registry(spark, sf_dir), ORDER).select("record_id", "event_date", "text_hash")
+    return R.exact_dedup(registry(spark, sf_dir), ORDER, ["record_id", "event_date", "text_hash"])
 
 
 def exact_dedup_dropped(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.catalog import table
 from ledgertide.operators import features as X
+from ledgertide.operators import leakage as L
 from ledgertide.operators import market as M
 from ledgertide.operators import packaging as P
 from ledgertide.plans import corpus
@@ -124,8 +125,8 @@ def vol_scale(spark, sf_dir):
 
 
 def _package(spark, sf_dir, *more):
-    rows = corpus.registry(spark, sf_dir).join(corpus.raw_registry(spark, sf_dir).select("doc_id", "spread_date"), "doc_id")
-    return P.supervised(rows.drop("event_date").withColumnRenamed("spread_date", "event_date")).select("record_id", "event_date", "mapped_label", *more)
+    rows = corpus.registry(spark, sf_dir).withColumn("event_date", F.expr(corpus._SPREAD))
+    return P.supervised(rows).select("record_id", "event_date", "mapped_label", *more)
 
 
 def supervised_rows(spark, sf_dir):
@@ -158,6 +159,15 @@ def package_counts(spark, sf_dir):
     return K.package_counts(P.time_split(_package(spark, sf_dir, "source")))
 
 
+def cross_split_duplicates(spark, sf_dir):
+    """Whole texts of the package's validation and test rows against those of earlier splits."""
+    return L.cross_split(P.time_split(_package(spark, sf_dir, "text")))
+
+
+def boundary_ties(spark, sf_dir):
+    return P.boundary_ties(P.time_split(_package(spark, sf_dir)))
+
+
 def preparation_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE CAST(date_add(DATE'2023-12-25', CAST(doc_id % 50 AS INT)) AS STRING) END").alias("date"))
     series = _series(spark, sf_dir).select("symbol", "date", "close")
@@ -189,7 +199,7 @@ def _dates_as_text(query):
 QUERIES = {f.__name__: _dates_as_text(f) for f in (
     simple_return, rolling_vol, asof_snapshot, market_history, realized_forward, forward_dates, doc_symbol_align, last_wins_dedup, top_k_history, feature_vectors, feature_clamp, training_windows,
     window_inventory, last5_padded, train_val_split, confidence_bands, vol_scale, supervised_rows, time_split, walk_forward_folds, fallback_folds, fold_manifest, fold_class_distribution, fold_test_rows,
-    package_counts, preparation_summary, price_window,
+    package_counts, cross_split_duplicates, boundary_ties, preparation_summary, price_window,
 )}
 
 _VOL = "CASE WHEN count(ret) OVER f = 5 THEN stddev_samp(ret) OVER f ELSE 0.0 END AS volatility_5d FROM r WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
@@ -199,6 +209,8 @@ _REQ = "q AS (SELECT doc_id, ['click', 'error', 'purchase', 'signup', 'view'][do
 _ASOF = f"{_EV}, {_REQ}, a AS (SELECT doc_id, q.symbol, requested_date, date AS date_used, close, round(volatility_5d, 8) AS volatility_5d FROM q ASOF JOIN s ON q.symbol = s.symbol AND s.date <= q.requested_date WHERE date_diff('day', date, requested_date) <= 7)"
 _VEC = f"{_OR}, v AS (SELECT symbol, date, CASE WHEN symbol LIKE '1%' THEN 0.6::DOUBLE ELSE 0.25::DOUBLE END AS sentiment_score, close AS market_close, volatility_5d AS market_volatility, CASE WHEN abs(lag(close) OVER w) > 1e-12 THEN (close - lag(close) OVER w) / lag(close) OVER w ELSE 0.0 END AS close_change_pct, coalesce(volatility_5d - lag(volatility_5d) OVER w, 0.0) AS volatility_change FROM s WINDOW w AS (PARTITION BY symbol ORDER BY date))"
 _PKG = f"{corpus._REG}, p AS (SELECT record_id, {corpus._DUCK_SPREAD} AS event_date, mapped_label FROM reg WHERE mapped_label IS NOT NULL)"
+_SPLIT = f"""{_PKG}, k AS (SELECT *, row_number() OVER (ORDER BY event_date, record_id) - 1 AS pos, count(*) OVER () AS n FROM p), c AS (SELECT *, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS ct FROM k),
+  t AS (SELECT record_id, event_date, CASE WHEN pos < ct THEN 1 WHEN pos < least(greatest(ct + 1, CAST(floor(n * 0.85::DOUBLE) AS BIGINT)), n) THEN 2 ELSE 3 END AS place FROM c)"""
 _FOLDS = f"""{_PKG}, d AS (SELECT event_date, row_number() OVER (ORDER BY event_date) - 1 AS k FROM (SELECT DISTINCT event_date FROM p)),
   n AS (SELECT count(*) AS n, greatest(3, CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT)) AS m FROM d), g AS (SELECT n, m, greatest(1, (n - m) // 5) AS w FROM n),
   b AS (SELECT i, m + (i - 1) * w - 1 AS te, w, n FROM g, range(1, 5) t(i) WHERE n >= 8 AND m + (i + 1) * w - 1 < n),
@@ -230,6 +242,12 @@ ORACLES = {
     "package_counts": f"""WITH {_PKG}, k AS (SELECT *, row_number() OVER (ORDER BY event_date, record_id) - 1 AS pos, count(*) OVER () AS n FROM p), c AS (SELECT *, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS ct FROM k),
       t AS (SELECT record_id, mapped_label, CASE WHEN pos < ct THEN 'train' WHEN pos < least(greatest(ct + 1, CAST(floor(n * 0.85::DOUBLE) AS BIGINT)), n) THEN 'val' ELSE 'test' END AS split_tag FROM c), s AS (SELECT t.*, reg.source FROM t JOIN reg USING (record_id))
       SELECT 'split' AS kind, split_tag AS name, count(*) AS records FROM s GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'label', mapped_label, count(*) FROM s GROUP BY 2""",
+    "cross_split_duplicates": f"""WITH {_SPLIT}, w AS MATERIALIZED (SELECT record_id, place, list_filter(string_split({corpus._NORM.format('text')}, ' '), lambda x: x <> '') AS w FROM t JOIN reg USING (record_id) JOIN documents USING (doc_id)),
+      g AS MATERIALIZED (SELECT DISTINCT record_id, place, array_to_string(w[i:i + 4], ' ') AS gram FROM w, range(1, 100000) r(i) WHERE i <= greatest(1, len(w) - 4) AND len(w) > 0), n AS (SELECT record_id, count(*) AS n FROM g GROUP BY 1),
+      b AS (SELECT l.record_id, l.place, e.record_id AS earlier, count(*) AS shared FROM g l JOIN g e ON l.gram = e.gram AND e.place < l.place GROUP BY 1, 2, 3),
+      s AS (SELECT b.*, shared / (x.n + y.n - shared) AS similarity FROM b JOIN n x USING (record_id) JOIN n y ON y.record_id = b.earlier WHERE 100 * shared >= 80 * (x.n + y.n - shared))
+      SELECT record_id, ['train', 'val', 'test'][place] AS split_tag, min(earlier) AS leaked_from, round(arg_min(similarity, earlier), 6) AS similarity FROM s GROUP BY 1, 2""",
+    "boundary_ties": f"WITH {_SPLIT} SELECT event_date, count(*) FILTER (WHERE place = 1) AS train_rows, count(*) FILTER (WHERE place = 2) AS val_rows, count(*) FILTER (WHERE place = 3) AS test_rows FROM t GROUP BY event_date HAVING count(DISTINCT place) > 1",
     "preparation_summary": f"""WITH {_EV}, d AS (SELECT doc_id, doc_id % 17 = 0 OR trim(coalesce(text, '')) = '' AS skipped, DATE '2023-12-25' + CAST(doc_id % 50 AS INT) AS requested_date FROM documents),
       q AS (SELECT doc_id, symbol, requested_date FROM d, (SELECT DISTINCT symbol FROM s) WHERE NOT skipped), a AS (SELECT q.symbol, date FROM q ASOF JOIN s ON q.symbol = s.symbol AND s.date <= q.requested_date WHERE date_diff('day', date, requested_date) <= 7)
       SELECT count(*) AS total_documents, count(*) FILTER (WHERE NOT skipped) AS valid_documents, (SELECT count(DISTINCT (symbol, date)) FROM a) AS prepared_records, count(*) FILTER (WHERE skipped) AS skipped_documents, count(*) FILTER (WHERE NOT skipped) * (SELECT count(DISTINCT symbol) FROM s) - (SELECT count(*) FROM a) AS skipped_symbol_pairs FROM d""",
