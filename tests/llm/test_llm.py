@@ -615,14 +615,6 @@ def test_mixing_against_plain_prefixes(spark, docs, empty):
     assert mixing.mix(empty, mixing.query_levels(), {}, 0.5, 1).count() == 0
 
 
-def test_components(spark):
-    from ledgertide.llm.components import components
-
-    edges = [(k, k + 1) for k in range(0, 50)] + [(100 + k, 100) for k in range(1, 30)] + [(7, 7)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 0 for k in range(51)} | {k: 100 for k in range(100, 130)}
-
-
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
