@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.plans import analysis, corpus, markets, models, streams
+from ledgertide.plans import analysis, corpus, markets, models, rollups, streams
 
-MODULES = [corpus, markets, analysis, models, streams]
+MODULES = [corpus, markets, analysis, models, streams, rollups]
 
 
 def queries() -> dict[str, Query]:
