@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgertide.catalog import Query
-from ledgertide.plans import analysis, corpus, markets, models, rollups, streams
+from ledgertide.plans import analysis, corpus, markets, models, rollups, statements, streams
 
-MODULES = [corpus, markets, analysis, models, streams, rollups]
+MODULES = [corpus, markets, analysis, models, streams, rollups, statements]
 
 
 def queries() -> dict[str, Query]:
