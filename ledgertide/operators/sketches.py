@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgertide.sources.readers import exists
 
 #: Sizes of the sketches: 2 ** LG_HLL registers of distinct counts, KLL_K of quantiles, TOP_ITEMS counters of frequent items.
-LG_HLL, KLL_K, TOP_ITEMS = 12, 400, 4096
+LG_HLL, KLL_K, TOP_ITEMS = 12, 800, 4096
 #: Relative standard error of a distinct count, and the error of a quantile's rank that is exceeded in one of a hundred sketches.
 HLL_ERROR, KLL_ERROR = 1.04 / 2 ** (LG_HLL / 2), 2.296 / KLL_K**0.9021
 

@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgertide.catalog import table
+from ledgertide.functions import text as T
 from ledgertide.operators import alignment as A
 from ledgertide.operators import evaluation as E
 from ledgertide.operators import market as M
+from ledgertide.operators import packaging as P
+from ledgertide.operators import sentiment as S
+from ledgertide.plans import corpus, markets
 from ledgertide.sources import packages as K
+from ledgertide.working import stored
 
-_TRUTH = "element_at(array('hawkish', 'dovish', 'neutral'), CAST(doc_id % 3 AS INT) + 1)"
-_PRED = "CASE WHEN doc_id % 10 < 6 THEN element_at(array('hawkish', 'dovish', 'neutral'), CAST(doc_id % 3 AS INT) + 1) WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'hawkish' END"
+
+def _word_model(spark, sf_dir):
+    """(model, priors) of the package's training rows, and its rows with doc_id, split, source and label."""
+    split = stored(P.time_split(markets._package(spark, sf_dir, "doc_id", "source", "text")), "word-model-rows")
+    return *S.fit_words(split.where("split_tag = 'train'").select(F.split("text", " ").alias("tokens"), F.col("mapped_label").alias("label"))), split
+
+
+def _chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return E.token_chunks(docs.select("doc_id", F.split(T.normalize(F.col("text")), " ").alias("tokens")))
 
 
 def _predictions(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("source", F.expr(_TRUTH).alias("label"), F.expr(_PRED).alias("pred"))
+    """Labels of the validation and test rows beside those that the model of the training rows gives their texts."""
+    model, priors, split = _word_model(spark, sf_dir)
+    own = split.where("split_tag <> 'train'")
+    chunks = E.token_chunks(own.select("doc_id", F.split("text", " ").alias("tokens")))
+    pred = E.top_label(_rounded(E.chunk_mean(S.score_words(chunks, model, priors))), S.label_order())
+    return own.join(pred.select("doc_id", F.col("label").alias("pred")), "doc_id").select("source", F.col("mapped_label").alias("label"), "pred")
 
 
 def _rounded(df, places=8):
@@ -41,15 +59,13 @@ def combined_rmse(spark, sf_dir):
 
 
 def sentiment_chunk_mean(spark, sf_dir):
-    """Scores of up to three chunks of each document; some chunks lack a label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.expr("sequence(0, CAST(doc_id % 3 AS INT))")).alias("chunk"))
-    scores = docs.select("doc_id", "chunk", F.explode(F.expr("array('hawkish', 'dovish', 'neutral')")).alias("label"))
-    scores = scores.where("NOT (label = 'dovish' AND (doc_id + chunk) % 2 = 0)").withColumn("score", F.expr("((doc_id * 7 + chunk * 3 + length(label)) % 16) / 16D"))
-    return E.chunk_mean(scores)
+    """Mean scores over each document's chunks by the model of the training rows."""
+    model, priors, _ = _word_model(spark, sf_dir)
+    return _rounded(E.chunk_mean(S.score_words(_chunks(spark, sf_dir), model, priors)), 6)
 
 
 def sentiment_top_label(spark, sf_dir):
-    return E.top_label(sentiment_chunk_mean(spark, sf_dir), F.expr("array_position(array('hawkish', 'dovish', 'neutral'), label)"))
+    return E.top_label(sentiment_chunk_mean(spark, sf_dir), S.label_order())
 
 
 def token_chunks(spark, sf_dir):
@@ -165,12 +181,21 @@ QUERIES = {f.__name__: f for f in (
     series_align, forecast_pairs, forecast_error, error_badges, evaluation_rows, forecast_delta, spot_delta, spot_band_check, realized_band_check,
 )}
 
-_P = "p AS (SELECT source, ['hawkish', 'dovish', 'neutral'][doc_id % 3 + 1] AS label, CASE WHEN doc_id % 10 < 6 THEN ['hawkish', 'dovish', 'neutral'][doc_id % 3 + 1] WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'hawkish' END AS pred FROM documents)"
+_MODEL = f"""{markets._SPLIT}, z AS MATERIALIZED (SELECT doc_id, reg.source, mapped_label AS label, place, {corpus._NORM.format('text')} AS text FROM t JOIN reg USING (record_id) JOIN documents USING (doc_id)),
+  l AS (SELECT unnest(['hawkish', 'dovish', 'neutral']) AS label, unnest([1, 2, 3]) AS nth), u AS (SELECT label, lower(unnest(string_split(text, ' '))) AS word FROM z WHERE place = 1), n AS MATERIALIZED (SELECT word, label, count(*) AS n FROM u WHERE word <> '' GROUP BY 1, 2),
+  top AS MATERIALIZED (SELECT word FROM n GROUP BY word ORDER BY sum(n) DESC, word LIMIT 20000), kn AS (SELECT n.* FROM n JOIN top USING (word)), tot AS (SELECT l.label, coalesce(sum(n), 0) AS n FROM l LEFT JOIN kn USING (label) GROUP BY 1),
+  prior AS MATERIALIZED (SELECT l.label, nth, ln((count(z.doc_id) + 1) / (SELECT count(*) + 3 FROM z WHERE place = 1)) AS lp FROM l LEFT JOIN z ON z.label = l.label AND place = 1 GROUP BY 1, 2),
+  model AS MATERIALIZED (SELECT top.word, tot.label, ln((coalesce(kn.n, 0) + 1) / (tot.n + (SELECT count(*) FROM top))) AS lp FROM top CROSS JOIN tot LEFT JOIN kn ON kn.word = top.word AND kn.label = tot.label)"""
+_CHUNKED = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM y), ch AS MATERIALIZED (SELECT doc_id, k AS chunk, w[k * 400 + 1:k * 400 + 480] AS part FROM w, range(0, 100000) r(k) WHERE k = 0 OR k * 400 + 80 < len(w)),
+  sw AS (SELECT doc_id, chunk, label, sum(lp) AS lp FROM (SELECT doc_id, chunk, lower(unnest(part)) AS word FROM ch) JOIN model USING (word) GROUP BY 1, 2, 3),
+  s AS (SELECT ch.doc_id, ch.chunk, prior.label, nth, coalesce(sw.lp, 0) + prior.lp AS lp FROM ch CROSS JOIN prior LEFT JOIN sw ON sw.doc_id = ch.doc_id AND sw.chunk = ch.chunk AND sw.label = prior.label),
+  e AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY doc_id, chunk)) AS e FROM s), q AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id, chunk) AS score FROM e)"""
+_CHUNKS = f"{_MODEL}, y AS (SELECT doc_id, {corpus._NORM.format('text')} AS text FROM documents WHERE text IS NOT NULL), {_CHUNKED}, m AS (SELECT doc_id, label, nth, round(avg(score), 6) AS score FROM q GROUP BY ALL)"
+_P = f"{_MODEL}, y AS (SELECT doc_id, text FROM z WHERE place > 1), {_CHUNKED}, m AS (SELECT doc_id, label, nth, round(avg(score), 8) AS score FROM q GROUP BY ALL), g AS (SELECT doc_id, label AS pred FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, nth) = 1), judged AS (SELECT z.source, z.label, g.pred FROM z JOIN g USING (doc_id))"
 _EVENTS = """c AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2), x AS (SELECT symbol, CAST(date AS VARCHAR) AS day, close, day(date) AS d FROM c),
   h AS (SELECT symbol, d, day, close AS value FROM x WHERE d <= 20), f AS (SELECT symbol, d, day, close * 1.02::DOUBLE AS value, close * 0.97::DOUBLE AS lower, close * 1.01::DOUBLE AS upper FROM x WHERE d BETWEEN 18 AND 27), r AS (SELECT symbol, d, day, close AS value FROM x WHERE d > 22)"""
 _PAIRS = f"{_EVENTS}, q AS (SELECT r.symbol, r.day, f.value AS forecast, r.value AS realized FROM r JOIN f ON r.symbol = f.symbol AND r.day = f.day)"
 _ENDS = f"{_EVENTS}, e AS (SELECT a.symbol, current, predicted, lower, upper FROM (SELECT symbol, arg_max(value, d) AS current FROM h GROUP BY 1) a JOIN (SELECT symbol, arg_max(value, d) AS predicted, arg_max(lower, d) AS lower, arg_max(upper, d) AS upper FROM f GROUP BY 1) b USING (symbol))"
-_CHUNKS = "s AS (SELECT doc_id, chunk, label, ((doc_id * 7 + chunk * 3 + length(label)) % 16) / 16::DOUBLE AS score FROM documents, range(0, 3) t(chunk), (VALUES ('hawkish'), ('dovish'), ('neutral')) l(label) WHERE chunk <= doc_id % 3 AND NOT (label = 'dovish' AND (doc_id + chunk) % 2 = 0)), m AS (SELECT doc_id, label, sum(score) / (SELECT count(DISTINCT chunk) FROM s b WHERE b.doc_id = s.doc_id) AS score FROM s GROUP BY doc_id, label)"
 
 
 def _check(value: str, caution: str) -> str:
@@ -179,15 +204,15 @@ def _check(value: str, caution: str) -> str:
 
 _JUDGED = "within, round(distance, 6) AS distance, round(distance / reference * 100, 6) AS distance_pct, CASE WHEN within THEN 'good' WHEN distance / reference <= caution THEN 'caution' ELSE 'danger' END AS tone"
 ORACLES = {
-    "classification_metrics": f"""WITH {_P}, k AS (SELECT source, c, count(*) FILTER (WHERE label = c AND pred = c) AS hit, count(*) FILTER (WHERE label = c) AS sup, count(*) FILTER (WHERE pred = c) AS got FROM p, (VALUES ('hawkish'), ('dovish'), ('neutral')) t(c) GROUP BY 1, 2),
-      m AS (SELECT *, CASE WHEN got > 0 THEN hit / got ELSE 0 END AS p, CASE WHEN sup > 0 THEN hit / sup ELSE 0 END AS r FROM k), n AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m),
-      o AS (SELECT source, sum(p) / 3 AS mp, sum(r) / 3 AS mr, sum(f) / 3 AS mf, CASE WHEN sum(sup) > 0 THEN sum(f * sup) / sum(sup) ELSE 0 END AS wf, min(f) AS xf FROM n GROUP BY 1), a AS (SELECT source, count(*) AS records, avg(CAST(label = pred AS INT)) AS acc FROM p GROUP BY 1)
+    "classification_metrics": f"""WITH {_P}, kc AS (SELECT source, c, count(*) FILTER (WHERE label = c AND pred = c) AS hit, count(*) FILTER (WHERE label = c) AS sup, count(*) FILTER (WHERE pred = c) AS got FROM judged, (VALUES ('hawkish'), ('dovish'), ('neutral')) t(c) GROUP BY 1, 2),
+      mf AS (SELECT *, CASE WHEN got > 0 THEN hit / got ELSE 0 END AS p, CASE WHEN sup > 0 THEN hit / sup ELSE 0 END AS r FROM kc), nf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM mf),
+      o AS (SELECT source, sum(p) / 3 AS mp, sum(r) / 3 AS mr, sum(f) / 3 AS mf, CASE WHEN sum(sup) > 0 THEN sum(f * sup) / sum(sup) ELSE 0 END AS wf, min(f) AS xf FROM nf GROUP BY 1), a AS (SELECT source, count(*) AS records, avg(CAST(label = pred AS INT)) AS acc FROM judged GROUP BY 1)
       SELECT source, records, round(acc, 8) AS accuracy, round(mp, 8) AS macro_precision, round(mr, 8) AS macro_recall, round(mf, 8) AS macro_f1, round(wf, 8) AS weighted_f1, round(xf, 8) AS worst_f1 FROM o JOIN a USING (source)""",
-    "ordinal_error": f"WITH {_P}, o AS (SELECT source, CASE label WHEN 'dovish' THEN -1 WHEN 'neutral' THEN 0 ELSE 1 END AS t, CASE pred WHEN 'dovish' THEN -1 WHEN 'neutral' THEN 0 ELSE 1 END AS q FROM p) SELECT source, round(sqrt(avg((q - t) * (q - t))), 8) AS rmse, round(avg(abs(q - t) / greatest(abs(t), 1)) * 100, 8) AS mape FROM o GROUP BY 1",
+    "ordinal_error": f"WITH {_P}, o AS (SELECT source, CASE label WHEN 'dovish' THEN -1 WHEN 'neutral' THEN 0 ELSE 1 END AS t, CASE pred WHEN 'dovish' THEN -1 WHEN 'neutral' THEN 0 ELSE 1 END AS q FROM judged) SELECT source, round(sqrt(avg((q - t) * (q - t))), 8) AS rmse, round(avg(abs(q - t) / greatest(abs(t), 1)) * 100, 8) AS mape FROM o GROUP BY 1",
     "latency_percentile": "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, percentile, value FROM k, (VALUES ('p50', 0.5::DOUBLE), ('p95', 0.95::DOUBLE)) t(percentile, s) WHERE k = CAST(floor((n - 1) * s) AS BIGINT)",
     "combined_rmse": "WITH d AS (SELECT l_returnflag, pow(l_extendedprice / 1000 - l_extendedprice * (1 - l_discount) / 1000, 2) AS c, pow(l_discount - l_tax, 2) AS v FROM lineitem) SELECT l_returnflag, round(sqrt(sum(c) / count(*)), 5) AS close_rmse, round(sqrt(sum(v) / count(*)), 5) AS vol_rmse, round(sqrt((sum(c) + sum(v)) / (2 * count(*))), 5) AS combined_rmse FROM d GROUP BY 1",
-    "sentiment_chunk_mean": f"WITH {_CHUNKS} SELECT * FROM m",
-    "sentiment_top_label": f"WITH {_CHUNKS} SELECT doc_id, label, score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CASE label WHEN 'hawkish' THEN 1 WHEN 'dovish' THEN 2 ELSE 3 END) = 1",
+    "sentiment_chunk_mean": f"WITH {_CHUNKS} SELECT doc_id, label, score FROM m",
+    "sentiment_top_label": f"WITH {_CHUNKS} SELECT doc_id, label, score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, nth) = 1",
     "token_chunks": "WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w, k, 400 * k AS a FROM t, range(0, 100000) r(k) WHERE 400 * k <= len(w) AND (k = 0 OR 400 * k + 80 < len(w))) SELECT doc_id, CAST(k AS INT) AS chunk, CAST(len(w[a + 1:a + 480]) AS INT) AS n_tokens, md5(array_to_string(w[a + 1:a + 480], ' ')) AS digest FROM s",
     "run_specs": "SELECT model, CAST(seed AS INT) AS seed, 'run_' || model || '_v1.0.0_s' || seed AS run_id FROM (VALUES ('finbert'), ('baseline'), ('longform')) m(model), (VALUES (11), (29), (47), (71), (97)) s(seed)",
     "sweep_grid": "SELECT * FROM (VALUES (32), (64)) a(hidden), (VALUES (1), (2)) b(layers), (VALUES (0.1::DOUBLE)) c(dropout), (VALUES (0.001::DOUBLE), (0.0005::DOUBLE)) d(learning_rate), (VALUES (16)) e(batch)",

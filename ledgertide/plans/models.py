@@ -9,7 +9,7 @@ from ledgertide.operators import evaluation as E
 from ledgertide.operators import features as X
 from ledgertide.operators import forecast as O
 from ledgertide.operators import sentiment as S
-from ledgertide.plans import markets
+from ledgertide.plans import analysis, markets
 from ledgertide.sources import readers, scans
 from ledgertide.working import stored
 
@@ -23,9 +23,10 @@ def page_links(spark, sf_dir):
 
 
 def sentiment_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
-    means = E.chunk_mean(S.score_chunks(E.token_chunks(docs)))
-    return E.top_label(means, S.label_order())
+    """The best label of each document by a classifier that workers load: the model of the training rows."""
+    model, priors, _ = analysis._word_model(spark, sf_dir)
+    means = E.chunk_mean(S.score_chunks(analysis._chunks(spark, sf_dir), S.word_scorer(model, priors)))
+    return E.top_label(means.withColumn("score", F.round("score", 6)), S.label_order())
 
 
 def _scaled(spark, sf_dir):
@@ -67,6 +68,7 @@ def source_inventory(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (page_articles, page_links, sentiment_scores, forecast, forecast_adapted, forecast_assembled, forecast_bands, sweep_trials, source_inventory)}
 _LINKS = """l AS (SELECT url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM pages)"""
 ORACLES = {
+    "sentiment_scores": analysis.ORACLES["sentiment_top_label"],
     "page_links": f"""WITH {_LINKS} SELECT url, regexp_extract(url, '^https?://[^/]+') || replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS href, trim(replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&')) AS text FROM l""",
     "source_inventory": """SELECT 'f' || doc_id AS path, 'unknown' AS format, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE doc_id % 9 + 1 END AS vectors, CASE WHEN doc_id % 13 = 0 THEN 'no groups of market records' WHEN doc_id % 11 = 0 THEN 'a record lacks its close or volatility' WHEN doc_id % 9 + 1 > 5 THEN 'usable sequences' ELSE 'no sequence of 6 rows' END AS message, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE 1 END AS record_groups, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 ELSE doc_id % 9 + 1 END AS records,
       CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 0 WHEN doc_id % 9 + 1 > 5 THEN 1 ELSE 0 END AS usable_sequences, CASE WHEN doc_id % 13 = 0 THEN 'ignored' WHEN doc_id % 11 = 0 THEN 'error' WHEN doc_id % 9 + 1 > 5 THEN 'usable' ELSE 'insufficient' END AS status FROM documents""",

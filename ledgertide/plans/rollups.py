@@ -33,7 +33,7 @@ def sketch_error_bounds(spark, sf_dir):
     upto = [F.count_if(F.col("value") <= F.col("quantiles")[k]).alias(f"upto_{n}") for k, n in enumerate(QUANTILES)]
     exact = rows.groupBy("event_type", "estimate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.count("value").alias("m"), *below, *upto)
     near = F.abs(F.col("estimate") - F.col("users")) <= 1 + 4 * S.HLL_ERROR * F.col("users")
-    inside = [((F.col(f"below_{n}") <= (q + S.KLL_ERROR) * F.col("m")) & (F.col(f"upto_{n}") >= (q - S.KLL_ERROR) * F.col("m"))).alias(f"{n}_within") for n, q in QUANTILES.items()]
+    inside = [((F.col(f"below_{n}") <= (q + 2 * S.KLL_ERROR) * F.col("m")) & (F.col(f"upto_{n}") >= (q - 2 * S.KLL_ERROR) * F.col("m"))).alias(f"{n}_within") for n, q in QUANTILES.items()]
     return exact.select("event_type", "n", "users", near.alias("users_within"), *inside)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -282,19 +283,35 @@ def test_last_rows_are_padded(spark):
 
 
 def test_classifier_outputs(spark):
-    assert S.normalized_scores([[{"label": "a", "score": "0.5"}, 3, {"score": 1}]]) == [{"label": "a", "score": 0.5}, {"label": "", "score": 1.0}]
-    assert S.normalized_scores({"label": "a"}) == [] and S.normalized_scores([]) == []
+    raw = ['[[{"label": "a", "score": "0.5"}, 3, {"score": 1}]]', '[{"label": "b", "score": 2}, null]', '{"label": "a"}', "[]", "[[]]", None, '[{"label": 1, "score": "x"}]']
+    got = [[tuple(x) for x in r.s] for r in spark.createDataFrame([(k, x) for k, x in enumerate(raw)], "k int, raw string").orderBy("k").select(S.label_scores(F.col("raw")).alias("s")).collect()]
+    assert got == [[("a", 0.5), ("", 1.0)], [("b", 2.0)], [], [], [], [], [("1", 0.0)]]
 
     def missing():
         raise OSError("no checkpoint")
 
-    load = S.first_that_loads(missing, lambda: S.classifier_scorer(lambda text: [[{"label": "hawkish", "score": float(len(text))}]]))
+    load = S.first_that_loads(missing, lambda: lambda texts: [[[{"label": "hawkish", "score": float(len(t))}]] for t in texts])
     chunks = spark.createDataFrame([(1, 0, ["ab", "c"])], "doc_id long, chunk int, tokens array<string>")
     assert [tuple(r) for r in S.score_chunks(chunks, load).collect()] == [(1, 0, "hawkish", 4.0)]
     with pytest.raises(OSError):
         S.first_that_loads(missing)()
 
 
+def test_word_frequencies_tell_labels(spark):
+    rows = [(["Raise", "rates", ""], "hawkish"), (["raise", "x"], "hawkish"), (["cut", "rates"], "dovish"), (["hold"], "neutral"), (["noise"], "other"), (["noise"], None)]
+    model, priors = S.fit_words(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    known = {r["word"]: r for r in model.collect()}
+    assert set(known) == {"raise", "rates", "x", "cut", "hold"} and known["raise"]["hawkish"] == pytest.approx(math.log(3 / 9)) and priors["hawkish"] == pytest.approx(math.log(3 / 7))
+    chunks = spark.createDataFrame([(1, 0, ["RAISE", "raise"]), (2, 0, ["cut"]), (3, 0, ["unknown"]), (4, 0, []), (5, 0, None)], "doc_id long, chunk int, tokens array<string>")
+    native = {(r.doc_id, r.label): r.score for r in S.score_words(chunks, model, priors).collect()}
+    loaded = {(r.doc_id, r.label): r.score for r in S.score_chunks(chunks.where("doc_id < 5"), S.word_scorer(model, priors)).collect()}
+    assert all(native[k] == pytest.approx(v) for k, v in loaded.items()) and len(native) == 15
+    best = {d: max(S.LABELS, key=lambda x: native[d, x]) for d in range(1, 6)}  # noqa: B023
+    assert best == {1: "hawkish", 2: "dovish", 3: "hawkish", 4: "hawkish", 5: "hawkish"}
+    none, even = S.fit_words(spark.createDataFrame([], "tokens array<string>, label string"))
+    assert none.count() == 0 and {x: r for x, r in even.items()} == dict.fromkeys(S.LABELS, math.log(1 / 3))
+
+
 def test_pages(spark):
     html = "<title>T</title><h3>March 5, 2024</h3><main><p>One &amp; <b>two</b></p></main><script>x</script><a href='/b'>B</a>"
     page = readers.parse_pages(spark.createDataFrame([("http://x/a", html), (None, None)], "url string, html string"))
