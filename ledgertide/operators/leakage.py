@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,33 @@ SIZE, SHARE, PER = 5, 80, 100
 PART_TEXTS = 2_000
 
 
-def shingles(text: Column, size: int = SIZE) -> Column:
-    """Distinct hashes of the runs of `size` words of a text, sorted; of the whole sequence where there are fewer words, none without words."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda k: F.xxhash64(F.slice(w, k, size)))
-    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_sort(F.array_distinct(runs(w)))).otherwise(F.array().cast("array<long>"))), F.lit(0))
+_FACTORS = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+
+
+def shingles(text: str, size: int = SIZE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `size` words of a text; of the whole sequence where there are fewer words, none without words."""
+    words = [w for w in text.split(" ") if w]
+    if not words:
+        return np.empty(0, dtype=np.int64)
+    one = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    run = min(size, len(words))
+    out = np.full(len(words) - run + 1, run, dtype=np.uint64)
+    for k in range(run):
+        out = (out ^ one[k : k + len(out)]) * _FACTORS[k % len(_FACTORS)]
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def _shingled(rows: DataFrame) -> DataFrame:
+    """(record_id, split_tag, place, grams) of rows with a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = pa.array([shingles(t.as_py()) for t in batch.column("text")], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("split_tag"), batch.column("place"), grams], names=["record_id", "split_tag", "place", "grams"])
+
+    known = rows.select("record_id", "split_tag", _place(F.col("split_tag")).cast("int").alias("place"), "text").where("place > 0 AND text IS NOT NULL")
+    return known.mapInArrow(run, f"record_id {rows.schema['record_id'].dataType.simpleString()}, split_tag string, place int, grams array<long>").where("size(grams) > 0")
 
 
 def _place(tag: Column) -> Column:
@@ -115,12 +138,11 @@ def cross_split(rows: DataFrame) -> DataFrame:
     earlier split: by distinct runs of five words, 0.8 or more. leaked_from is the smallest record_id of all such rows.
 
     Rows of equal shingle sets are one class. Sets are compared only within what rare shingles in their prefixes connect, and there only
-    later with earlier ones, so the work does not grow with the square of a split. Large groups are dealt out in parts. Texts
-    without words are similar to nothing; null texts count as such. Rows of a null or unknown split take no part. Repeated rows
+    later with earlier ones, so the work does not grow with the square of a split. Large groups are dealt out in parts. A shingle is known by 64
+    bits of its hash. Texts without words are similar to nothing; null texts count as such. Rows of a null or unknown split take no part. Repeated rows
     repeat their results; an empty table gives an empty one.
     """
-    known = rows.select("record_id", "split_tag", _place(F.col("split_tag")).alias("place"), shingles(F.coalesce("text", F.lit(""))).alias("grams")).where("place > 0 AND size(grams) > 0")
-    known = stored(known, "split-shingles")
+    known = stored(_shingled(rows), "split-shingles")
     firsts = [F.min(F.when(F.col("place") == k, F.col("record_id"))).alias(f"first_{k}") for k in (1, 2, 3)]
     classes = stored(known.groupBy("grams").agg(*firsts).withColumns({"cls": F.monotonically_increasing_id(), "n": F.size("grams")}), "split-classes")
     prefixes = stored(_prefixes(classes), "split-prefixes")
