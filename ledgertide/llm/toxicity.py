@@ -237,8 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(terms, weights) from labelled documents; of more than MOST_FIT, those of the smallest hashes of their ids.
 
     What reaches the driver is bounded by that sample: stems that pass a threshold, and the features of its documents.
-    Without labelled documents of both kinds there are no terms, and every score is the rate of the label. Null ids and
-    labels are left out; of repeated labels of an id the highest counts.
+    Without labelled documents of both kinds there are no terms, and every score is the same: near 0 or 1 where all have one label, and 0.5 where there
+    is none. Null ids and labels are left out; of repeated labels of an id the highest counts.
     """
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT)

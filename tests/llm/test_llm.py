@@ -446,6 +446,14 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(empty, frame.where("false"))[0] == []
 
 
+def test_toxicity_without_labels_of_both_kinds(spark):
+    docs = spark.createDataFrame([(k, f"text {k} words") for k in range(20)] + [(99, None)], "doc_id long, text string")
+    for rows, low, high in (([], 0.5, 0.5), ([(k, 0) for k in range(20)], 0.0, 0.1), ([(k, 1) for k in range(20)], 0.9, 1.0)):
+        model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        scores = {r.score for r in toxicity.score(docs, model).collect()}
+        assert model[0] == [] and len(scores) == 1 and low <= scores.pop() <= high
+
+
 def plain_features(terms, text):
     """Features by looking at every word, term and pair of marks."""
     w = text.split()
