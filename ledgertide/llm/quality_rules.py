@@ -12,15 +12,17 @@ SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
 #: Fewest documents from which a language and source sets its own thresholds; smaller ones take their language's, then everyone's.
 LEAST_DOCS = 100
-#: The adaptive rules, each on an integer measure: name, numerator, factor, denominator, slack above the fence. Numerators
-#: leave out what a short clean text may hold (a few marks, one repeated window, one repeated line), so the slack can be small.
+#: The adaptive rules, each on an integer measure: name, numerator, factor, denominator, tail, slack. Numerators leave out what a
+#: short clean text may hold (a few marks, one repeated window, one repeated line). The tail is the percentile up to which a
+#: group's own values count as usual: marks, repeats and repeated lines are zero in most texts, so their quartiles say nothing.
 MEASURES = (
-    ("symbols", "greatest(n_symbols - 4, 0)", 1000, "n_words", 100),
-    ("repeats", f"greatest(n_repeat_words - {2 * WINDOW_WORDS}, 0)", 1000, "n_words", 50),
-    ("dup_lines", "greatest(n_dup_lines - 1, 0)", 1000, "n_words", 20),
-    ("length", "word_chars", 100, "n_words", 300),
+    ("symbols", "greatest(n_symbols - 4, 0)", 1000, "n_words", 95, 100),
+    ("repeats", f"greatest(n_repeat_words - {2 * WINDOW_WORDS}, 0)", 1000, "n_words", 99, 50),
+    ("dup_lines", "greatest(n_dup_lines - 1, 0)", 1000, "n_words", 99, 20),
+    ("length", "word_chars", 100, "n_words", 75, 300),
 )
-#: A measure fails above q3 + FENCE * (q3 - q1) + slack.
+#: A measure fails above the larger of q3 + FENCE * (q3 - q1) and its tail's value, plus slack. Texts that fail the base rule
+#: are left out of these quantiles.
 FENCE = 3
 #: The sketch keeps this many sub-buckets in each power of two: a relative error of at most 1/16.
 SUB_BITS = 4
@@ -89,32 +91,37 @@ def bucket_top(b: Column) -> Column:
 
 
 def sketch(measured: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Counts (group_cols, rule, bucket, n). Sketches merge by adding the counts of equal buckets, in any order, with the same result."""
-    rules = F.array(*[F.struct(F.lit(n).alias("rule"), bucket(_measure(a, f, d)).alias("bucket")) for n, a, f, d, _ in MEASURES])
-    return measured.select(*group_cols, F.explode(rules).alias("m")).groupBy(*group_cols, "m.rule", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
+    """Counts (group_cols, rule, bucket, n) of the texts that pass the base rule. Sketches merge by adding the counts of equal
+    buckets, in any order, with the same result. A group without such texts keeps its buckets, with n = 0."""
+    rules = F.array(*[F.struct(F.lit(n).alias("rule"), bucket(_measure(a, f, d)).alias("bucket")) for n, a, f, d, *_ in MEASURES])
+    passes = (~base_failed()).alias("passes")
+    return measured.select(*group_cols, passes, F.explode(rules).alias("m")).groupBy(*group_cols, "m.rule", "m.bucket").agg(F.count_if("passes").alias("n"))
+
+
+def _by_rule(place: int) -> Column:
+    """An entry of MEASURES for the row's rule."""
+    return F.create_map(*[F.lit(x) for m in MEASURES for x in (m[0], m[place])])[F.col("rule")]
 
 
 def quartiles(sketched: DataFrame, group_cols: list[str]) -> DataFrame:
-    """(group_cols, rule, n, q1, q3): the tops of the buckets in which the quartiles lie."""
+    """(group_cols, rule, n, q1, q3, tail): the tops of the buckets in which the quartiles and the rule's tail lie."""
     group = Window.partitionBy(*group_cols, "rule")
     seen = sketched.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), bucket_top(F.col("bucket"))))
-    return seen.groupBy(*group_cols, "rule").agg(F.max("total").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), bucket_top(F.col("bucket"))))
+    return seen.groupBy(*group_cols, "rule").agg(F.max("total").alias("n"), at(F.lit(25)).alias("q1"), at(F.lit(75)).alias("q3"), at(_by_rule(4)).alias("tail"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """(lang, source, limit_<rule>...) for each language and source there is, null counting as a value.
 
-    The leaf sketches are merged upwards; a leaf of fewer than LEAST_DOCS documents takes its language's fence, and a
+    The leaf sketches are merged upwards; a leaf of fewer than LEAST_DOCS documents that pass the base rule takes its language's fence, and a
     language of fewer takes that of all documents.
     """
     leaf = sketch(measured, ["lang", "source"])
     by_lang = leaf.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
-    slack = F.create_map(*[x for n, *_, s in MEASURES for x in (F.lit(n), F.lit(s))])
-    fence = lambda df, cols, tag: quartiles(df, cols).select(
-        *cols, "rule", F.col("n").alias(f"n_{tag}"), (F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack[F.col("rule")]).alias(f"limit_{tag}")
-    )
+    usual = F.greatest(F.col("q3") + FENCE * (F.col("q3") - F.col("q1")), F.col("tail"))
+    fence = lambda df, cols, tag: quartiles(df, cols).select(*cols, "rule", F.col("n").alias(f"n_{tag}"), (usual + _by_rule(5)).alias(f"limit_{tag}"))
     a, b, c = fence(leaf, ["lang", "source"], "leaf"), fence(by_lang, ["lang"], "lang"), fence(overall, [], "all")
     a, b = a.alias("a"), b.alias("b")
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.rule") == F.col("b.rule"))).select("a.*", "b.n_lang", "b.limit_lang").join(c, "rule")
@@ -125,7 +132,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 
 def verdict() -> Column:
-    fails = [_measure(a, f, d) > F.col(f"limit_{n}") for n, a, f, d, _ in MEASURES]
+    fails = [_measure(a, f, d) > F.col(f"limit_{n}") for n, a, f, d, *_ in MEASURES]
     return ~(base_failed() | fails[0] | fails[1] | fails[2] | fails[3])
 
 
@@ -179,13 +186,16 @@ def _sql_measure(numerator: str, factor: int, denominator: str) -> str:
 def _sql_fence(keys: str, tag: str) -> str:
     """Limits from the sketches of `keys` (a list of columns, each followed by a comma)."""
     window = f"PARTITION BY {keys}rule"
-    return f"""s_{tag} AS (SELECT {keys}rule, slack, bucket, count(*) AS n FROM m GROUP BY {keys}rule, slack, bucket),
+    top = lambda percent: f"min(((bucket - shift * 16 + 1) << shift) - 1) FILTER (WHERE 100 * upto >= {percent} * total)"
+    return f"""s_{tag} AS (SELECT {keys}rule, tail, slack, bucket, count(*) FILTER (WHERE passes) AS n FROM m GROUP BY {keys}rule, tail, slack, bucket),
   u_{tag} AS (SELECT *, sum(n) OVER ({window} ORDER BY bucket) AS upto, sum(n) OVER ({window}) AS total, greatest(bucket // 16 - 1, 0) AS shift FROM s_{tag}),
-  q_{tag} AS (SELECT {keys}rule, slack, max(total) AS n, min(((bucket - shift * 16 + 1) << shift) - 1) FILTER (WHERE 4 * upto >= total) AS q1, min(((bucket - shift * 16 + 1) << shift) - 1) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM u_{tag} GROUP BY {keys}rule, slack),
-  f_{tag} AS (SELECT {keys}rule, n, q3 + {FENCE} * (q3 - q1) + slack AS cap FROM q_{tag})"""
+  q_{tag} AS (SELECT {keys}rule, slack, max(total) AS n, {top(25)} AS q1, {top(75)} AS q3, {top("tail")} AS q_tail FROM u_{tag} GROUP BY {keys}rule, slack),
+  f_{tag} AS (SELECT {keys}rule, n, greatest(q3 + {FENCE} * (q3 - q1), q_tail) + slack AS cap FROM q_{tag})"""
 
 
-_RULES = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{n}' AS rule, {s} AS slack, CAST({_sql_measure(a, f, d)} AS BIGINT) AS v FROM f" for n, a, f, d, s in MEASURES)
+_RULES = " UNION ALL ".join(
+    f"SELECT doc_id, lang, source, n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words AS passes, '{n}' AS rule, {q} AS tail, {s} AS slack, CAST({_sql_measure(a, f, d)} AS BIGINT) AS v FROM f" for n, a, f, d, q, s in MEASURES
+)
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
   x AS (SELECT doc_id, k, x FROM (SELECT doc_id, unnest(string_split_regex(t, '[\x20\x09-\x0D]+')) AS x, generate_subscripts(string_split_regex(t, '[\x20\x09-\x0D]+'), 1) AS k FROM d) WHERE x <> ''),
