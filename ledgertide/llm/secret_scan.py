@@ -14,9 +14,10 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),  # runs are maximal, so the least length can stand in the pattern
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: A key's header and what follows of it: header fields, lines of the body (line ends may be written as \\n) and the last, short line.
+#: A key's header and what follows of it: header fields, lines of the body (line ends may be written as \\n), however many (taken
+#: possessively, which costs the regex engine no stack), and the last, short line.
 _GAP = r"(?:[\x20\x09-\x0D\"',+#>|]|\\[nr])"
-KEY_BLOCK = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_GAP}{{1,16}}(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+){{0,4}}(?:{_GAP}{{0,16}}[A-Za-z0-9+/=]{{16,}}){{0,400}}(?:{_GAP}{{0,16}}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_GAP}{{0,16}}-----END))?"
+KEY_BLOCK = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_GAP}{{1,16}}(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+){{0,4}}(?:{_GAP}{{0,16}}[A-Za-z0-9+/=]{{16,}})*+(?:{_GAP}{{0,16}}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_GAP}{{0,16}}-----END))?"
 #: Kinds that the ownership method adds where the corpus speaks for a live credential.
 EXTRA = (
     ("key_block", KEY_BLOCK, 0, 20),
@@ -27,6 +28,8 @@ EXTRA = (
 KINDS = [k[0] for k in BASE + EXTRA]
 #: Equal texts of so many words are copies of one text; shorter ones are taken for uses of their own, by repository.
 COPY_WORDS = 8
+#: A value in more repositories than these is shared widely, though all be one owner's: a template or an example rather than a live secret.
+WIDE_REPOSITORIES = 20
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -44,43 +47,46 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> C
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
-    """(doc_id, repository, owner, content, matches) of every whole text; copies of a text share content."""
-    body = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text_or_empty(F.col(text_col)).alias("body"))
+    """(doc_id, repository, owner, content, matches) of every whole text; copies of a text share content, and a null owner is
+    another one in each repository."""
+    owner = F.coalesce(F.concat(F.lit("owner:"), F.col(owner_col).cast("string")), F.concat(F.lit("of:"), F.col(repository_col).cast("string")))
+    body = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), owner.alias("owner"), text_or_empty(F.col(text_col)).alias("body"))
     text = F.col("body")
     copied = text.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+{SPACE}){{{COPY_WORDS - 1}}}[^\x20\x09-\x0D]")
-    content = F.when(copied, F.xxhash64(F.lit("text"), F.regexp_replace(text, SPACE, " "))).otherwise(F.xxhash64(F.lit("repository"), "repository"))
-    return body.select("doc_id", "repository", "owner", content.alias("content"), F.concat(*[_matches(text, *k) for k in BASE + EXTRA]).alias("matches"))
+    content = F.when(copied, F.xxhash64(F.lit("text"), F.regexp_replace(text, SPACE, " "))).otherwise(F.xxhash64(F.lit("repository"), "repository"))  # a repository is known by its hash, as it is only counted
+    return body.select("doc_id", F.xxhash64("repository").alias("repository"), "owner", content.alias("content"), F.concat(*[_matches(text, *k) for k in BASE + EXTRA]).alias("matches"))
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """(row, content, owner, rank, start, stop, hash) of the matches with a value, from rows of candidates() with `row`.
+    """(row, content, repository, owner, rank, start, stop, hash) of the matches with a value, from rows of candidates() with `row`.
 
     Places are running sums over the matches of a kind in a text, so their cost grows with their number.
     """
-    each = found.select("row", "content", "owner", F.posexplode("matches").alias("nth", "m")).select("row", "content", "owner", "nth", "m.*")
+    each = found.select("row", "content", "repository", "owner", F.posexplode("matches").alias("nth", "m")).select("row", "content", "repository", "owner", "nth", "m.*")
     before = Window.partitionBy("row", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.col("whole")).over(before)
-    return each.withColumn("stop", stop).where("hash IS NOT NULL").select("row", "content", "owner", "rank", (F.col("stop") - F.col("whole")).alias("start"), "stop", "hash")
+    return each.withColumn("stop", stop).where("hash IS NOT NULL").select("row", "content", "repository", "owner", "rank", (F.col("stop") - F.col("whole")).alias("start"), "stop", "hash")
 
 
 def ownership(each: DataFrame) -> DataFrame:
-    """(hash, contents, owners, most, uses) of every candidate value; most is the contents that its widest owner holds.
+    """(hash, contents, repositories, owners, most, uses) of every candidate value; most is the contents that its widest owner holds.
 
     Pairs are made distinct before they are counted, so a value that a third of the corpus holds costs one row a task in
-    either count. Null repositories and owners count as one of their own.
+    each count. Null repositories count as one.
     """
     pairs = each.groupBy("hash", "content", "owner").agg(F.count(F.lit(1)).alias("uses"))
     by_owner = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("held"), F.sum("uses").alias("uses")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.max("held").alias("most"), F.sum("uses").alias("uses"))
     by_content = pairs.groupBy("hash", "content").agg(F.count(F.lit(1)).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("contents"))
-    return by_content.join(by_owner, "hash")
+    by_repository = each.groupBy("hash", "repository").agg(F.count(F.lit(1)).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
+    return by_content.join(by_owner, "hash").join(by_repository, "hash")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans) for each row.
 
     Base spans are always listed. A further kind of candidate is listed as well where its value looks live: one owner
-    holds every text in which it stands, however many they are, and copies of a text count once, so a copy elsewhere
-    makes no example of what it holds. n_live and n_example count the listed spans and the
+    holds every text in which it stands, and it stands in WIDE_REPOSITORIES repositories at most. Copies of a text count once for
+    both, so a copy elsewhere makes no example of what it holds. Unknown owners are one for each repository. n_live and n_example count the listed spans and the
     copied ones by that measure, base kinds included. Null texts count as empty, and texts without candidates get
     zeros and the digest of the empty list. Texts may be of any length and hold any number of candidates. Repeated rows get
     repeated results; an empty table gives an empty one, and columns other than those named have no effect. Candidates,
@@ -88,7 +94,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     """
     found = stored(candidates(docs, id_col, text_col, repository_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = stored(spans(found), "secret-spans")
-    live = F.col("most") == F.col("contents")
+    live = (F.col("most") == F.col("contents")) & (F.least("contents", "repositories") <= WIDE_REPOSITORIES)
     base = F.col("rank") < len(BASE)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     span = F.struct("start", "rank", F.concat_ws(":", kind, F.col("start").cast("string"), F.col("stop").cast("string")).alias("text"))
