@@ -112,6 +112,17 @@ def test_each_adaptive_rule_rejects_what_the_base_rule_keeps(spark):
     assert all(got[k].kept for k in [*range(200), *good])
 
 
+def test_limits_follow_what_is_usual_in_a_source(spark):
+    plain = lambda k, marks: " ".join(f"a{k}x{i}" + "#" * (i < marks) for i in range(200))
+    rows = [(k, plain(k, 0), "en", "prose") for k in range(200)] + [(1000 + k, plain(k, 60 if k % 10 == 0 else 0), "en", "tables") for k in range(200)]
+    rows += [(2000, plain(2000, 60), "en", "prose"), (2001, plain(2001, 60), "en", "tables"), (2002, plain(2002, 190), "en", "tables"), (2003, " ".join(["w"] * 50), "xx", "all fail")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.quality(frame).collect()}
+    assert len(got) == len(rows) and not (got[2000] or got[2002] or got[2003]) and got[2001] and all(got[k] for k, *_ in rows if k < 2000)
+    limits = {r.source: r for r in quality_rules.thresholds(quality_rules.measure(frame, "doc_id", "text", "lang", "source")).collect()}
+    assert limits["prose"].limit_symbols == 100 and limits["tables"].limit_symbols >= 100 + 1000 * 56 // 200 and limits["all fail"].limit_symbols is not None
+
+
 def test_quality_sketch_bounds_its_error(spark):
     frame = spark.range(0, 5000).selectExpr("id * id AS v")
     got = frame.select("v", quality_rules.bucket_top(quality_rules.bucket(frame["v"])).alias("top")).collect()
@@ -133,7 +144,7 @@ def test_secrets(docs, empty):
 def plain_scan(rows):
     """spans of every text, by looking at all texts for each value; rows are (doc_id, text, source)."""
     patterns = [(n, re.compile(p, re.A), g, least) for n, p, g, least in secret_scan.BASE + secret_scan.EXTRA]
-    found, contents, owners = {}, defaultdict(set), defaultdict(lambda: defaultdict(set))
+    found, contents, repositories, owners = {}, defaultdict(set), defaultdict(set), defaultdict(lambda: defaultdict(set))
     for k, text, source in rows:
         text = text or ""
         w = words(text)
@@ -145,8 +156,9 @@ def plain_scan(rows):
                     value = re.sub(secret_scan._GAP, "", m[g]) if name == "key_block" else m[g]
                     found[k].append((m.start(), rank, name, m.end(), value))
                     contents[value].add(content)
-                    owners[value][source].add(content)
-    live = {v: max(map(len, owners[v].values())) == len(c) for v, c in contents.items()}
+                    repositories[value].add(k)
+                    owners[value][(k,) if source is None else source].add(content)
+    live = {v: max(map(len, owners[v].values())) == len(c) and min(len(c), len(repositories[v])) <= secret_scan.WIDE_REPOSITORIES for v, c in contents.items()}
     return {k: ",".join(f"{n}:{a}:{b}" for a, rank, n, b, v in sorted(own) if rank < len(secret_scan.BASE) or live[v]) for k, own in found.items()}
 
 
@@ -193,6 +205,25 @@ def test_one_owner_and_copies_leave_a_value_live(spark):
     assert all(("service" in got[k]) == (k < 30) for k, *_ in rows), got
 
 
+def test_repositories_and_owners_both_decide(spark):
+    key = lambda name: f"ghp_{name}{'0aB' * 8}"
+    page = lambda k, name: f"notes number {k} of a longer text which says that {key(name)} opens it"
+    few, many = secret_scan.WIDE_REPOSITORIES, secret_scan.WIDE_REPOSITORIES + 1
+    rows = [(k, page(k, "Few"), "o1", k) for k in range(few)] + [(100 + k, page(k, "Many"), "o1", k) for k in range(many)]
+    rows += [(200 + k, page(k, "Unknown"), None, k) for k in range(3)] + [(300, page(1, "Alone"), None, 1)]
+    rows += [(400 + k, page(k, "Inside"), "o1", 7) for k in range(many)]  # many texts of one repository
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repo long")
+    got = {r.doc_id: "service" in r.spans for r in secret_scan.scan(frame, repository_col="repo").collect()}
+    assert all(got[k] == (k < 100 or k >= 300) for k, *_ in rows), got
+
+
+def test_a_key_of_any_number_of_lines(spark):
+    lines = [hashlib.sha512(str(i).encode()).hexdigest()[:64] for i in range(20_000)]
+    text = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "Qk==", "-----END PRIVATE KEY-----"])
+    got = secret_scan.scan(spark.createDataFrame([(1, text, "en", "o")], "doc_id long, text string, lang string, source string")).collect()[0]
+    assert f"key_block:0:{text.index('-----END') - 1}" in got.spans
+
+
 @lru_cache
 def library(path):
     from tokenizers import Tokenizer
