@@ -43,16 +43,22 @@ def with_volatility(series: DataFrame, window: int = VOL_WINDOW) -> DataFrame:
     return with_returns(series).withColumn("volatility_5d", vol)
 
 
+def _at_least_one(name: str, value: int) -> None:
+    if value < 1:
+        raise ValueError(f"{name} must be 1 at least, not {value}")
+
+
 def _days(first: Column, last: Column) -> Column:
     return F.explode(F.sequence(first, last))
 
 
 def asof(requests: DataFrame, series: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
-    """requests (symbol, requested_date, ...) with the latest row of series on or before the date, `tolerance` days back at most.
+    """requests (symbol, requested_date, ...) with the latest row of series on or before the date, `tolerance` days back at most, one at least.
 
     Each series row is laid out over the days for which it is the latest, `tolerance` + 1 at most, so the join is an equality
     of symbol and day: no request is sorted into a window, and a hot symbol's side can be split.
     """
+    _at_least_one("tolerance", tolerance)
     until = F.least(F.date_add("date", tolerance), F.coalesce(F.date_sub(F.lead("date").over(_by_day()), 1), F.date_add("date", tolerance)))
     covered = series.withColumn("until", until).select("*", _days(F.col("date"), F.col("until")).alias("requested_date")).drop("until").withColumnRenamed("date", "date_used")
     return requests.join(covered, ["symbol", "requested_date"])
@@ -60,6 +66,7 @@ def asof(requests: DataFrame, series: DataFrame, tolerance: int = TOLERANCE_DAYS
 
 def history(requests: DataFrame, series: DataFrame, n: int) -> DataFrame:
     """The last n rows on or before each request's date, inside its calendar window, with their rank from the latest."""
+    _at_least_one("n", n)
     days = max(int(2.2 * n) + 20, 45) + 16
     rows = F.collect_list(F.struct("date", "close", "volatility_5d")).over(_by_day().rowsBetween(1 - n, 0))
     back = asof(requests, series.withColumn("rows", rows), tolerance=days).select(*requests.columns, F.posexplode(F.reverse("rows")).alias("back", "row"))
@@ -68,6 +75,7 @@ def history(requests: DataFrame, series: DataFrame, n: int) -> DataFrame:
 
 def forward(requests: DataFrame, series: DataFrame, steps: int) -> DataFrame:
     """The first `steps` rows after each request's date, within max(4 * steps, 16) days, and their step."""
+    _at_least_one("steps", steps)
     days = max(4 * steps, 16)
     rows = F.collect_list(F.struct("date", "close", "volatility_5d")).over(_by_day().rowsBetween(0, steps - 1))
     since = F.greatest(F.date_sub("date", days), F.coalesce(F.lag("date").over(_by_day()), F.date_sub("date", days)))

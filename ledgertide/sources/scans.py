@@ -14,8 +14,8 @@ from ledgertide.functions import text as T
 from ledgertide.sources.readers import GROUP_KEYS, RECORD_KEYS, exists
 from ledgertide.working import small, stored
 
-#: CSV files of a folder, whose headers may differ, at most.
-MOST_CSV_FILES = 10_000
+#: Different headers of the CSV files of a folder, each of which is a scan, at most.
+MOST_CSV_HEADERS = 1_000
 #: Names under which records keep what the registry needs, in order of precedence (fixed values).
 SPLIT_KEYS = {
     "event_date": ("date", "event_date", "published_date", "timestamp", "year"),
@@ -69,12 +69,21 @@ def _lines(spark: SparkSession, root: str, suffix: str, **options: object) -> Da
     return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def _csv_files(spark: SparkSession, root: str) -> list[str]:
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
-    paths = sorted(r["path"] for r in listed.limit(MOST_CSV_FILES + 1).collect())
-    if len(paths) > MOST_CSV_FILES:
-        raise ValueError(f"more than {MOST_CSV_FILES} CSV files under {root}")
-    return paths
+def _csv_groups(spark: SparkSession, root: str) -> list[list[str]]:
+    """Paths of the CSV files under root, those of equal first lines together, so that a scan reads all files of a header.
+
+    A first line that may go on in the next one (an odd number of quotes, or an escape) makes its file a group of its own;
+    files without a line have no records. The driver holds the paths, as it does for any scan of these files.
+    """
+    lines = _lines(spark, root, ".csv").where("block = 0 AND value <> ''").withColumn("place", F.monotonically_increasing_id())
+    first = lines.groupBy("path").agg(F.min_by("value", "place").alias("value"))
+    alone = F.col("value").contains("\\") | (F.regexp_count("value", F.lit('"')) % 2 == 1)
+    header = F.when(alone, F.concat("value", F.lit("\n"), "path")).otherwise(F.col("value"))
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # paths of files are known as encoded URIs
+    groups = first.groupBy(header.alias("header")).agg(F.sort_array(F.collect_list(path)).alias("paths")).limit(MOST_CSV_HEADERS + 1).collect()
+    if len(groups) > MOST_CSV_HEADERS:
+        raise ValueError(f"more than {MOST_CSV_HEADERS} headers of CSV files under {root}")
+    return [g["paths"] for g in sorted(groups, key=lambda g: g["header"])]
 
 
 def file_records(spark: SparkSession, root: str) -> DataFrame:
@@ -88,8 +97,8 @@ def file_records(spark: SparkSession, root: str) -> DataFrame:
     items = F.coalesce(listed(F.col("value")), *[listed(F.get_json_object("value", f"$.{k}")) for k in RECORD_KEYS])
     found = whole.select("path", "block", F.explode(items).alias("record"))
     found = found.unionByName(_lines(spark, root, ".jsonl").withColumnRenamed("value", "record"))
-    for path in _csv_files(spark, root):
-        rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
+    for paths in _csv_groups(spark, root):
+        rows = spark.read.csv(paths, header=True, inferSchema=False, multiLine=True)
         found = found.unionByName(rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("record")))
     return found.where(F.ltrim("record").startswith("{"))
 

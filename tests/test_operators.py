@@ -193,6 +193,37 @@ def test_scans_of_splits_and_folders(spark, tmp_path):
     assert [(r["date"], r["source_file"]) for r in docs.collect()] == [("2023-01-01", "a.json"), ("20240131", "a.json")]
 
 
+def test_csv_files_of_equal_headers_are_one_scan(spark, tmp_path):
+    put = lambda name, text: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(text))
+    for k in range(5):
+        put(f"a/n {k}+é.csv", f"\ndate,text\n2024-01-0{k + 1},plain {k}\n")  # names that a URI encodes, a line without a header before it
+        put(f"b{k}/m.csv", f"text,date\nturned {k},2024-02-0{k + 1}\n")
+    put("c/quoted.csv", '"da""te","text\nof it",text\nx,y,quoted\n')
+    put("c/other.csv", '"da""te","text\nof all",text,date\nx,y,other,2024-03-01\n')
+    put("c/empty.csv", "")
+    found = scans.file_records(spark, str(tmp_path))
+    got = {(r["text"], r.get("date")) for r in map(json.loads, (x["record"] for x in found.collect()))}
+    assert got == {(f"plain {k}", f"2024-01-0{k + 1}") for k in range(5)} | {(f"turned {k}", f"2024-02-0{k + 1}") for k in range(5)} | {("quoted", None), ("other", "2024-03-01")}
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 4
+    (tmp_path / "none").mkdir()
+    assert scans.file_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_parameters_that_make_no_sense_are_refused(spark):
+    asked = spark.createDataFrame([("a", dt.date(2024, 1, 2))], "symbol string, requested_date date")
+    series = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1.0, 0.0)], "symbol string, date date, close double, volatility_5d double")
+    for bad in (lambda: M.asof(asked, series, tolerance=0), lambda: M.history(asked, series, 0), lambda: M.forward(asked, series, 0)):
+        with pytest.raises(ValueError):
+            bad()
+    assert M.asof(asked, series, tolerance=1).count() == 1 and M.history(asked, series, 1).count() == 1
+
+
+def test_unzip_of_uneven_arrays(spark):
+    frame = spark.createDataFrame([("a", [1, 2], ["x"]), ("b", None, ["y"]), ("c", [], [])], "k string, n array<int>, s array<string>")
+    got = A.unzip(frame, ["k"], number="n", name="s").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 0, 1, "x"), ("a", 1, 2, None)]
+
+
 def test_numbers_go_on_over_the_stretches_of_a_file(spark, tmp_path):
     (tmp_path / "long.jsonl").write_text("".join(f'{{"k": {k}, "pad": "{"x" * 200}"}}\n' for k in range(3000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
