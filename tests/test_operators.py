@@ -293,6 +293,29 @@ def test_near_dedup_settles_chains_in_order(spark, monkeypatch):
     assert {r["record_id"]: (r["blocked_by"], r["similarity"]) for r in got} == want and 3 < len(kept) < 9
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_near_dedup_takes_few_ratios_of_long_texts_and_copies(spark, tmp_path, monkeypatch, rounds):
+    taken = tmp_path / "taken"
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            with taken.open("a") as f:
+                f.write("x")
+            return super().ratio()
+
+    monkeypatch.setattr(R, "SequenceMatcher", Counted)
+    monkeypatch.setattr(R, "ROUNDS", rounds)
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 4000)) for _ in range(8)]  # long texts of a language have most runs of three letters in common
+    copied = " ".join(rng.choice(words, 300))
+    texts += [copied + "%" * k for k in range(6)]
+    rows = [(f"r{k:02}", "2024-01-01", "s", x) for k, x in enumerate(texts)]
+    got = {r["record_id"]: r["blocked_by"] for r in R.near_dedup(spark.createDataFrame(rows, "record_id string, event_date string, source string, text string")).collect()}
+    assert got == {r[0]: "r08" if k > 8 else None for k, r in enumerate(rows)}
+    assert len(taken.read_text()) <= (5 if rounds else 15)
+
+
 def test_strict_dates_and_price_windows(spark):
     days = spark.createDataFrame([("2024-02-29",), (None,)], "d string")
     assert [str(r["x"]) for r in days.select(T.iso_date(F.col("d")).alias("x")).collect()] == ["2024-02-29", "None"]
