@@ -16,6 +16,8 @@ from ledgertide.working import small, stored
 
 #: Different headers of the CSV files of a folder, each of which is a scan, at most.
 MOST_CSV_HEADERS = 1_000
+#: Records that a task hands on at once; a frame for each file costs more than the file.
+RECORDS_AT_ONCE = 10_000
 #: Names under which records keep what the registry needs, in order of precedence (fixed values).
 SPLIT_KEYS = {
     "event_date": ("date", "event_date", "published_date", "timestamp", "year"),
@@ -190,15 +192,20 @@ def record_groups(files: DataFrame) -> DataFrame:
     record for an empty group, and one without a group and with a message for a file that can't be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda out: pd.DataFrame(out, columns=["path", "grp", "pos", "record", "message"]).astype({"grp": "Int64", "pos": "Int64"})
         for batch in batches:
+            out = []
             for path, value in zip(batch["path"], batch["value"], strict=True):
                 try:
                     groups = groups_of(json.loads(value or ""))
                 except (ValueError, RecursionError) as failure:
-                    out = [(path, None, None, None, str(failure))]
+                    out.append((path, None, None, None, str(failure)))
                 else:
-                    out = [(path, g, k, None if r is None else json.dumps(r), None) for g, own in enumerate(groups) for k, r in enumerate(own or [None])]
-                yield pd.DataFrame(out, columns=["path", "grp", "pos", "record", "message"]).astype({"grp": "Int64", "pos": "Int64"})
+                    out += [(path, g, k, None if r is None else json.dumps(r), None) for g, own in enumerate(groups) for k, r in enumerate(own or [None])]
+                if len(out) >= RECORDS_AT_ONCE:
+                    yield frame(out)
+                    out = []
+            yield frame(out)
 
     return files.select("path", "value").mapInPandas(run, "path string, grp int, pos int, record string, message string")
 

@@ -316,6 +316,28 @@ def test_near_dedup_takes_few_ratios_of_long_texts_and_copies(spark, tmp_path, m
     assert len(taken.read_text()) <= (5 if rounds else 15)
 
 
+def test_record_groups_hands_on_many_files_at_once(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from ledgertide.sources import scans
+
+    made = tmp_path / "made"
+
+    def counted(*args, **kwargs):
+        with made.open("a") as f:
+            f.write("x")
+        return pd.DataFrame(*args, **kwargs)
+
+    monkeypatch.setattr(scans, "pd", SimpleNamespace(DataFrame=counted))
+    values = ['{"records": [{"a": 1}, {"a": 2}]}', "{}", "not JSON"]
+    files = spark.createDataFrame([(f"f{k:03}", values[k % 3]) for k in range(300)], "path string, value string").coalesce(1)
+    got = scans.record_groups(files).collect()
+    assert sorted({(int(r["path"][1:]) % 3, r["grp"], r["pos"], r["record"], bool(r["message"])) for r in got}, key=repr) == [(0, 0, 0, '{"a": 1}', False), (0, 0, 1, '{"a": 2}', False), (2, None, None, None, True)]
+    assert len(got) == 300 and len(made.read_text()) < 10
+
+
 def test_strict_dates_and_price_windows(spark):
     days = spark.createDataFrame([("2024-02-29",), (None,)], "d string")
     assert [str(r["x"]) for r in days.select(T.iso_date(F.col("d")).alias("x")).collect()] == ["2024-02-29", "None"]
