@@ -92,7 +92,9 @@ def forecast_error(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chunk_mean(scores: DataFrame) -> DataFrame:
-    """(doc_id, label, score): sums over a document's chunks by their number, labels that a chunk lacks counting 0."""
+    """(doc_id, label, score): sums over a document's chunks by their number, labels that a chunk lacks counting 0. Scores are stored, as two aggregates
+    read them, which would each score all chunks anew."""
+    scores = stored(scores, "chunk-scores")
     chunks = scores.groupBy("doc_id").agg(F.countDistinct("chunk").alias("n"))
     sums = scores.groupBy("doc_id", "label").agg(F.sum("score").alias("sum"))
     return sums.join(chunks, "doc_id").select("doc_id", "label", (F.col("sum") / F.col("n")).alias("score"))

@@ -338,6 +338,25 @@ def test_record_groups_hands_on_many_files_at_once(spark, tmp_path, monkeypatch)
     assert len(got) == 300 and len(made.read_text()) < 10
 
 
+def test_chunk_mean_scores_each_chunk_once(spark, tmp_path):
+    from ledgertide.operators import sentiment
+
+    taken = tmp_path / "taken"
+
+    def load():
+        def score(texts):
+            with taken.open("a") as f:
+                f.write("x" * len(texts))
+            return [[{"label": "hawkish", "score": 0.25}] for _ in texts]
+
+        return score
+
+    chunks = spark.createDataFrame([(k // 2, k % 2, ["a"]) for k in range(20)], "doc_id long, chunk int, tokens array<string>")
+    got = E.chunk_mean(sentiment.score_chunks(chunks, load)).collect()
+    assert sorted((r["doc_id"], r["score"]) for r in got) == [(k, 0.25) for k in range(10)]
+    assert len(taken.read_text()) == 20
+
+
 def test_strict_dates_and_price_windows(spark):
     days = spark.createDataFrame([("2024-02-29",), (None,)], "d string")
     assert [str(r["x"]) for r in days.select(T.iso_date(F.col("d")).alias("x")).collect()] == ["2024-02-29", "None"]
