@@ -85,10 +85,18 @@ def combined_rmse(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sqrt(close / n).alias("close_rmse"), F.sqrt(vol / n).alias("vol_rmse"), F.sqrt((close + vol) / (2 * n)).alias("combined_rmse"))
 
 
+def steady_mean(value: Column) -> Column:
+    """The mean of doubles whatever the order of the rows: summed as decimals of 22 places, so a limit that a mean lies next to is not passed by the
+    order of sums. Values or sums that are too large for these are summed as doubles."""
+    exact = value.try_cast("decimal(38,22)")
+    fits = F.count(exact) == F.count(value)
+    return F.coalesce(F.when(fits, F.try_divide(F.try_sum(exact).cast("double"), F.count(value).cast("double"))), F.avg(value))
+
+
 def forecast_error(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """RMSE, and MAPE over actual values that aren't zero, in per cent."""
     off = F.col("realized") - F.col("forecast")
-    return pairs.groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("rmse"), (F.avg(F.when(F.abs("realized") > NEAR_ZERO, F.abs(off / F.col("realized")))) * 100).alias("mape"))
+    return pairs.groupBy(*keys).agg(F.sqrt(steady_mean(off * off)).alias("rmse"), (steady_mean(F.when(F.abs("realized") > NEAR_ZERO, F.abs(off / F.col("realized")))) * 100).alias("mape"))
 
 
 def chunk_mean(scores: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def forecast_error(spark, sf_dir):
 
 def error_badges(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    base = pairs.groupBy("symbol").agg(F.avg("realized").alias("baseline"))
+    base = pairs.groupBy("symbol").agg(E.steady_mean(F.col("realized")).alias("baseline"))
     return _rounded(A.error_badges(E.forecast_error(pairs, ["symbol"]).join(base, "symbol"), "baseline"), 6)
 
 

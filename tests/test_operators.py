@@ -357,6 +357,16 @@ def test_chunk_mean_scores_each_chunk_once(spark, tmp_path):
     assert len(taken.read_text()) == 20
 
 
+def test_forecast_error_does_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(x) * 1.02) for x in rng.integers(1, 20000, 40) / 100]
+    orders = [(k, *rows[i]) for k in range(60) for i in rng.permutation(len(rows))]
+    frame = spark.createDataFrame(orders, "k int, realized double, forecast double").coalesce(1)
+    assert len({r["mape"] for r in E.forecast_error(frame, ["k"]).collect()}) == 1
+    large = spark.createDataFrame([(1, 1e30, 0.0), (1, 3e30, 0.0), (2, None, 1.0)], "k int, realized double, forecast double")
+    assert [(r["k"], r["m"]) for r in large.groupBy("k").agg(E.steady_mean(F.col("realized")).alias("m")).orderBy("k").collect()] == [(1, 2e30), (2, None)]
+
+
 def test_strict_dates_and_price_windows(spark):
     days = spark.createDataFrame([("2024-02-29",), (None,)], "d string")
     assert [str(r["x"]) for r in days.select(T.iso_date(F.col("d")).alias("x")).collect()] == ["2024-02-29", "None"]
