@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgertide.functions import text as T
+from ledgertide.functions.ratios import Against
+from ledgertide.operators.near_pairs import near_pairs, usable
 from ledgertide.working import stored
 
 REGISTRY = ["record_id", "source", "source_record_id", "document_type", "event_date", "title", "text", "label", "label_origin", "license_scope", "citation_ref", "ingested_at_utc", "text_hash"]
@@ -102,6 +104,8 @@ LONG_RUN, LONG_COUNTS, LONG_TEXT = 12, 1 << 17, 4096
 ROUNDS = 3
 #: Parts into which texts, pairs of blocks and pairs of texts are dealt: their work is in letters, not in the bytes by which Spark would merge parts.
 PARTS = 96
+#: Sides of the squares into which pairs are dealt, at least where each has so many letters of texts, and letters of the texts of a square at most, about.
+LEAST_SIDES, SIDE_LETTERS, SQUARE_LETTERS = 10, 200_000, 40_000_000
 
 
 def _counts(text: str, run: int, counts: int) -> np.ndarray:
@@ -209,18 +213,41 @@ def _likely(candidates: DataFrame, classes: DataFrame, threshold: float) -> Data
     return candidates.where(F.col("letters") < LONG_TEXT).select("later", "earlier").unionByName(known)
 
 
-def _matching(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(later, earlier, similarity) of those pairs (later, earlier) whose matching ratio reaches the threshold."""
+def _matching(pairs: DataFrame, classes: DataFrame, threshold: float, sides: int) -> DataFrame:
+    """(later, earlier, similarity) of those pairs (later, earlier) whose matching ratio reaches the threshold.
+
+    Texts are dealt out to squares of later by earlier ones, `sides` on each side, so a text goes to 2 * sides tasks at most, however many pairs it has.
+    """
+    square = F.pmod(F.xxhash64("later"), F.lit(sides)) * sides + F.pmod(F.xxhash64("earlier"), F.lit(sides))
+    placed = pairs.select(square.cast("int").alias("square"), "later", "earlier")
+    named = placed.select("square", F.explode(F.array("later", "earlier")).alias("cls")).distinct()
+    texts = named.join(classes.select("cls", "text"), "cls").select("square", F.col("cls").alias("later"), F.lit(None).cast("string").alias("earlier"), "text")
+    dealt = placed.withColumn("text", F.lit(None).cast("string")).unionByName(texts).repartitionById(sides * sides, "square")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text, met = {}, {}
         for batch in batches:
-            out = []
-            for later, earlier, a, b in batch.itertuples(index=False, name=None):
-                if _may_match(a, b, threshold) and (ratio := SequenceMatcher(None, a, b).ratio()) >= threshold:
+            for _, later, earlier, known in batch.itertuples(index=False, name=None):
+                if known is None:
+                    met.setdefault(earlier, []).append(later)
+                else:
+                    text[later] = known
+        for earlier, laters in met.items():
+            b, out = Against(text[earlier], threshold), []
+            for later in laters:
+                if b.reached_by(a := text[later]) and (ratio := SequenceMatcher(None, a, text[earlier]).ratio()) >= threshold:
                     out.append((later, earlier, ratio))
-            yield pd.DataFrame(out, columns=["later", "earlier", "similarity"])
+            if out:
+                yield pd.DataFrame(out, columns=["later", "earlier", "similarity"])
+
+    return dealt.mapInPandas(run, "later string, earlier string, similarity double")
+
 
-    return _with_texts(pairs, classes).mapInPandas(run, "later string, earlier string, similarity double")
+def _sides(candidates: DataFrame, classes: DataFrame) -> int:
+    """Sides of the squares into which pairs are dealt, by the letters of their texts."""
+    named = candidates.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct()
+    letters = named.join(classes.select("cls", "letters"), "cls").agg(F.sum("letters")).first()[0] or 0
+    return max(1, min(LEAST_SIDES, math.ceil(letters / SIDE_LETTERS)), math.ceil(2 * letters / SQUARE_LETTERS))
 
 
 def near_dedup(registry: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
@@ -234,21 +261,23 @@ def near_dedup(registry: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFr
     """
     rank = F.struct("source", "record_id")
     rows = registry.select("record_id", "event_date", "source", F.md5(F.concat_ws("\n", "event_date", "text")).alias("cls"), "text")
-    classes = stored(rows.groupBy("event_date", "cls", "text").agg(F.min(rank).alias("rank")), "near-classes")
+    classes = stored(rows.groupBy("event_date", "cls", "text").agg(F.min(rank).alias("rank")).withColumns({"no": F.monotonically_increasing_id(), "letters": F.length("text")}), "near-classes")
     heads = classes.select("cls", "rank")
-    candidates = stored(_likely(stored(_candidates(classes, threshold), "near-blocks"), classes, threshold), "near-candidates")
+    found = near_pairs(classes, threshold) if usable(threshold) else _likely(stored(_candidates(classes, threshold), "near-blocks"), classes, threshold)
+    candidates = stored(found, "near-candidates")
+    sides = _sides(candidates, classes)
     as_ = lambda df, side: df.select(F.col("cls").alias(side))
     open_, turn = candidates, 0
     new = stored(candidates.select(F.col("earlier").alias("cls")).distinct().join(as_(candidates.withColumnRenamed("later", "cls"), "cls").distinct(), "cls", "left_anti"), "near-new")
     matches, alive, gone, known = [], [], [], None
     while not open_.isEmpty():
         if turn == ROUNDS:
-            known = stored(_matching(open_, classes, threshold), "near-known")
+            known = stored(_matching(open_, classes, threshold, sides), "near-known")
             free = open_.select(F.col("later").alias("cls")).distinct().join(as_(known.withColumnRenamed("later", "cls"), "cls").distinct(), "cls", "left_anti")
             open_, new = known.select("later", "earlier"), stored(new.unionByName(free), "near-new")
         alive.append(new.withColumn("since", F.lit(turn)))
         met = open_.join(as_(new, "earlier"), "earlier")
-        matches.append(stored(_matching(met, classes, threshold) if known is None else known.join(met, ["later", "earlier"], "left_semi").select("later", "earlier", "similarity"), "near-matches"))
+        matches.append(stored(_matching(met, classes, threshold, sides) if known is None else known.join(met, ["later", "earlier"], "left_semi").select("later", "earlier", "similarity"), "near-matches"))
         blocked = stored(matches[-1].select(F.col("later").alias("cls")).distinct(), "near-blocked")
         gone.append(blocked.withColumn("until", F.lit(turn)))
         left = open_.join(as_(blocked, "later"), "later", "left_anti")
@@ -263,7 +292,7 @@ def near_dedup(registry: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFr
         found = ranked(all_of(matches))
         missed = candidates.join(all_of(gone).withColumnRenamed("cls", "later"), "later").join(all_of(alive).withColumnRenamed("cls", "earlier"), "earlier").where("since > until")
         missed = ranked(missed).join(best(found).select(F.col("cls").alias("later"), "first_rank"), "later").where("rank < first_rank")
-        first = best(found.unionByName(ranked(stored(_matching(missed, classes, threshold), "near-missed")))).drop("first_rank")
+        first = best(found.unionByName(ranked(stored(_matching(missed, classes, threshold, sides), "near-missed")))).drop("first_rank")
     judged = heads.join(first, "cls", "left") if first is not None else heads.withColumn("first", F.lit(None).cast("struct<by: string, similarity: double>"))
     all_ = rows.drop("text").join(judged, "cls")
     is_head = (F.col("record_id") == F.col("rank.record_id")) & (F.col("source") == F.col("rank.source"))
